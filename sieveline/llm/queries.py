@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm import url_rules
 from sieveline.llm.common import documents
 
 
@@ -27,5 +28,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece,)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the weakly supervised rules for every document."""
+    from sieveline.llm.quality import judge_quality
+
+    return judge_quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    from sieveline.llm.url_rules import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality_rules, op8_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
