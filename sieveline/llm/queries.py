@@ -28,6 +28,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not learned from."""
+    from sieveline.llm.toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the weakly supervised rules for every document."""
     from sieveline.llm.quality import judge_quality
@@ -35,6 +42,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    from sieveline.llm.language import predict_language
+
+    return predict_language(documents(spark, sf_dir))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     from sieveline.llm.url_rules import judge_urls
@@ -42,5 +56,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality_rules, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op5_quality_rules, op7_language_id, op8_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
