@@ -42,6 +42,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and verdict of every document."""
+    from sieveline.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from sieveline.llm.language import predict_language
@@ -56,5 +63,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op5_quality_rules, op7_language_id, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
