@@ -143,8 +143,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     rare = min(SAMPLE // 2, counts[1])
     share = {1: rare / counts[1], 0: (SAMPLE - rare) / counts[0]}
     quota = F.when(F.col("y") == 1, int(min(1, share[1]) * (1 << 20))).otherwise(int(min(1, share[0]) * (1 << 20)))
-    chosen = known.where(F.expr(f"xxhash64(`{key}`, 11) & 1048575") < quota)
-    rows = docs.select(key, text).join(chosen, key).select(key, text, "y")
+    # about SAMPLE rows of a key and a label; the limit proves the bound, so the texts need no shuffle
+    chosen = known.where(F.expr(f"xxhash64(`{key}`, 11) & 1048575") < quota).limit(2 * SAMPLE)
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
