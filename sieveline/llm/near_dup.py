@@ -157,8 +157,8 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(banded.join(shared, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("salt")), "members")
     candidates = members.select("id").distinct()
-    sets = staged(full_sets(docs.select(key, text).join(candidates.withColumnRenamed("id", key), key, "left_semi"), key, text), "sets")
-    sigs = staged(reps.join(candidates, "id", "left_semi"), "sigs")
+    sets = staged(full_sets(docs.select(key, text).join(candidates.withColumnRenamed("id", key).hint("merge"), key, "left_semi"), key, text), "sets")
+    sigs = staged(reps.join(candidates.hint("merge"), "id", "left_semi"), "sigs")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, "place"):
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hu
     drawn = staged(sketches(docs, key, text), "sketches")
     firsts = drawn.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     firsts = staged(firsts, "firsts")
-    reps = drawn.select("id", "sig").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = drawn.select("id", "sig").join(firsts.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     links = near_duplicate_links(docs, staged(reps, "reps"), key, text, hundredths)
     component = connected_components(links).select(F.col("node").alias("rep"), "component")
     grouped = drawn.select("id", "n_shingles", "set_key").join(firsts, "set_key", "left").join(component, "rep", "left")
