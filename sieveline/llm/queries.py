@@ -63,5 +63,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter)}
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    from sieveline.llm.edit_prints import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op10_edit_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
