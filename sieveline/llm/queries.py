@@ -28,6 +28,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to earlier documents."""
+    from sieveline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+
+
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed along the curve."""
     from sieveline.llm.packing import pack_documents
@@ -77,5 +84,5 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op10_edit_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op10_edit_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
