@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.llm.common import held_out, text_chunks
 from sieveline.llm.words import LOWER
@@ -102,8 +103,11 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray
     return np.unpackbits(x, axis=1), [r.lang for r in got]
 
 
-def predict_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, held_out, lang_pred, score) of every document; labels are learned from rows that are not held out."""
+def predict_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: bool = False) -> DataFrame:
+    """(key, held_out, lang_pred, score) of every document; labels are learned from rows that are not held out.
+
+    carry: instead, every column of docs with those after them; columns of the same names go.
+    """
     x, langs = _sample(docs, key, text, lang)
     if langs:
         names, marks, weights = fit(x, langs)
@@ -116,7 +120,7 @@ def predict_language(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             own = np.unpackbits(packed, axis=1).astype(np.float32)
             own /= np.sqrt(np.maximum(own.sum(1, keepdims=True), 1))
         for batch in batches:
-            for lo, hi, data, at in text_chunks(batch.column(1), CHUNK):
+            for lo, hi, data, at in text_chunks(batch.column(text), CHUNK):
                 letters = np.zeros(len(data) + 1, np.int64)
                 np.cumsum((LOWER[data] >= 97) & (LOWER[data] <= 122), out=letters[1:])
                 some = letters[at[1:]] > letters[at[:-1]]
@@ -130,7 +134,11 @@ def predict_language(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                         best[a:b] = found.argmax(1)
                         value[a:b] = np.clip((found.max(1) + 1) / 2, 0, 1)
                 known = some & bool(n_marks)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([names[k] if s else UNKNOWN for k, s in zip(best, known)], pa.string()), pa.array(np.where(known, value, 0.0))], names=[key, "lang_pred", "score"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double").select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "lang_pred", "score")
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([names[k] if s else UNKNOWN for k, s in zip(best, known)], pa.string()), pa.array(np.where(known, value, 0.0))], names=[*others, "lang_pred", "score"])
+
+    made = ("held_out", "lang_pred", "score")
+    others = [c for c in docs.columns if c not in made] if carry else [key]
+    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    read = docs.select(*others) if carry else docs.select(key, text)
+    return read.mapInArrow(score, schema).select(*others, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,7 @@ from sieveline.llm import url_rules
 from sieveline.llm.common import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,7 +20,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.piece_codec import encode_documents
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return encode_documents(docs, _tokenizer("piece_bpe_32k.model")).select(
+    return encode_documents(docs, tokenizer("piece_bpe_32k.model")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -32,14 +32,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document loses to earlier documents."""
     from sieveline.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), result="digest")
 
 
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed along the curve."""
     from sieveline.llm.packing import pack_documents
 
-    return pack_documents(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates that each document holds."""
+    from sieveline.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     from sieveline.llm.edit_prints import fingerprint_documents
@@ -84,5 +91,5 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op10_edit_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op9_license_scan, op10_edit_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}

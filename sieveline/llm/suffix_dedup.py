@@ -271,10 +271,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, block: int = BLOCK) -> DataFrame:
-    """Every document with what is left of it: its columns with `kept` (binary) in place of the text, and the counts.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", result: str = "bytes", block: int = BLOCK) -> DataFrame:
+    """Every document with what is left of it: its columns with `kept` in place of the text, and the counts.
 
-    digest: `kept_sha256` instead of `kept`. n_bytes, n_removed and n_spans count the text's bytes, those removed and their runs.
+    result: what `kept` is: "bytes"; "text", without characters that are cut in part; or "digest", the column then being
+    `kept_sha256`. n_bytes, n_removed and n_spans count the text's bytes, those removed and their runs.
     """
     spark = docs.sparkSession
     blocks, n = stored_blocks(docs, key, text, block)
@@ -394,7 +395,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     third = third.select("block", "keys", "ends", "data", "rest", F.expr("transform(filter(gone, x -> x.block = block), x -> x.ranges)").alias("gone"))
 
     kept = [f for f in docs.schema.fields if f.name not in (text, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")]
-    last = T.StructField("kept_sha256", T.StringType()) if digest else T.StructField("kept", T.BinaryType())
+    last = T.StructField("kept_sha256", T.StringType()) if result == "digest" else T.StructField("kept", T.BinaryType() if result == "bytes" else T.StringType())
     schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), last])
     others = [c for c in docs.columns if c not in (key, text)]
     kind = {"bigint": pa.int64(), "int": pa.int32()}[docs.schema[key].dataType.simpleString()]
@@ -415,7 +416,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
             total, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (covered, begins))
             rest_of = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(at, at[1:])]
             made = {key: pa.array(keys, kind, mask=keys == LAST), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64())}
-            made[last.name] = pa.array([hashlib.sha256(x).hexdigest() for x in rest_of]) if digest else pa.array(rest_of, pa.binary())
+            if result == "digest":
+                made[last.name] = pa.array([hashlib.sha256(x).hexdigest() for x in rest_of])
+            elif result == "text":
+                made[last.name] = pa.array([x.decode("utf-8", "ignore") for x in rest_of])
+            else:
+                made[last.name] = pa.array(rest_of, pa.binary())
             if others:
                 table = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
                 for i, c in enumerate(others):
