@@ -4,13 +4,14 @@ A byte goes if a string of WIDTH bytes covers it that also starts in a document
 such strings are sorted one bucket at a time. The bucket of a suffix is the least hashed K-gram among those of its first
 WIDTH bytes (its anchor), so equal strings meet in one bucket, at equal distances from their anchors. A bucket's text is
 laid out with its anchors on multiples of V; a difference cover modulo V picks the sample positions, whose ranks are
-computed first. Suffixes are then sorted by V bytes, and ties longer than that are resolved by the ranks of the sample
-positions that lie equally far behind them. Neighbours that agree in WIDTH bytes form a group, whose smallest key keeps
+computed first. Suffixes of one bucket and residue are then sorted by one word, which reaches the next sample position,
+and longer ties are resolved by that position's rank, as it lies equally far behind each of them. Neighbours that agree in WIDTH bytes form a group, whose smallest key keeps
 its string. Memory holds one bucket's text and ranks at a time.
 
 Across the cluster: documents are gathered into blocks of a few MB, stored once. A first pass finds which anchors occur in
-more than one document (sorted hashes by shard; the answer is a bit for each). A second pass resolves each block by
-itself, which combines before the shuffle, and sends only what is left of shared buckets to the shards that sort them. Ranges to
+more than one document (sorted hashes by shard; the answer is a bit for each). A second pass drops, in each
+block, slices that an earlier document of the block holds whole, and sends the others to the shards that sort them, so a
+passage that many documents share costs a row for each block. Ranges to
 remove come back to the blocks, which are bucketed so that their text is never shuffled.
 
 Defined results: null and empty texts have no bytes and lose none; whole texts are judged; equal keys are one document;
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.llm.common import shared_dir, splitmix, text_chunks, width
+from sieveline.llm.words import BACK, STEP, power
 
 WIDTH, K = 50, 24
 V = 32
 #: Bytes of a block's texts, if no text alone has more.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Bytes of one suffix bucket's text, if no anchor alone has more.
-BUCKET = 3_000_000
+BUCKET = 2_000_000
 LAST = (1 << 63) - 1
 
 
@@ -114,18 +116,38 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, count: np.ndarray, lea
         lo = hi
         if len(rows) < 2:
             continue
-        flags = _sort_bucket(text, begin[rows], count[rows], lead[rows], doc[rows])
+        flags = _sort_bucket(text, begin[rows], count[rows], lead[rows], anchor[rows], doc[rows])
         to = np.repeat(ends[rows] - count[rows], count[rows]) + _steps(count[rows])
         out[to] = flags
     return out
 
 
+def held_before(data: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each slice: whether a document of a smaller key holds the same bytes around the same anchor. Hashes find, bytes confirm."""
+    out = np.zeros(len(begin), bool)
+    length = count + WIDTH - 1
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTES[data] * power(STEP, len(data), "step"), out=total[1:])
+        key = splitmix((total[begin + length] - total[begin]) * power(BACK, len(data), "back")[begin] + anchor + (lead * 64 + count).astype(np.uint64))
+    by = np.lexsort((doc, key))
+    new = np.append(True, key[by][1:] != key[by][:-1])
+    head = np.repeat(by[new], np.diff(np.append(np.flatnonzero(new), len(by))))
+    may = (doc[by] > doc[head]) & (length[by] == length[head]) & (lead[by] == lead[head])
+    own, first = by[may], head[may]
+    if len(own):
+        steps, size = _steps(length[own]), length[own]
+        same = data[np.repeat(begin[own], size) + steps] == data[np.repeat(begin[first], size) + steps]
+        out[own] = np.logical_and.reduceat(same, np.cumsum(size) - size)
+    return out
+
+
 def _steps(count: np.ndarray) -> np.ndarray:
     """0, 1, .. for each count."""
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _sort_bucket(text: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _sort_bucket(text: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     length = count + WIDTH - 1
     # each slice starts where its anchor falls on a multiple of V
     shift = (-lead) % V
@@ -138,20 +160,24 @@ def _sort_bucket(text: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: n
     word = np.zeros(total + V + 56, np.uint64)
     for k in range(8):
         word |= laid[k : k + len(word)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    # ranks of the sample positions, to the depth that a tie can need
-    sample = (np.arange(0, total + V, V)[:, None] + COVER).ravel()
-    sample = sample[sample + 48 < len(word)]
+    start = np.repeat(base, count) + _steps(count)
+    residue = (start % V).astype(np.int32)
+    # ranks of the sample positions that suffixes lean on, to the depth that a tie can need
+    behind = start + AHEAD[residue]
+    sample = np.zeros(len(word), bool)
+    sample[behind] = True
+    sample = np.flatnonzero(sample)
     deep = [word[sample + 8 * k] for k in range(6, -1, -1)]
     by = np.lexsort(deep)
     new = np.zeros(len(by), bool)
     for w in deep:
-        new[1:] |= w[by[1:]] != w[by[:-1]]
+        w = w[by]
+        new[1:] |= w[1:] != w[:-1]
     rank = np.zeros(len(word), np.int32)
     rank[sample[by]] = np.cumsum(new)
-    start = np.repeat(base, count) + _steps(count)
-    residue = start % V
-    behind = rank[start + AHEAD[residue]]
-    by = np.lexsort((behind, residue, word[start + 24], word[start + 16], word[start + 8], word[start]))
+    # a suffix is its bytes up to the next sample position, which one word holds, and that position's rank
+    bucket = np.repeat(np.cumsum(np.append(False, anchor[1:] != anchor[:-1])), count).astype(np.int32) * V + residue
+    by = np.lexsort((rank[behind], word[start], bucket))
     at = start[by]
     new = np.zeros(len(at), bool)
     new[:1] = True
@@ -228,7 +254,7 @@ def stored_blocks(docs: DataFrame, key: str, text: str, size: int) -> tuple[Data
 
         def full() -> pa.RecordBatch:
             nonlocal made, used
-            part = int(values[(task * 7 + used // (6 * size)) % n])
+            part = int(values[(task * 7 + used // (12 * size)) % n])
             keys = np.concatenate([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
             data = b"".join(h[2] for h in held)
@@ -279,7 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
     """
     spark = docs.sparkSession
     blocks, n = stored_blocks(docs, key, text, block)
-    shards = n
+    shards = 4 * n  # smaller than partitions, as a shard is held in memory at once
     edges = (np.arange(1, shards, dtype=np.float64) / shards * 2.0**48).astype(np.uint64)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +343,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
             yield pa.RecordBatch.from_arrays([group.column("part").combine_chunks(), group.column("block").combine_chunks(), group.column("shard").combine_chunks(), pa.array([np.packbits(flags[e - c : e]).tobytes() for e, c in zip(ends, sizes)]), pa.array(sizes)], names=["part", "block", "shard", "bits", "n"])
 
     known = blocks.select("part", "block", "keys", "ends", "data").mapInArrow(hashes, "shard long, part long, block long, hashes binary, several binary")
-    known = known.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "block")
+    known = known.repartitionById(n, (F.col("shard") % n).cast("int")).sortWithinPartitions("shard", "block")
     bits = known.mapInArrow(shared, "part long, block long, shard long, bits binary, n long")
     bits = bits.groupBy("part").agg(F.collect_list(F.struct("block", "shard", "bits", "n")).alias("answers"))
     second = blocks.select("part", "block", "keys", "ends", "data").join(bits.hint("shuffle_hash"), "part")
@@ -337,28 +363,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
             if not len(begin):
                 continue
             doc = keys[np.searchsorted(at, begin, "right") - 1]
-            gone = repeated_windows(data, begin, count, lead, h, doc)
-            starts = np.repeat(begin, count) + _steps(count)
-            lo, hi = _ranges(gone, starts)
-            rows = [(0, -1, lo, hi, b"", b"")]
-            # what is left of each slice, as slices of its own
-            slice_of = np.repeat(np.arange(len(begin)), count)[~gone]
-            left = starts[~gone]
-            if len(left):
-                new = np.ones(len(left), bool)
-                new[1:] = (left[1:] != left[:-1] + 1) | (slice_of[1:] != slice_of[:-1])
-                f = np.flatnonzero(new)
-                s, c, o = left[f], np.diff(np.append(f, len(left))), slice_of[f]
-                l, g, d = (begin + lead)[o] - s, h[o], doc[o]
-                by = np.argsort(g, kind="stable")
-                cut = np.concatenate([[0], np.searchsorted(g[by] >> np.uint64(16), edges, "left"), [len(by)]])
-                for shard in range(shards):
-                    i = by[cut[shard] : cut[shard + 1]]
-                    if len(i):
-                        length = c[i] + WIDTH - 1
-                        body = data[np.repeat(s[i], length) + _steps(length)]
-                        meta = np.concatenate([g[i].view(np.int64), d[i], s[i], c[i], l[i]]).astype("<i8")
-                        rows.append((1, shard, np.zeros(0, np.int64), np.zeros(0, np.int64), pack.compress(meta.tobytes()), pack.compress(body.tobytes())))
+            gone = held_before(data, begin, count, lead, h, doc)
+            rows = [(0, -1, begin[gone], begin[gone] + count[gone] + WIDTH - 1, b"", b"")]
+            s, c, l, g, d = (x[~gone] for x in (begin, count, lead, h, doc))
+            by = np.argsort(g, kind="stable")
+            cut = np.concatenate([[0], np.searchsorted(g[by] >> np.uint64(16), edges, "left"), [len(by)]])
+            for shard in np.flatnonzero(np.diff(cut)).tolist():
+                i = by[cut[shard] : cut[shard + 1]]
+                length = c[i] + WIDTH - 1
+                body = data[np.repeat(s[i], length) + _steps(length)]
+                meta = np.concatenate([g[i].view(np.int64), d[i], s[i], c[i], l[i]]).astype("<i8")
+                rows.append((1, shard, np.zeros(0, np.int64), np.zeros(0, np.int64), pack.compress(meta.tobytes()), pack.compress(body.tobytes())))
             spread = row["block"] % shards
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] if r[0] else spread for r in rows], pa.int32()), pa.array([row["part"]] * len(rows)), pa.array([row["block"]] * len(rows)), pa.array([np.concatenate([r[2], r[3]]).astype("<i8").tobytes() for r in rows]), pa.array([r[4] for r in rows]), pa.array([r[5] for r in rows])], names=["kind", "shard", "part", "block", "ranges", "meta", "body"])
 
@@ -388,7 +403,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
                     yield pa.RecordBatch.from_arrays([pa.array([parts[i]]), pa.array([names_[i]]), pa.array([np.concatenate([lo, hi]).astype("<i8").tobytes()])], names=["part", "block", "ranges"])
 
     sliced = second.mapInArrow(resolve, "kind int, shard int, part long, block long, ranges binary, meta binary, body binary")
-    sliced = sliced.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
+    sliced = sliced.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "block")
     gone = sliced.mapInArrow(sort_shard, "part long, block long, ranges binary")
     gone = gone.groupBy("part").agg(F.collect_list(F.struct("block", "ranges")).alias("gone"))
     third = blocks.join(gone.hint("shuffle_hash"), "part", "left")

@@ -21,7 +21,7 @@ with np.errstate(over="ignore"):
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
+def power(base: np.uint64, n: int, name: str) -> np.ndarray:
     found = _powers.get(name)
     if found is None or len(found) < n:
         with np.errstate(over="ignore"):
@@ -54,7 +54,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, of: np.ndarray = UNSPACED, pre
         ends = np.minimum(ends, starts + prefix)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * _power(STEP, n, "step"), out=total[1:])
-        hashes = splitmix((total[ends] - total[starts]) * _power(BACK, n, "back")[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(_VALUE[data] * power(STEP, n, "step"), out=total[1:])
+        hashes = splitmix((total[ends] - total[starts]) * power(BACK, n, "back")[starts] + (ends - starts).astype(np.uint64))
     counts = np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
     return hashes, counts
