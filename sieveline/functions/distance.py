@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,11 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return table[-1][-1]
 
 
-@F.pandas_udf("int")
-def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b)], dtype="Int32")
+def damerau(a: Column | str, b: Column | str) -> Column:
+    """damerau_levenshtein of two columns, in batches."""
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else damerau_levenshtein(p, q) for p, q in zip(x, y)], dtype="Int32")
+
+    return distance(a, b)

@@ -109,10 +109,14 @@ def url_kind(x: Column) -> Column:
 
 def entropy(x: Column) -> Column:
     """Shannon entropy of a string's characters in bits; 0 for an empty one."""
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    n = F.size(chars)
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
+
+    def bits(chars: Column) -> Column:
+        n = F.size(chars)
+        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+        return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
+
+    # the characters are bound once, not for each use
+    return F.element_at(F.transform(F.array(F.filter(F.split(x, ""), lambda c: c != "")), bits), 1)
 
 
 def opaque_value(name: Column, value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,19 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside a lambda, an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(tokens: Column, k: int = SHINGLE) -> Column:
     """The distinct hashes (16 hex digits) of all runs of k tokens; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.substring(F.sha2(F.array_join(F.slice(tokens, i + 1, F.lit(k)), " "), 256), 1, 16))
-    return F.when(F.size(tokens) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def hashed(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i + 1, F.lit(k)), " "), 256), 1, 16))
+        return F.when(F.size(t) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, hashed)
 
 
 def sketch(hashes: Column, n: int = SKETCH) -> Column:

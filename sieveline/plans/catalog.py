@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as fn
+from sieveline.operators import identity, lines, report
+from sieveline.plans import findings_plans, package_plans, text_plans, version_plans
+from sieveline.schema import as_findings
+
+_PARTS = (findings_plans, version_plans, text_plans, package_plans)
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents: written-out tokens and license lines, each with its token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    rows = lines.lines(docs.where(F.col("text").rlike('(?i)token = "|licen[sc]e|copyright|spdx')), "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    secrets = as_findings(rows.where(F.col("value").rlike('token = "[0-9a-f]{40}"')), id=F.lit("text/token-literal"), command=F.lit("audit"), severity="high", confidence="high", file=path, line=F.col("line"), message=F.lit("a token is written out"), fixable=True, seed_kind="line", seed_text=F.col("value"))
+    licenses = as_findings(rows.where(fn.is_license(F.col("value"))), id=F.lit("text/license-line"), command=F.lit("review"), severity="info", confidence="medium", file=path, line=F.col("line"), message=F.lit("a license is named"), fixable=False, seed_kind="line", seed_text=F.col("value"))
+    return identity.assign_tokens(secrets.unionByName(licenses))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """By source: counts of findings by severity, and the score."""
+    found = document_findings(spark, sf_dir).withColumn("source", F.split_part("file", F.lit("/"), F.lit(1)))
+    return report.summary(found, "source").join(report.score(found, "source"), "source")
+
+
+def document_finding_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_findings(spark, sf_dir).select("id", "file", "line", "severity", "fingerprint")
+
+
+QUERIES = {"document_summary": flagship, "document_finding_tokens": document_finding_tokens} | {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+_FOUND = f"""{text_plans._L}, g AS (SELECT 'text/token-literal' AS id, 'high' AS severity, 10 AS weight, true AS fixable, doc_id, line, value FROM lines WHERE regexp_matches(value, 'token = "[0-9a-f]{{40}}"')
+ UNION ALL SELECT 'text/license-line', 'info', 0, false, doc_id, line, value FROM lines WHERE regexp_matches(value, '(?i)copyright|licen[sc]e|spdx')),
+ d AS (SELECT g.*, source, source || '/' || g.doc_id AS file FROM g JOIN documents USING (doc_id)),
+ h AS (SELECT *, substr(sha256('gdv1' || chr(0) || id || chr(0) || file || chr(0) || 'line' || chr(0) || rtrim(value)), 1, 32) AS digest FROM d)"""
+ORACLE_SQL = {
+    "document_summary": f"WITH {_FOUND} SELECT source, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (fixable) AS fixable, CAST(greatest(0, 100 - sum(weight)) AS INTEGER) AS score FROM d GROUP BY source",
+    "document_finding_tokens": f"WITH {_FOUND} SELECT id, file, line, severity, 'gdv1:' || digest || CASE WHEN count(*) OVER (PARTITION BY digest) > 1 THEN '#' || (row_number() OVER (PARTITION BY digest ORDER BY line) - 1) ELSE '' END AS fingerprint FROM h",
+} | {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
