@@ -198,7 +198,7 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", decoded
     """df with the ids of each whole text, and with the text that these ids decode to, in place of the text column."""
     made = [ids] + [decoded] * bool(decoded)
     kept = [f for f in df.schema.fields if f.name not in (text, *made)]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded, T.StringType(), False)] * bool(decoded))
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
     names = [f.name for f in kept]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
