@@ -185,6 +185,14 @@ def script_rows(text: str) -> list[tuple]:
                 named = next((value(k + 1) for k in range(i + 1, min(i + 5, n)) if value(k) in ("function", "class", "const", "let", "var", "interface", "type", "enum", "namespace")), None)
                 if named:
                     put("export", i, named)
+                elif after == "{" and i + 1 in pairs:
+                    for k in range(i + 2, pairs[i + 1]):
+                        if kind_of(k) == "name" and value(k) not in ("as", "type") and value(k + 1) in (",", "}"):
+                            put("export", k, value(k))
+                elif after in ("*", "="):
+                    put("export", i, "*", string(i + 3), "dynamic")
+                elif after == "default":
+                    put("export", i, "default")
         if word == "require" and after == "(" and string(i + 2) is not None:
             bound = value(i - 2) if value(i - 1) == "=" and kind_of(i - 2) == "name" else ""
             put("import", i, "" if string(i + 2).startswith(".") else "/".join(string(i + 2).split("/")[: 2 if string(i + 2).startswith("@") else 1]), string(i + 2), bound)

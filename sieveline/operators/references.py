@@ -41,3 +41,22 @@ def in_ranges(hits: DataFrame, ranges: DataFrame, whole: bool = False) -> DataFr
     last = F.col("h.end_line") if whole else F.col("h.line")
     on = (F.col("h.path") == F.col("r.path")) & (F.col("r.start") <= F.col("h.line")) & (last <= F.col("r.end"))
     return hits.alias("h").join(ranges.alias("r"), on, "left_semi")
+
+
+def surface_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packages (package, tier), surface (package, member)) of extracted export rows with a package column."""
+    exports = rows.where("kind = 'export'")
+    tier = F.when(F.bool_or(F.col("detail").eqNullSafe(F.lit("dynamic"))), "dynamic").otherwise("trusted")
+    return exports.groupBy("package").agg(tier.alias("tier")), exports.where("name <> '*'").select("package", F.col("name").alias("member")).distinct()
+
+
+def expand_reexports(surface: DataFrame, reexports: DataFrame) -> DataFrame:
+    """surface with what `export *` brings from other modules, one level deep; reexports: (package, target)."""
+    brought = reexports.join(surface.select(F.col("package").alias("target"), "member"), "target").select("package", "member")
+    return surface.select("package", "member").unionByName(brought).distinct()
+
+
+def bound_members(members: DataFrame, imports: DataFrame) -> DataFrame:
+    """Member accesses (path, name, member) on import bindings (path, binding, module, seq) of the same file; the last binding wins."""
+    bound = imports.groupBy("path", "binding").agg(F.max_by("module", "seq").alias("package"))
+    return members.join(bound.withColumnRenamed("binding", "name"), ["path", "name"]).select("path", "package", "member")

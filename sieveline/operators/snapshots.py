@@ -54,3 +54,23 @@ def lookup(names: DataFrame, cache: DataFrame, now: int, ttl: int) -> DataFrame:
     live = F.when(F.lit(now) - F.col("fetched_at") <= ttl, F.col("exists_flag"))
     verdict = F.when(live == 1, "exists").when(live == 0, "missing").otherwise("inconclusive")
     return names.join(cache, ["ecosystem", "name"], "left").withColumn("existence", verdict)
+
+
+def snapshot_if_changed(trees: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, is_new) for a fresh tree (path, hash): the newest id that has the same tree, or the next id."""
+    known = tree_hash(trees)
+    own = tree_hash(fresh.withColumn("id", F.lit(0).cast(trees.schema["id"].dataType))).select("hash", "n")
+    same = known.join(own, ["hash", "n"], "left_semi").agg(F.max("id").alias("same"))
+    last = trees.agg(F.max("id").alias("last"))
+    return same.crossJoin(last).select(F.coalesce("same", F.col("last") + 1, F.lit(1)).alias("id"), F.col("same").isNull().alias("is_new"))  # one row each
+
+
+def resolve_ids(asked: DataFrame, snapshots: DataFrame, namespaces: tuple[str, ...] = ("manual", "auto")) -> DataFrame:
+    """asked (id) with the namespace that has it, the first of several."""
+    order = F.array_position(F.array(*map(F.lit, namespaces)), F.col("namespace"))
+    best = snapshots.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("namespace"))).alias("b")).select("id", F.col("b.namespace").alias("namespace"))
+    return asked.join(best, "id", "left")
+
+
+def materialize(trees: DataFrame, id: int) -> DataFrame:
+    return trees.where(F.col("id") == id).select("path", "hash")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sieveline.functions import paths
 from sieveline.functions import text as fn
-from sieveline.operators import packages, references, rules
+from sieveline.operators import packages, references, rewrites, rules, snapshots
 
 
 def _t(spark, sf_dir, name):
@@ -116,11 +117,45 @@ def glob_filter(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", *match)
 
 
+def relative_imports(spark, sf_dir):
+    """Line items as imports: a file two folders deep, and a specifier that goes up by quantity."""
+    file = F.concat(F.lit("a/b"), F.col("l_suppkey").cast("string"), F.lit("/f.ts"))
+    spec = F.concat(F.lit("./"), F.repeat(F.lit("../"), (F.col("l_linenumber") % 4)), F.lit("x/./p"), F.col("l_partkey").cast("string"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", paths.resolve_relative(file, spec).alias("path"))
+
+
+def free_env_keys(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select("p_partkey", fn.env_key(F.concat_ws("_", "p_name", (F.col("p_size") % 3).cast("string"))).alias("base"))
+    return rewrites.free_keys(rows, "base", ["p_partkey"], ["RED_BOLT_1"]).select("p_partkey", "key")
+
+
+def span_rewrites(spark, sf_dir):
+    """Each benchmark text with its first word and its sixth to tenth characters replaced."""
+    texts = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"), "text")
+    first = F.length(F.regexp_extract("text", r"\A([A-Za-z]{0,4})", 1))
+    spans = texts.select("path", F.lit(0).alias("start"), first.alias("end"), F.substring("text", F.lit(1), first).alias("old"), F.lit("WORD").alias("new"))
+    later = texts.select("path", F.lit(5).alias("start"), F.lit(10).alias("end"), F.substring("text", 6, 5).alias("old"), F.lit("<>").alias("new"))
+    return rewrites.apply_spans(texts, spans.unionByName(later)).select("path", "text", "stale")
+
+
+def resolve_snapshot_ids(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    rows = orders.select((F.col("o_orderkey") % 5000).alias("id"), F.when(F.col("o_orderstatus") == "F", "manual").otherwise("auto").alias("namespace"))
+    return snapshots.resolve_ids(_t(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("id")), rows)
+
+
+def declared_stack(spark, sf_dir):
+    kinds = F.when(F.col("p_name").endswith("bolt"), "flask").when(F.col("p_name").endswith("ring"), "django").otherwise("other")
+    declared = _t(spark, sf_dir, "part").where("p_size > 48 or p_type = 'SMALL'").select(F.col("p_brand").alias("project"), kinds.alias("name"), F.when(F.col("p_size") > 10, "pypi").otherwise("npm").alias("ecosystem"))
+    return rewrites.stack_of(declared)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pep503_names, typosquat_near_names, typosquat_reasons, resolution_cascade, phantom_refs, undeclared_refs, candidate_names, first_import_site, orphan_keys, dead_names,
         usage_surface_miss, miss_rollup, introduced_lines, rule_gating_matrix, text_rule_hits, glob_filter,
+        relative_imports, free_env_keys, span_rewrites, resolve_snapshot_ids, declared_stack,
     )
 }
 _N = """part_n AS (SELECT replace(p_name, ' ', '-') AS name, p_partkey AS k FROM part),
@@ -149,5 +184,9 @@ ORACLE_SQL = {
     "introduced_lines": "WITH h AS (SELECT l_suppkey % 20 AS path, CAST(trunc(l_extendedprice / 100) AS INTEGER) AS line, l_orderkey, l_linenumber FROM lineitem) SELECT path, line, l_orderkey, l_linenumber FROM h WHERE EXISTS (SELECT 1 FROM part WHERE p_size = 7 AND p_partkey % 20 = path AND line BETWEEN p_partkey AND p_partkey + 30)",
     "rule_gating_matrix": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM d WHERE {g}" for r, _, g, _ in _GATES),
     "text_rule_hits": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path, text FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity FROM d WHERE {g} AND regexp_matches(text, '{t}')" for r, s, g, t in _GATES),
+    "relative_imports": "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'a/b' || l_suppkey || '/x/p' || l_partkey WHEN 1 THEN 'a/x/p' || l_partkey WHEN 2 THEN 'x/p' || l_partkey END AS path FROM lineitem",
+    "span_rewrites": "WITH s AS (SELECT item_id, text, length(regexp_extract(text, '^([A-Za-z]{0,4})', 1)) AS n FROM benchmark) SELECT item_id AS path, 'WORD' || substr(text, n + 1, 5 - n) || '<>' || substr(text, 11) AS text, false AS stale FROM s",
+    "resolve_snapshot_ids": "WITH r AS (SELECT o_orderkey % 5000 AS id, CASE WHEN o_orderstatus = 'F' THEN 'manual' ELSE 'auto' END AS namespace FROM orders) SELECT c_custkey * 7 AS id, (SELECT max(namespace) FROM r WHERE r.id = c_custkey * 7) AS namespace FROM customer",
+    "declared_stack": "WITH d AS (SELECT p_brand AS project, p_name, CASE WHEN p_size > 10 THEN 'pypi' ELSE 'npm' END AS e FROM part WHERE p_size > 48 OR p_type = 'SMALL') SELECT project, CASE WHEN bool_or(ends_with(p_name, 'bolt')) THEN 'flask' WHEN bool_or(ends_with(p_name, 'ring')) THEN 'django' WHEN bool_or(e = 'npm') THEN 'node' ELSE 'unknown' END AS stack FROM d GROUP BY project",
     "glob_filter": "WITH p AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents) SELECT doc_id, regexp_matches(path, '\\.txt$') AS \"any\", regexp_matches(path, '^[^/]*/en/[^/]*$') AS english, regexp_matches(path, '^src(1|2)/') AS \"some\", regexp_matches(path, '^src[^/]/[^/]*/[^/]*$') AS one FROM p",
 }

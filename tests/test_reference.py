@@ -143,6 +143,26 @@ def test_numbered_keys(spark):
     assert {r.i: r.key for r in lines.numbered_keys(df, fn.env_key(F.col("n")), ["i"]).collect()} == {1: "A", 2: "A_2", 3: "B"}
 
 
+def test_paths_and_rewrites(spark):
+    from sieveline.functions import paths
+    from sieveline.operators import references, rewrites
+
+    assert [one(spark, paths.resolve_relative(F.col("f"), F.col("s")), f="a/b/c.ts", s=s) for s in ("./d", "../d/./e", "../../d", "../../../d", "pkg", "..")] == ["a/b/d", "a/d/e", "d", None, None, "a"]
+    assert one(spark, paths.resolve_dotted(F.col("f"), F.col("s")), f="a/b/c.py", s="..x.y") == "a/x/y"
+    assert one(spark, paths.under_aliases(F.col("s"), {"@/": "src/", "@/lib/": "lib/"}), s="@/lib/x") == "lib/x"
+    rows = spark.createDataFrame([(1, "K"), (2, "K_2"), (3, "K"), (4, "K"), (5, "J")], "i int, base string")
+    assert {r.i: r.key for r in rewrites.free_keys(rows, "base", ["i"], ["J"]).collect()} == {1: "K", 2: "K_2", 3: "K_3", 4: "K_4", 5: "J_2"}
+    texts = spark.createDataFrame([("p", "abc def"), ("q", "changed")], "path string, text string")
+    spans = spark.createDataFrame([("p", 0, 3, "abc", "X"), ("p", 4, 7, "def", "long"), ("q", 0, 2, "xx", "y")], "path string, start int, end int, old string, new string")
+    assert {tuple(r) for r in rewrites.apply_spans(texts, spans).collect()} == {("p", "X long", False), ("q", "changed", True)}
+    surface = spark.createDataFrame([("a", "x"), ("b", "y")], "package string, member string")
+    again = spark.createDataFrame([("a", "b")], "package string, target string")
+    assert {tuple(r) for r in references.expand_reexports(surface, again).collect()} == {("a", "x"), ("b", "y"), ("a", "y")}
+    trees = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "id int, path string, hash string")
+    assert tuple(snapshots.snapshot_if_changed(trees, trees.where("id = 1").select("path", "hash")).head()) == (1, False)
+    assert tuple(snapshots.snapshot_if_changed(trees, spark.createDataFrame([("b", "z")], "path string, hash string")).head()) == (3, True)
+
+
 def test_stream(spark, tmp_path):
     rows = [(f"t{i}", "r", f"2024-01-01 00:{i:02d}:00") for i in range(10)]
     spark.createDataFrame(rows, "fingerprint string, id string, ts string").write.parquet(str(tmp_path / "in"))
