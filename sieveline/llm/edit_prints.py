@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import width
+from sieveline.llm.common import splitmix, staged, width
+from sieveline.llm.graph import connected_components
+from sieveline.llm.near_dup import BLOCK, _by_group
 
 SLOTS = 64
 CHARS = 4_000_000
@@ -35,6 +37,8 @@ SALT = _rng.integers(1, 1 << 62, SLOTS, dtype=np.uint64) | np.uint64(1)
 REST = np.zeros(16, np.uint8)
 #: Bands and their slots for finding near pairs.
 BANDS, WIDTH = 16, 3
+#: Characters of a gram, for the pairs that no band finds.
+GRAM = 12
 
 
 def _records() -> list[np.ndarray]:
@@ -204,13 +208,130 @@ def plain_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
+def grams(text: str, distance: int) -> tuple[np.ndarray, bool]:
+    """(the least GRAM * distance + 1 hashes of runs of GRAM characters, whether the text has no more than GRAM * distance).
+
+    An edit changes at most GRAM runs, so texts within the distance share the least hash of what both hold, unless both have few.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(code) - GRAM + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + code[k : k + n]
+    found = np.unique(splitmix(mixed))
+    return found[: GRAM * distance + 1], len(found) <= GRAM * distance
+
+
+def within(a: str, b: str, distance: int) -> int:
+    """The edit distance of two texts, or -1 if it exceeds the distance: by diagonals, the farthest row that e edits reach."""
+    n, m, none = len(a), len(b), -9
+    before = [none] * (2 * distance + 3)
+    for e in range(distance + 1):
+        now = [none] * (2 * distance + 3)
+        for k in range(-e, e + 1):
+            at = k + distance + 1
+            i = min(0 if e == 0 else max(before[at] + 1, before[at - 1], before[at + 1] + 1), n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            w, grow = 8, True
+            while w:
+                t = min(w, n - i, m - i - k)
+                if t and a[i : i + t] == b[i + k : i + k + t]:
+                    i += t
+                else:
+                    grow = False
+                w = w * 2 if grow else w // 2
+            if i == n and i + k == m:
+                return e
+            now[at] = i
+        before = now
+    return -1
+
+
+def gram_buckets(one: DataFrame, distance: int) -> DataFrame:
+    """(bucket, id): texts of like length that share one of their least grams, and those of like length with few grams."""
+    cell = 8 * (distance + 1)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            with np.errstate(over="ignore"):
+                for t in batch.column(1).to_pylist():
+                    found, few = grams(t, distance)
+                    found = np.append(found, np.uint64(0)) if few else found
+                    cells = np.unique([len(t) // cell, (len(t) + distance) // cell]).astype(np.uint64)
+                    out.append(np.concatenate([splitmix(found + splitmix(c + np.uint64(1))) for c in cells]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "buckets"])
+
+    kind = one.schema["id"].dataType.simpleString()
+    return one.select("id", "text").mapInArrow(make, f"id {kind}, buckets array<long>").select(F.explode("buckets").alias("bucket"), "id").distinct()
+
+
+def across_links(one: DataFrame, first: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b, distance) that join components of the links `first`: every near pair of `one` is then linked or connected.
+
+    The members of a bucket that spans components are dealt in pairs of blocks of BLOCK texts.
+    """
+    spark, kind = one.sparkSession, one.schema["id"].dataType.simpleString()
+    buckets = staged(gram_buckets(one, distance), "grams")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    parts = connected_components(first).withColumnRenamed("node", "id")
+    known = buckets.join(shared, "bucket").join(parts, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+    spans = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    dealt = (
+        known.join(spans, "bucket")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "own", "other", "id", "component")
+    )
+    rows = dealt.join(one.select("id", "text"), "id").repartition(width(spark), "place").sortWithinPartitions("place")
+
+    def counts(texts: list[str]) -> np.ndarray:
+        """Characters of each of 64 kinds: an edit changes two counts at most, by one each."""
+        return np.stack([np.bincount(classes(t) & 63, minlength=64) for t in texts]).astype(np.int32)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_group(batches, "place"):
+            ids, parts_, texts = (group.column(c).to_pylist() for c in ("id", "component", "text"))
+            own, other = group.column("own").to_numpy(), group.column("other").to_numpy()
+            sides = np.unique(own)
+            if len(sides) == 1 and (other != own).any():
+                continue  # the other block of this pair is empty
+            a = np.flatnonzero(own == sides[0])
+            b = a if len(sides) == 1 else np.flatnonzero(own == sides[1])
+            seen = counts(texts)
+            at: dict = {}
+
+            def root(x):
+                while x in at:
+                    x = at[x]
+                return x
+
+            out = []
+            for n, x in enumerate(a.tolist()):
+                rest = b[n + 1 :] if len(sides) == 1 else b
+                for y in rest[np.abs(seen[rest] - seen[x]).sum(1) <= 2 * distance].tolist():
+                    p, q = root(parts_[x]), root(parts_[y])
+                    if p != q and (far := within(texts[x], texts[y], distance)) >= 0:
+                        at[p] = q
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y]), far))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out]).cast(ids_type if c < 2 else pa.int32()) for c in range(3)], names=["a", "b", "distance"])
+
+    ids_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    return rows.select("place", "own", "other", "id", "component", "text").mapInArrow(across, f"a {kind}, b {kind}, distance int")
+
+
 def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 20) -> DataFrame:
-    """(a, b, distance): documents within an edit distance of the first document of a band's bucket.
+    """(a, b, distance): links within an edit distance, whose components are those of all pairs within it.
 
     Bands of sampled slots propose, each bucket links to its smallest key instead of emitting all pairs, and the edit
-    distance verifies. Equal texts collapse to their smallest key first.
+    distance verifies. As bands miss pairs, and a bucket's smallest key stands for not all of it, the members of gram
+    buckets that are then still unconnected are compared exactly. Equal texts collapse to their smallest key first.
     """
     one = docs.where(F.col(key).isNotNull()).groupBy(F.coalesce(F.col(text), F.lit("")).alias("text")).agg(F.min(key).alias("id"))
+    one = staged(one, "texts")
     drawn = plain_fingerprints(one, "id", "text")
     places = np.random.default_rng(3).permutation(SLOTS)[: BANDS * WIDTH].reshape(BANDS, WIDTH)
     bands = F.array(*(F.concat(F.lit(f"{i}:"), *(F.substring("fingerprint", int(2 * p + 1), 2) for p in row)) for i, row in enumerate(places)))
@@ -219,4 +340,5 @@ def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     pairs = banded.join(heads, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     texts = one.select("id", "text")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", F.levenshtein("ta", "tb", distance).alias("distance")).where("distance >= 0")
+    first = staged(both.select("a", "b", F.levenshtein("ta", "tb", distance).alias("distance")).where("distance >= 0"), "links")
+    return first.unionByName(staged(across_links(one, first, distance), "links")).distinct()

@@ -335,3 +335,65 @@ def test_near_links_finds_edits(spark):
         rows += [(2 * i, text), (2 * i + 1, text[:k] + "q" + text[k + 1 :])]
     found = {(r.a, r.b) for r in edit_prints.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found & {(2 * i, 2 * i + 1) for i in range(60)}) >= 57 and all(a // 2 == b // 2 for a, b in found)
+
+
+def brute_components(rows, distance=20):
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(rows, 2):
+        if abs(len(s) - len(t)) <= distance and find(a) != find(b) and edit_prints.within(s, t, distance) >= 0:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: find(i) for i in parent}
+
+
+def edited(text: str, edits: int, rng: random.Random) -> str:
+    for _ in range(edits):
+        k = rng.randrange(len(text) + 1)
+        text = text[:k] + rng.choice(["", "q", "z"]) + text[k + rng.randint(0, 1) :]
+    return text
+
+
+def components_of(links, ids):
+    found = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            found[a] = found[b] = min(found[a], found[b])
+    return found
+
+
+def test_near_links_chain(spark):
+    rows = []
+    for g in range(8):  # A-B and B-C are near, A-C is not, and A heads the buckets that B and C share
+        a = prose(300 + g, 150)
+        places = sorted(random.Random(g).sample(range(len(a)), 30))
+        b = "".join("#" if k in places[:15] else c for k, c in enumerate(a))
+        c = "".join("#" if k in places else c for k, c in enumerate(a))
+        rows += [(3 * g, a), (3 * g + 1, b), (3 * g + 2, c)]
+    got = edit_prints.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert all(edit_prints.within(texts[r.a], texts[r.b], 20) == r.distance for r in got)
+    assert components_of([(r.a, r.b) for r in got], texts) == {i: i - i % 3 for i in texts}
+
+
+def test_near_links_equal_brute_force_on_short_texts(spark):
+    rng, rows = random.Random(12), [(0, ""), (1, "a"), (2, "b" * 60), (3, "b" * 85), (4, "漢字" * 30), (5, "漢字" * 29 + "x")]
+    for g in range(60):
+        text = prose(900 + g, 400)[: rng.choice((30, 60, 120, 240, 330, 600))]
+        rows += [(10 + 3 * g, text), (11 + 3 * g, edited(text, 20, rng)), (12 + 3 * g, edited(text, 5, rng))]
+    got = edit_prints.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert components_of([(r.a, r.b) for r in got], dict(rows)) == brute_components(rows)
+
+
+def test_within_equals_levenshtein(spark):
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        a = "".join(rng.choices("abc漢", k=rng.randint(0, 40)))
+        rows.append((i, a, edited(a, rng.randint(0, 12), rng)))
+    want = {r.i: r.d for r in spark.createDataFrame(rows, "i int, a string, b string").select("i", F.levenshtein("a", "b", 8).alias("d")).collect()}
+    assert all(edit_prints.within(a, b, 8) == want[i] for i, a, b in rows)
