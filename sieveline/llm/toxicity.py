@@ -1,12 +1,14 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 A text is the set of its hashed terms: runs of letters and digits, A-Z in lower case, and the first bytes of each, so
-that compounds of one stem share a term. Only terms whose share differs between the labels by more than
-chance (SIGNIFICANT standard errors) take part. Its logit is a bias, a weight
+that compounds of one stem share a term. Its logit is a bias, a weight
 for each term and, for each pair of terms, the inner product of their factors, so that pairs such as an
 insult with a group mention count beyond their parts. Weights learn by FTRL with an L1 penalty, which leaves
-uninformative terms at nothing, so long clean texts gather no noise; factors learn by AdaGrad. A part of the
-sample sets where the score crosses 0.7. The model is fitted on at most SAMPLE labelled rows; all texts are scored.
+uninformative terms at nothing, so long clean texts gather no noise; factors learn by AdaGrad. Terms take part whose
+share differs between the labels by more than chance (SIGNIFICANT standard errors) and, as long as a part of the sample
+is judged wrongly, in turn those whose share does so among the texts with another term (any term, or a significant
+one), or all terms of LEAST_DOCS texts: the choice that judges that part best is used. The part also
+sets where the score crosses 0.7. The model is fitted on at most SAMPLE labelled rows; all texts are scored.
 
 Defined results: null and empty texts have no terms and get the score of the bias; whole texts count, whatever their
 length; repeated rows score alike; without both labels to learn from every score is 0; a null label is not
@@ -32,18 +34,49 @@ FACTORS = 4
 SAMPLE = 6000
 EPOCHS, BATCH = 4, 64
 LEAST_DOCS, SIGNIFICANT = 4, 4.0
+#: Standard errors for a pair of any terms, and for one with a term that is significant by itself.
+SIGNIFICANT_PAIR, SIGNIFICANT_AFTER = 6.0, 2.5
+START = 1e-3
 PREFIXES = (0, 4, 6)
 THRESHOLD = 0.7
 CHUNK = 2_000_000
 
 
+def _in_pairs(terms: np.ndarray, sizes: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """A mask of the terms of pairs (left, right; masks): among the texts with the left term, the right one's share differs
+    between the labels by more than `least` standard errors."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    found = np.zeros(len(left), bool)
+
+    def blocks(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for own in np.array_split(np.flatnonzero(which), max(1, which.sum() // 512)):
+            place = np.full(len(which), -1, np.int32)
+            place[own] = np.arange(len(own))
+            at = place[terms]
+            x = np.zeros((len(sizes), len(own)), np.float32)
+            x[doc[at >= 0], at[at >= 0]] = 1
+            yield own, x
+
+    rows = [np.flatnonzero(label == c) for c in (0, 1)]
+    for a, x in blocks(left):
+        for b, y in blocks(right):
+            hits, n = [x[r].T @ y[r] for r in rows], [x[r].sum(0)[:, None] for r in rows]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = (hits[0] + hits[1]) / (n[0] + n[1])
+                rough = 1 / n[0] + 1 / n[1]
+                far = np.abs(hits[1] / n[1] - hits[0] / n[0]) - rough / 2 > least * np.sqrt(p * (1 - p) * rough)
+            far &= (hits[0] + hits[1] >= LEAST_DOCS) & (a[:, None] != b[None, :])
+            found[a[far.any(1)]] = found[b[far.any(0)]] = True
+    return found
+
+
 class FactorizationMachine:
     """Weights and factors of hashed terms, for sets of terms given as one index array and the sets' sizes."""
 
     def __init__(self, seed: int = 7):
         size = 1 << BITS
         self.bias, self.w = 0.0, np.zeros(size, np.float32)
-        self.v = np.random.default_rng(seed).normal(0, 1e-3, (size, FACTORS)).astype(np.float32)
+        self.v = np.random.default_rng(seed).normal(0, START, (size, FACTORS)).astype(np.float32)
         self.scale, self.middle = 1.0, 0.0
 
     @staticmethod
@@ -63,15 +96,35 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(at, -60, 60)))
 
     def fit(self, terms: np.ndarray, sizes: np.ndarray, label: np.ndarray, seed: int = 7) -> None:
-        """Learn from all rows but each fifth, which sets the threshold's place."""
-        rng = np.random.default_rng(seed)
-        start = np.cumsum(sizes) - sizes
+        """Learn from all rows but each fifth, which chooses the terms and sets the threshold's place."""
         docs = [np.bincount(terms[np.repeat(label == c, sizes)], minlength=len(self.w)) for c in (0, 1)]
         n0, n1 = max(1, (label == 0).sum()), max(1, (label == 1).sum())
         both = (docs[0] + docs[1]) / (n0 + n1)
         error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n0 + 1 / n1))
-        seen = (docs[0] + docs[1] >= LEAST_DOCS) & (np.abs(docs[1] / n1 - docs[0] / n0) > SIGNIFICANT * error)
-        self.v[~seen] = 0
+        common = docs[0] + docs[1] >= LEAST_DOCS
+        told = common & (np.abs(docs[1] / n1 - docs[0] / n0) > SIGNIFICANT * error)
+        frequent = common & (docs[0] + docs[1] >= SIGNIFICANT_PAIR**2)  # rarer ones cannot reach it
+        start, best = self.v.copy(), None
+        for choice in (
+            lambda: told,
+            lambda: told | _in_pairs(terms, sizes, label, frequent, frequent, SIGNIFICANT_PAIR),
+            lambda: told | _in_pairs(terms, sizes, label, told, common, SIGNIFICANT_AFTER),
+            lambda: common,
+        ):
+            seen = choice()
+            self.bias, self.w, self.v = 0.0, np.zeros_like(self.w), np.where(seen[:, None], start, 0)
+            self._learn(terms, sizes, label, seen, seed)
+            wrong = self._place(terms, sizes, label)
+            if best is None or wrong < best[0]:
+                best = (wrong, self.bias, self.w, self.v, self.middle, self.scale)
+            if not best[0]:
+                break
+        _, self.bias, self.w, self.v, self.middle, self.scale = best
+
+    def _learn(self, terms: np.ndarray, sizes: np.ndarray, label: np.ndarray, seen: np.ndarray, seed: int) -> None:
+        """Weights and factors of the terms that are seen."""
+        rng = np.random.default_rng(seed)
+        start = np.cumsum(sizes) - sizes
         z, n = np.zeros(len(self.w)), np.zeros(len(self.w))
         gv = np.full(self.v.shape, 1e-4)
         rate, l1 = 0.2, 1.0
@@ -100,8 +153,10 @@ class FactorizationMachine:
                 grad = np.stack([np.bincount(place, toward[:, k], len(unique)) for k in range(FACTORS)], 1) + 1e-3 * self.v[unique]
                 gv[unique] += grad * grad
                 self.v[unique] -= (0.02 * grad / np.sqrt(gv[unique])).astype(np.float32)
-        quiet = self.w == 0
-        self.v[quiet] = 0  # factors of terms that say nothing are what is left of their random start
+
+    def _place(self, terms: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> int:
+        """Sets the threshold's place on each fifth row; the number of those rows that are then judged wrongly."""
+        start = np.cumsum(sizes) - sizes
         held = np.arange(len(sizes)) % 5 == 4
         if len(set(label[held])) < 2:
             held[:] = True
@@ -114,9 +169,10 @@ class FactorizationMachine:
         self.middle = float(cuts[least].mean()) if len(least) > 1 else float(cuts[least[0]])
         spread = np.median(bad) - np.median(good)
         self.scale = float(np.clip(8 / max(spread, 1e-6), 0.1, 50))
+        return int(wrong.min())
 
     def active(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.w != 0).astype(np.int32)
+        at = np.flatnonzero((self.w != 0) | self.v.any(1)).astype(np.int32)
         return at, self.w[at], self.v[at]
 
 
@@ -176,7 +232,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             own.bias, own.scale, own.middle, at_, w, v = model
             own.w, own.v = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
             own.w[at_], own.v[at_] = w, v
-            keep = own.w != 0
+            keep = (own.w != 0) | own.v.any(1)
         for batch in batches:
             for lo, hi, data, at in text_chunks(batch.column(1), CHUNK):
                 found = own.scores(*_terms(data, at, keep)) if model else np.zeros(hi - lo)

@@ -188,6 +188,49 @@ def test_toxicity_learns_pairs_and_ignores_held_out():
     assert right > 0.97
 
 
+def fits(train, test):
+    model = toxicity.FactorizationMachine()
+    rows = [(np.concatenate(sets), np.array([len(s) for s in sets]), np.array(y)) for sets, y in (train, test)]
+    model.fit(*rows[0])
+    said = model.scores(*rows[1][:2]) >= 0.7
+    return said[rows[1][2] == 1].mean(), 1 - said[rows[1][2] == 0].mean()
+
+
+def test_toxicity_pairs_of_terms_with_equal_rates():
+    def table(seed):
+        rng, sets, y = np.random.default_rng(seed), [], []
+        for _ in range(3000):
+            a, b = rng.integers(0, 2, 2)
+            sets.append(np.unique(np.concatenate([rng.integers(100, 400, 40), [1] * a, [2] * b]).astype(np.int64)))
+            y.append(int(a == b))
+        return sets, y
+
+    caught, spared = fits(table(1), table(2))
+    assert caught > 0.97 and spared > 0.97
+
+
+@pytest.mark.parametrize("named", [0.3, 0.5, 0.7])
+def test_toxicity_insult_with_rare_groups(named):
+    """Toxic is an insult with one of 60 groups; clean texts have an insult or, as often as not, a group."""
+
+    def table(seed):
+        rng, sets, y = np.random.default_rng(seed), [], []
+        zipf = 1 / np.arange(1, 4001)
+        for _ in range(6000):
+            toxic, own = rng.random() < 0.11, list(1000 + rng.choice(4000, 60, p=zipf / zipf.sum()))
+            if toxic or rng.random() < named:
+                own.append(10 + rng.integers(60))
+                own += [1] * toxic
+            elif rng.random() < 0.2 / (1 - named):
+                own.append(1)
+            sets.append(np.unique(own))
+            y.append(int(toxic))
+        return sets, y
+
+    caught, spared = fits(table(1), table(2))
+    assert caught > 0.8 and spared > 0.97
+
+
 def test_toxicity_on_words(spark):
     rows = [(i, prose(i, 60) + (" you utter fool" if i % 3 == 0 else ""), None, None, None) for i in range(900)]
     docs = spark.createDataFrame(rows, SCHEMA)
