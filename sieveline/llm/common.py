@@ -46,6 +46,17 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def spread(key: str, seed: int) -> Column:
+    """A number from 0 to 2^63 - 1, even over the keys: the bits of a hash, its low 20 first."""
+    h = F.expr(f"xxhash64(`{key}`, {seed})")
+    return F.shiftleft(h.bitwiseAND(F.lit((1 << 20) - 1)), 43) + F.shiftrightunsigned(h, 20).bitwiseAND(F.lit((1 << 43) - 1))
+
+
+def share_bound(part: float, whole: int) -> int:
+    """The bound that `spread` is under or at for about part of whole rows."""
+    return (1 << 63) - 1 if part >= whole else int(part * (1 << 63) / whole)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

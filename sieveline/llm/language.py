@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import held_out, text_chunks
+from sieveline.llm.common import held_out, share_bound, spread, text_chunks
 from sieveline.llm.words import LOWER
 
 SIZES = (2, 3, 4)
 BITS = 13
-#: Labelled rows, over all languages, that the model is fitted on at most, and landmarks among them.
+#: Labelled rows, over all languages, that the model is fitted on at most, and landmarks among them; one of each language at least.
 SAMPLE, LANDMARKS = 3000, 160
 RIDGE = 0.003
 CHUNK = 1_500_000
@@ -81,15 +81,15 @@ def fit(x: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndar
 def _sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
     """Presence rows and labels of a sample of rows that are not held out, spread over the languages by a hash of the key."""
     learned = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
-    counts = {r[0]: r[1] for r in learned.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(500).collect()}
-    if not counts:
+    even = spread(key, 7)
+    found = learned.groupBy(lang).agg(F.count("*"), F.min(even)).collect()  # a row for each language, as the model has
+    if not found:
         return np.zeros((0, 1 << BITS), np.uint8), []
-    each = SAMPLE // len(counts)
-    quota = F.lit(0)
-    for value, n in counts.items():
-        quota = F.when(F.col(lang) == value, int(min(1.0, each / n) * (1 << 20))).otherwise(quota)
-    # xxhash64 is even over the keys, so each language gives about its share
-    rows = learned.where(F.expr(f"xxhash64(`{key}`, 7) & 1048575") < quota)
+    each = max(1, SAMPLE // len(found))
+    most = 2 * max(SAMPLE, len(found))
+    # the hash is even over the keys, so each language gives about its share, and the row of its least hash at least
+    bounds = docs.sparkSession.createDataFrame([(v, max(least, share_bound(each, n))) for v, n, least in found], "own_lang string, bound long")
+    rows = learned.join(F.broadcast(bounds), F.col(lang) == F.col("own_lang")).where(even <= F.col("bound")).select(key, text, lang)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in bits], pa.binary())], names=["k", "lang", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = sorted(rows.mapInArrow(features, f"k {kind}, lang string, bits binary").limit(2 * SAMPLE).collect(), key=lambda r: r.k)
+    got = sorted(rows.mapInArrow(features, f"k {kind}, lang string, bits binary").limit(most).collect(), key=lambda r: r.k)
     x = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1)
     return np.unpackbits(x, axis=1), [r.lang for r in got]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import held_out, text_chunks
+from sieveline.llm.common import held_out, share_bound, spread, text_chunks
 from sieveline.llm.words import ALNUM, word_hashes
 
 BITS = 18
@@ -193,14 +193,14 @@ def _terms(data: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) ->
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term sets and labels of a sample of the labelled rows that are not held out: half of it each label if there are so many."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    if len(counts) < 2:
+    even = spread(key, 11)
+    found = {r[0]: r[1:] for r in known.groupBy("y").agg(F.count("*"), F.min(even)).collect()}
+    if len(found) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rare = min(SAMPLE // 2, counts[1])
-    share = {1: rare / counts[1], 0: (SAMPLE - rare) / counts[0]}
-    quota = F.when(F.col("y") == 1, int(min(1, share[1]) * (1 << 20))).otherwise(int(min(1, share[0]) * (1 << 20)))
-    # about SAMPLE rows of a key and a label; the limit proves the bound, so the texts need no shuffle
-    chosen = known.where(F.expr(f"xxhash64(`{key}`, 11) & 1048575") < quota).limit(2 * SAMPLE)
+    rare = min(SAMPLE // 2, found[1][0])
+    bound = {c: max(found[c][1], share_bound(part, found[c][0])) for c, part in ((1, rare), (0, SAMPLE - rare))}
+    # about SAMPLE rows of a key and a label, and one of each at least; the limit proves the bound, so the texts need no shuffle
+    chosen = known.where(even <= F.when(F.col("y") == 1, bound[1]).otherwise(bound[0])).limit(2 * SAMPLE)
     rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

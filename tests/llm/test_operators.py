@@ -319,6 +319,21 @@ def test_language(spark):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred != "und" and got[900].score == 0
 
 
+def test_every_language_takes_part(spark):
+    rows = [(i, f"{hashlib.sha256(str(i % 600).encode()).hexdigest()} abc", f"l{i % 600}", None, None) for i in range(6000)]
+    got = language.predict_language(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.lang_pred for r in got}) > 590
+
+
+def test_samples_hold_the_most_frequent_value(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 2)
+    monkeypatch.setattr(toxicity, "SAMPLE", 2)
+    rare = F.col("id") < 50
+    docs = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(rare, "de").otherwise("en").alias("lang"), rare.cast("int").alias("toxic"))
+    assert set(language._sample(docs, "doc_id", "text", "lang")[1]) == {"de", "en"}
+    assert set(toxicity._sample(docs, docs.select("doc_id", "toxic"), "doc_id", "text", "toxic")[2].tolist()) == {0, 1}
+
+
 def test_url_rules(spark):
     link = '<html><LINK href="https://x.org/real" rel=canonical></html>'
     rows = [
