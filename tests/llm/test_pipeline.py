@@ -44,6 +44,14 @@ def test_stages_with_extra_columns_and_empty(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
 
 
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(0, "some words", None, None, None), (1, "漢字", None, None, None), (2, "12 !", None, None, None), (3, None, None, None, None), (None, "über", None, None, None)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r.doc_id for r in kept.collect()} == {0, 1, None}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
