@@ -80,29 +80,53 @@ def curve_keys(points: np.ndarray, middle: np.ndarray, spread: np.ndarray, ids:
 
 
 class ByteTokenizer:
-    """The ids that a byte-level BPE file of the tokenizers library gives, by a faster encoder where the file allows it."""
+    """The ids that a byte-level BPE file of the tokenizers library gives, by a faster encoder where the file allows it.
+
+    The strings of the file's added tokens give those tokens' ids, as in the library; the text between them is encoded apart.
+    """
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        vocab = spec["model"]["vocab"]
-        byte_of = {c: b for b, c in _byte_letters().items()}
-        special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
-        plain = {t: i for t, i in vocab.items() if t not in special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        first = len(plain) - len(merges)
-        if first == 256 and all(vocab.get(a + b) == first + k for k, (a, b) in enumerate(merges)) and all(c in byte_of for t in plain for c in t):
-            import tiktoken
-
-            ranks = {bytes(byte_of[c] for c in t): i for t, i in plain.items()}
-            self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = _fast_encoder(spec)
+        if fast:
+            self.encode = fast
         else:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
             self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
 
 
+def _fast_encoder(spec: dict):
+    """An encoder of the same ids, if the file has no normalizer, splits as PATTERN does and ranks its tokens by its merges; else None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    added = spec.get("added_tokens", [])
+    plain_split = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    odd_model = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    odd_added = any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model.get("type") != "BPE" or spec.get("normalizer") or not plain_split or odd_model or odd_added:
+        return None
+    byte_of = {c: b for b, c in _byte_letters().items()}
+    special = {t["content"]: t["id"] for t in added}
+    plain = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = len(plain) - len(merges)
+    if first != 256 or any(plain.get(a + b) != first + k for k, (a, b) in enumerate(merges)) or any(c not in byte_of for t in plain for c in t):
+        return None
+    import tiktoken
+
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in plain.items()}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    marks = list(special)
+
+    def encode(text: str) -> list[int]:
+        if any(m in text for m in marks):
+            return own.encode(text, allowed_special="all")
+        return own.encode_ordinary(text)
+
+    return encode
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes printable bytes as themselves and the others as letters from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

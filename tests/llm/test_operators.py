@@ -146,7 +146,6 @@ def test_packing_is_whole(edge):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BYTES)
-    own.encode_special_tokens = True
     pieces = collections.defaultdict(list)
     sequences = collections.defaultdict(list)
     for r in packing.pack_documents(edge.where("doc_id is not null and doc_id <> 9"), BYTES, with_ids=True).collect():
@@ -167,6 +166,30 @@ def test_packing_is_whole(edge):
         assert at <= 1024 and at & (at - 1) == 0
 
 
+def test_packing_ids_equal_library():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(BYTES), packing.ByteTokenizer(BYTES)
+    rng, parts = random.Random(9), ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", "don't", "12", "é", "漢", "😀", ".", "\u00a0", "the "]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 30)))
+        assert own.encode(text) == plain.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in own.encode("a<|endoftext|>b")
+    for text in ("a" * 300_000, " " * 300_000 + "x", "ab \n" * 100_000, "^" * 100_000):
+        assert own.encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_packing_uses_the_library_for_other_files(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(json.load(open(BYTES)) | change))
+    assert packing.ByteTokenizer(str(path)).encode("Some TEXT") == Tokenizer.from_file(str(path)).encode("Some TEXT", add_special_tokens=False).ids
+
+
 def test_hilbert_neighbours_touch():
     points = np.array(list(itertools.product(range(8), repeat=3)))
     keys = packing.hilbert(points, 3)
