@@ -265,7 +265,7 @@ def test_toxicity_on_words(spark):
 
 
 def test_quality_counts_equal_brute_force(spark):
-    texts = [r[1] for r in edge_rows()] + ["a b c d e a b c d e f", "x x x x x x", "#$ & ok\n\nok\nok \n", "one two\none two\n \n \n"]
+    texts = [r[1] for r in edge_rows()] + ["## # | $$$$ a!! a!! 漢。 字？ <>", "a ##", "# b | | |", "a b c d e a b c d e f", "x x x x x x", "#$ & ok\n\nok\nok \n", "one two\none two\n \n \n"]
     got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     for i, text in enumerate(texts):
         raw = (text or "").encode()
@@ -276,14 +276,68 @@ def test_quality_counts_equal_brute_force(spark):
         want = (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside))
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        bare = sum(not any(c.isalnum() or ord(c) > 127 for c in w.decode()) for w in words)
+        runs = sum(all(c in "#*$%&|<>" for c in (text or "")[k : k + 3]) for k in range(len(text or "") - 2))
+        assert (r.n_bare, r.n_symbol_runs, r.n_stutters) == (bare, runs, sum(a == b for a, b in zip(words, words[1:])))
+        assert (r.n_exclaims, r.n_ends) == (raw.count(b"!"), sum((text or "").count(c) for c in ".!?。！？؟।።…"))
         assert r.base_failed == (len(words) < 10 or 100 * len(inside) > 20 * len(words)) and not (r.base_failed and r.kept)
 
 
-def test_accuracies_separate_bad_patterns():
-    names = len(quality.rule_votes())
-    clean, bad = (1,) + (0,) * (names - 1), (1, 0, -1) + (0,) * (names - 3)
-    share, good, worse = quality.fit_accuracies([(clean, 9000), (bad, 300)], names)
-    assert share > 0.8 and good[2, 0] < worse[2, 0]
+def test_accuracies_equal_brute_force():
+    """Expectation-maximisation written out document by document, from the same start."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for _ in range(400):
+        bad = rng.random() < 0.2
+        docs.append(tuple(int(v) for v in np.where(rng.random(5) < (0.6 if bad else 0.02), -1, rng.integers(0, 2, 5))))
+    share, good, bad = quality.fit_accuracies(sorted(collections.Counter(docs).items()), 5, rounds=60)
+    p = [[0.95, 0.5, 0.1][min(2, d.count(-1))] for d in docs]
+    for _ in range(60):
+        q = (sum(p) + 1) / (len(docs) + 2)
+        rate = {}
+        for r in range(5):
+            for v in (-1, 0, 1):
+                rate[r, v] = ((sum(x for x, d in zip(p, docs) if d[r] == v) + 1) / (sum(p) + 3), (sum(1 - x for x, d in zip(p, docs) if d[r] == v) + 1) / (len(docs) - sum(p) + 3))
+        p = []
+        for d in docs:
+            a, b = q, 1 - q
+            for r, v in enumerate(d):
+                a, b = a * rate[r, v][0], b * rate[r, v][1]
+            p.append(a / (a + b))
+    assert abs(share - q) < 1e-6
+    for r in range(5):
+        for v in (-1, 0, 1):
+            assert abs(good[r, v + 1] - rate[r, v][0]) < 1e-6 and abs(bad[r, v + 1] - rate[r, v][1]) < 1e-6
+    assert abs(share - 0.8) < 0.07 and (good[:, 0] < 0.06).all() and (bad[:, 0] > 0.4).all()
+
+
+def posterior(share, good, bad, votes):
+    a = share * np.prod([good[r, v + 1] for r, v in enumerate(votes)])
+    return a / (a + (1 - share) * np.prod([bad[r, v + 1] for r, v in enumerate(votes)]))
+
+
+def test_posterior_is_not_all_must_pass():
+    """A rule that objects at random does not reject; rules that agree do, and the silence of good votes counts."""
+    rng = np.random.default_rng(6)
+    docs = []
+    for _ in range(5000):
+        bad = rng.random() < 0.1
+        sound = [-1 if rng.random() < (0.8 if bad else 0.005) else int(rng.random() < (0.1 if bad else 0.9)) for _ in range(4)]
+        docs.append((-1 if rng.random() < 0.3 else 0, *sound))
+    fitted = quality.fit_accuracies(sorted(collections.Counter(docs).items()), 5)
+    assert posterior(*fitted, (-1, 1, 1, 1, 1)) > 0.99  # kept despite an objection
+    assert posterior(*fitted, (0, -1, -1, 0, 0)) < 0.01
+    assert posterior(*fitted, (0, 0, 0, 0, 0)) < 0.5  # dropped without one
+    clean = [((0, 1, 1, 1, 1), 900), ((0, 1, 0, 1, 1), 100)]
+    assert all(posterior(*quality.fit_accuracies(clean, 5), v) > 0.5 for v, _ in clean)
+
+
+def test_quality_keeps_unspaced_scripts(spark):
+    rows = [(i, prose(i, 60) + ". So be it.") for i in range(200)] + [(300, "漢字仮名交じり文である。" * 3 + " 今日は良い天気です。" * 12)] + [(400 + i, " ".join(prose(i, 40).replace(" ", " $$$ | ").split()) + ".") for i in range(30)]
+    got = {r.doc_id: r.kept for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[400 + i] for i in range(30))
+    lone = {r.vote_word_length for r in quality.judge_quality(spark.createDataFrame([(1, "漢字仮名交じり文であるのでとても長い。" * 9)], "doc_id long, text string")).collect()}
+    assert lone == {0}
 
 
 def test_near_duplicates_equal_brute_force(spark):
