@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with more than 1 / HEAVY of the rows are handled apart; it bounds what is broadcast.
+HEAVY = 4096
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
@@ -57,6 +60,19 @@ def share_bound(part: float, whole: int) -> int:
     return (1 << 63) - 1 if part >= whole else int(part * (1 << 63) / whole)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """left joined with right on a key of which a few values may hold most rows of left.
+
+    right has one row for each key, and in column n how many rows of left have it; it should be a staged table. The total of n is counted if not given. Keys with
+    more than 1 / HEAVY of the rows, fewer than HEAVY, are broadcast.
+    """
+    total = (right.agg(F.sum(n)).head()[0] or 0) if total is None else total
+    heavy = F.col(n) > total / HEAVY
+    most = right.where(heavy).limit(HEAVY)  # the limit states the bound; it cuts nothing
+    rest = left.join(F.broadcast(most.select(key)), key, "left_anti").join(right.where(~heavy), key)
+    return left.join(F.broadcast(most), key).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

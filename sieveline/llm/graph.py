@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import staged
+from sieveline.llm.common import heavy_join, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,27 +13,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every edge's two labels and the labels' own labels to the smaller one and then halves the
     label paths, so the number of rounds is about the logarithm of the longest path. All steps are joins
-    and minimum aggregations, which combine before they shuffle; nothing is gathered to the driver but one
-    flag a round. Null ends and loops join nothing; a node with only loops is its own component.
+    and minimum aggregations, which combine before they shuffle; nodes with a large part of all edges, and components with
+    a large part of all nodes, are joined by broadcast; nothing is gathered to the driver but counts.
+    Null ends and loops join nothing; a node with only loops is its own component.
     """
     kind = edges.schema["a"].dataType
     ends = edges.where("a is not null and b is not null").select("a", "b")
     links = staged(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = staged(nodes.select("node", F.col("node").alias("component")), "labels")
+    own = ends.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).alias("na"), F.lit(0).alias("nb"))
+    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("na"), F.lit(0).alias("nb")), F.struct(F.col("b").alias("node"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("e")).select("e.*")
+    nodes = own.unionByName(degree).groupBy("node").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    labels = staged(nodes.select("node", F.col("node").alias("component"), "na", "nb"), "labels")
+    total = links.count()
     while True:
-        left = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-        right = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-        apart = staged(links.join(left, "a").join(right, "b").where("la <> lb"), "apart")
+        left = labels.where("na > 0").select(F.col("node").alias("a"), F.col("component").alias("la"), "na")
+        right = labels.where("nb > 0").select(F.col("node").alias("b"), F.col("component").alias("lb"), "nb")
+        sides = heavy_join(heavy_join(links, left, "a", "na", total).drop("na"), right, "b", "nb", total).drop("nb")
+        apart = staged(sides.where("la <> lb"), "apart")
         if apart.isEmpty():
-            return labels
+            return labels.select("node", "component")
         low = F.least("la", "lb").cast(kind)
+        none = F.lit(None).cast("long")
         better = (
-            apart.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), low.alias("component"))
+            apart.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), low.alias("component"), none.alias("na"), none.alias("nb"))
             .unionByName(labels)
             .groupBy("node")
-            .agg(F.min("component").alias("component"))
+            .agg(F.min("component").alias("component"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         )
         hooked = staged(better, "hooked")
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = staged(hooked.join(jump, "component").select("node", F.least("component", "root").alias("component")), "labels")
+        sizes = hooked.groupBy("component").agg(F.count("*").alias("n"))
+        jump = staged(sizes.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component"), "jump")
+        labels = staged(heavy_join(hooked, jump, "component").select("node", F.least("component", "root").alias("component"), "na", "nb"), "labels")
