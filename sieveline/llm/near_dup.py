@@ -6,11 +6,10 @@ MinHash values propose candidates (a pair at 0.75 shares no band with a probabil
 in batches of 32 values: after each batch the pair goes if the posterior probability (uniform prior) that its
 similarity reaches the threshold is under MISS. What survives is verified on the full sets.
 
-Candidates are handled in two passes, so that no group emits all its pairs. In the first, each bucket (split by salt
-beyond BLOCK rows) links its members to one central member. In the second, only buckets whose members are still
-in different components remain; their documents, joined over shared buckets, are dealt in pairs of blocks,
-and each task compares the pairs of its two blocks that lie in different components. So every candidate pair is either
-compared or already connected, and a large group costs one row for each document and block of its group.
+Candidates are handled in two passes, so that no group emits all its pairs (see linking). In the first, each bucket links its
+members to its smallest document. In the second, only buckets whose members are still in different components remain; their
+documents are dealt in pairs of blocks, and each task compares the pairs of its two blocks that lie in different components,
+each pair at the first band that it shares. So every candidate pair is either compared or already connected.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; a null key
 gets no component and is kept; whole texts count; repeated rows fall into one component; an empty table
@@ -28,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import staged, text_chunks, width
+from sieveline.llm.common import heavy_join, staged, text_chunks
 from sieveline.llm.graph import connected_components
+from sieveline.llm.linking import across, binary_rows, head_pairs, headed
 from sieveline.llm.shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -37,8 +37,6 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Probability at which a batch may lose a pair that reaches the threshold.
 MISS = 1e-6
-#: Rows of a block; larger buckets and groups are split.
-BLOCK = 256
 CHUNK = 1_500_000
 _rng = np.random.default_rng(20240229)
 FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -69,21 +67,25 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def survivors(left: np.ndarray, right: np.ndarray, wanted: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the wanted pairs (a mask, left by right) that no batch prunes."""
-    i, j = np.nonzero(wanted)
-    matches = np.zeros(len(i), np.int64)
-    for k, need in enumerate(least):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        keep = []
-        for lo in range(0, len(i), 100_000):
-            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
-            matches[lo : lo + 100_000] += (left[a, part] == right[b, part]).sum(1)
-            keep.append(matches[lo : lo + 100_000] >= need)
-        if keep:
-            keep = np.concatenate(keep)
-            i, j, matches = i[keep], j[keep], matches[keep]
-    return i, j
+def survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i of left, j of right) that no batch prunes."""
+    kept = []
+    for lo in range(0, len(i), 100_000):
+        a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+        matches = np.zeros(len(a), np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (left[a, part] == right[b, part]).sum(1)
+            stay = matches >= need
+            a, b, matches = a[stay], b[stay], matches[stay]
+        kept.append((a, b))
+    return tuple(np.concatenate([k[c] for k in kept]) if kept else np.zeros(0, np.int64) for c in (0, 1))
+
+
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """By pair of signature rows: the first band in which they agree, or BANDS."""
+    same = (left == right).reshape(len(left), BANDS, ROWS).all(2)
+    return np.where(same.any(1), same.argmax(1), BANDS)
 
 
 def linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
@@ -123,129 +125,63 @@ def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(make, f"id {docs.schema[key].dataType.simpleString()}, shingles binary")
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """The rows of each value of a column, from batches in which equal values stand together."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(column).to_pylist()
-        lo = 0
-        for hi in range(1, len(values) + 1):
-            if hi == len(values) or values[hi] != values[lo]:
-                if held and last != values[lo]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-                last = values[lo]
-                lo = hi
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _binary_rows(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
-
-
 def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str, hundredths: int = 75) -> DataFrame:
     """Links (a, b) between documents of different sets whose components are those of all links; reps: (id, sig)."""
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
     least = least_matches(hundredths / 100)
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    banded = reps.select(band.alias("bucket"), "id")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(banded.join(shared, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("salt")), "members")
-    candidates = members.select("id").distinct()
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    members = staged(headed(reps.select(F.posexplode(bands).alias("band", "bucket"), "id")), "members")
+    candidates = staged(members.select("id").distinct(), "candidates")
     sets = staged(full_sets(docs.select(key, text).join(candidates.withColumnRenamed("id", key).hint("merge"), key, "left_semi"), key, text), "sets")
     sigs = staged(reps.join(candidates.hint("merge"), "id", "left_semi"), "sigs")
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_group(batches, "place"):
-            ids = rows.column("id").to_numpy()
-            if len(ids) < 2:
-                continue
-            sig = np.stack(_binary_rows(rows.column("sig"), np.uint32))
-            order = np.argsort(ids, kind="stable")
-            ids, sig = ids[order], sig[order]
-            some = sig[:512]
-            usual = np.sort(some, 0)[len(some) // 2]  # where many agree, the middle value is theirs
-            at = int((some == usual).sum(1).argmax())
-            wanted = np.ones((1, len(ids)), bool)
-            wanted[0, at] = False
-            _, found = survivors(sig[at : at + 1], sig, wanted, least)
-            found = found[ids[found] != ids[at]]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[found])), pa.array(np.maximum(ids[at], ids[found]))], names=["a", "b"])
-
-    placed = members.join(sigs, "id").select(F.xxhash64("bucket", "salt").alias("place"), "id", "sig").repartition(width(spark), "place").sortWithinPartitions("place")
-    pairs = placed.mapInArrow(stars, f"a {kind}, b {kind}").distinct()
+    def side(df: DataFrame, end: str, own: str) -> DataFrame:
+        return df.select(F.col("id").alias(end), F.col(own).alias(f"{own}_{end}"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.stack(binary_rows(batch.column(c), np.uint32)) for c in ("sig_a", "sig_b"))
+                rows = np.arange(len(left))
+                yield batch.select(["a", "b"]).take(pa.array(survivors(left, right, rows, rows, least)[0]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _binary_rows(batch.column("sa"), np.uint64), _binary_rows(batch.column("sb"), np.uint64)
-            good = pa.array([linked(x, y, hundredths) for x, y in zip(left, right)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    first = staged(first.select("a", "b", "sa", "sb").mapInArrow(verify, f"a {kind}, b {kind}"), "links")
-
-    parts = connected_components(first).withColumnRenamed("node", "id")
-    known = members.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("head")).where("low <> high")
-    left = staged(known.join(open_, "bucket").select("id", "head", "component"), "open")
-    cluster = connected_components(left.select(F.col("id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    inside = staged(left.select("id", "component").distinct().join(cluster, "id"), "clusters")
-    blocks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        inside.join(blocks, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "own", "other", "id", "component")
-    )
-    rows = dealt.join(sigs, "id").join(sets, "id").repartition(width(spark), "place").sortWithinPartitions("place")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_group(batches, "place"):
-            ids, parts_, own = (group.column(c).to_numpy() for c in ("id", "component", "own"))
-            sig, whole = np.stack(_binary_rows(group.column("sig"), np.uint32)), _binary_rows(group.column("shingles"), np.uint64)
-            sides = np.unique(own)
-            a = np.flatnonzero(own == sides[0])
-            b = a if len(sides) == 1 else np.flatnonzero(own == sides[1])
-            if len(sides) == 1 and (group.column("other").to_numpy() != own).any():
-                continue  # the other block of this pair is empty
-            wanted = parts_[a][:, None] != parts_[b][None, :]
-            if len(sides) == 1:
-                wanted &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-            i, j = survivors(sig[a], sig[b], wanted, least)
-            at: dict = {}
-
-            def root(x):
-                while x in at:
-                    x = at[x]
-                return x
-
-            out = []
-            for x, y in zip(a[i].tolist(), b[j].tolist()):
-                p, q = root(parts_[x]), root(parts_[y])
-                if p != q and linked(whole[x], whole[y], hundredths):
-                    at[p] = q
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], names=["a", "b"])
-
-    more = rows.select("place", "own", "other", "id", "component", "sig", "shingles").mapInArrow(across, f"a {kind}, b {kind}")
-    return staged(first.unionByName(more).distinct(), "links")
+            left, right = binary_rows(batch.column("shingles_a"), np.uint64), binary_rows(batch.column("shingles_b"), np.uint64)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, hundredths) for x, y in zip(left, right)], pa.bool_()))
+
+    pairs = head_pairs(members)
+    for table, own, check in ((sigs, "sig", prune), (sets, "shingles", verify)):
+        both = pairs.join(side(table, "a", own), "a").join(side(table, "b", own), "b")
+        pairs = staged(both.select("a", "b", f"{own}_a", f"{own}_b").mapInArrow(check, f"a {kind}, b {kind}"), "pairs")
+
+    def compare(rows: pa.Table, i: np.ndarray, j: np.ndarray, found) -> None:
+        sig = np.stack(binary_rows(rows.column("sig"), np.uint32))
+        i, j = survivors(sig, sig, i, j, least)
+        own = first_shared(sig[i], sig[j]) == rows.column("band").to_numpy()[i]
+        whole: dict[int, np.ndarray] = {}
+        words = rows.column("shingles")
+        for x, y in zip(i[own].tolist(), j[own].tolist()):
+            if not found.same(x, y):
+                for k in (x, y):
+                    if k not in whole:
+                        whole[k] = np.frombuffer(words[k].as_py(), np.uint64)
+                if linked(whole[x], whole[y], hundredths):
+                    found.put(x, y)
+
+    more = across(members, pairs, sigs.join(sets, "id"), compare)
+    return staged(pairs.unionByName(more).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hundredths: int = 75) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every document; a component's smallest key is its id, and is kept."""
     drawn = staged(sketches(docs, key, text), "sketches")
-    firsts = drawn.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    firsts = staged(firsts, "firsts")
+    linking = F.col("set_key").isNotNull() & F.col("id").isNotNull()
+    firsts = staged(drawn.where(linking).groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "firsts")
     reps = drawn.select("id", "sig").join(firsts.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     links = near_duplicate_links(docs, staged(reps, "reps"), key, text, hundredths)
     component = connected_components(links).select(F.col("node").alias("rep"), "component")
-    grouped = drawn.select("id", "n_shingles", "set_key").join(firsts, "set_key", "left").join(component, "rep", "left")
-    found = F.coalesce("component", "rep", "id")
-    return grouped.select(F.col("id").alias(key), "n_shingles", found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
+    found = staged(firsts.join(component, "rep", "left").select("set_key", "n", F.coalesce("component", "rep").alias("component_id")), "found")
+    grouped = heavy_join(drawn.where(linking).select("set_key", "id", "n_shingles"), found, "set_key").select("id", "n_shingles", "component_id")
+    alone = drawn.where(~linking).select("id", "n_shingles", F.col("id").alias("component_id"))  # no set or no id: their own groups
+    return grouped.unionByName(alone).select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
