@@ -17,9 +17,11 @@ HEAVY = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own in local mode, else an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(_remove_local, found)
@@ -32,14 +34,34 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
+#: Folders and tables that operators have written for later steps, until release().
+_made: list[tuple[str, str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: it cuts lineage, and lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sieveline-{name}-{uuid.uuid4().hex}"
+    _made.append(("folder", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes what the operators have staged so far; call it when their results have been written."""
+    while _made:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"drop table if exists {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def note_table(name: str, path: str) -> None:
+    _made.extend([("folder", path), ("table", name)])
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

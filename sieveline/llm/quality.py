@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.llm.common import staged, text_chunks
 from sieveline.llm.words import ALNUM
@@ -150,17 +151,22 @@ def count_chunk(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and the counts of every whole text."""
+def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """The key and the counts of every whole text; carry: every column of docs instead of the key, those named like a count left out.
+
+    Null and empty texts count nothing; repeated rows are counted alike; an empty table gives an empty table.
+    """
+    others = [c for c in docs.columns if c not in COUNTS] if carry else [key]
+    read = docs.select(*others) if carry else docs.select(key, text)
+    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in text_chunks(batch.column(1), CHUNK):
-                found = count_chunk(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=[key, *COUNTS])
+            for lo, hi, data, at in text_chunks(batch.column(text), CHUNK):
+                found, part = count_chunk(data, at), batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=[*others, *COUNTS])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return read.mapInArrow(count, schema)
 
 
 def base_failed() -> Column:
@@ -219,11 +225,14 @@ def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, ro
     return share, good, bad
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The key, the counts, the votes, base_failed, the posterior `quality` and `kept` of every document."""
+def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5, carry: bool = False) -> DataFrame:
+    """The key, the counts, the votes, base_failed, the posterior `quality` and `kept` of every document.
+
+    carry: with every column of docs, which should have no names of these.
+    """
     votes = rule_votes()
     names = [f"vote_{n}" for n in votes]
-    counted = staged(word_counts(docs, key, text), "counts").withColumns({f"vote_{n}": v for n, v in votes.items()})
+    counted = staged(word_counts(docs, key, text, carry), "counts").withColumns({f"vote_{n}": v for n, v in votes.items()})
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted.groupBy(*names).count().collect())
     share, good, bad = fit_accuracies(patterns, len(names))
     odds = F.lit(math.log(share / (1 - share)))

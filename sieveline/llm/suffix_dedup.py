@@ -15,7 +15,7 @@ passage that many documents share costs a row for each block. Ranges to
 remove come back to the blocks, which are bucketed so that their text is never shuffled.
 
 Defined results: null and empty texts have no bytes and lose none; whole texts are judged; equal keys are one document;
-null keys come after all others and lose nothing to each other; an empty table gives an empty table; other columns pass through.
+keys are long or int; null keys come after all others and lose nothing to each other; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import shared_dir, splitmix, text_chunks, width
+from sieveline.llm.common import note_table, shared_dir, splitmix, text_chunks, width
 from sieveline.llm.words import BACK, STEP, power
 
 WIDTH, K = 50, 24
@@ -282,7 +282,9 @@ def stored_blocks(docs: DataFrame, key: str, text: str, size: int) -> tuple[Data
     rows = docs.select(F.col(key).cast("long").alias("own key"), F.col(text).alias("own text"), F.isnull(text).alias("c0"), *(F.col(c).alias(f"c{i + 1}") for i, c in enumerate(names)))
     blocks = rows.mapInArrow(gather, "part long, block long, keys binary, ends binary, data binary, rest binary")
     table = f"sieveline_blocks_{uuid.uuid4().hex}"
-    blocks.write.option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{table}").bucketBy(n, "part").saveAsTable(table)
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    note_table(table, path)
+    blocks.write.option("compression", "zstd").option("path", path).bucketBy(n, "part").saveAsTable(table)
     return spark.table(table), n
 
 
@@ -303,6 +305,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
     result: what `kept` is: "bytes"; "text", without characters that are cut in part; or "digest", the column then being
     `kept_sha256`. n_bytes, n_removed and n_spans count the text's bytes, those removed and their runs.
     """
+    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(docs.schema[key].dataType.simpleString())
+    if kind is None:
+        raise ValueError(f"{key}: keys must be long or int")
     spark = docs.sparkSession
     blocks, n = stored_blocks(docs, key, text, block)
     shards = 4 * n  # smaller than partitions, as a shard is held in memory at once
@@ -413,7 +418,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
     last = T.StructField("kept_sha256", T.StringType()) if result == "digest" else T.StructField("kept", T.BinaryType() if result == "bytes" else T.StringType())
     schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), last])
     others = [c for c in docs.columns if c not in (key, text)]
-    kind = {"bigint": pa.int64(), "int": pa.int32()}[docs.schema[key].dataType.simpleString()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):

@@ -190,6 +190,19 @@ def _terms(data: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) ->
     return both & ((1 << BITS) - 1), np.bincount(both >> BITS, minlength=len(counts))
 
 
+def _packed(terms: np.ndarray) -> bytes:
+    """A term set in no more bytes than a bit for each possible term takes, so the whole sample is of bounded size."""
+    if len(terms) < 1 << (BITS - 5):
+        return terms.tobytes()
+    bits = np.zeros(1 << BITS, np.uint8)
+    bits[terms] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32) if len(raw) < 1 << (BITS - 3) else np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+
+
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term sets and labels of a sample of the labelled rows that are not held out: half of it each label if there are so many."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
@@ -209,11 +222,11 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
                 terms, sizes = _terms(data, at)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 raw = terms.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["k", "y", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([_packed(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], names=["k", "y", "terms"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = sorted(rows.mapInArrow(features, f"k {kind}, y int, terms binary").limit(2 * SAMPLE).collect(), key=lambda r: (r.k, r.y))
-    sets = [np.frombuffer(bytes(r.terms), np.int32) for r in got]
+    sets = [_unpacked(bytes(r.terms)) for r in got]
     return np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64), np.array([len(s) for s in sets], np.int64), np.array([r.y for r in got], np.int64)
 
 

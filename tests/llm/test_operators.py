@@ -254,6 +254,72 @@ def test_toxicity_insult_with_rare_groups(named):
     assert caught > 0.8 and spared > 0.97
 
 
+def test_pair_sums_equal_brute_force():
+    rng, model = np.random.default_rng(2), toxicity.FactorizationMachine()
+    model.bias, model.w = 0.3, rng.normal(size=model.w.shape).astype(np.float32)
+    model.v = rng.normal(size=model.v.shape).astype(np.float32)
+    sets = [np.unique(rng.integers(0, 5000, n)) for n in (0, 1, 2, 40)]
+    got = model.logits(np.concatenate(sets).astype(np.int64), np.array([len(s) for s in sets]))
+    for s, x in zip(sets, got):
+        pairs = sum(float(model.v[a].astype(float) @ model.v[b].astype(float)) for a, b in itertools.combinations(s.astype(int), 2))
+        assert abs(x - (0.3 + model.w[s.astype(int)].sum(dtype=float) + pairs)) < 1e-3
+
+
+def test_toxicity_needs_its_pairs():
+    """Without the factors held-out quality falls: an insult or a group alone is clean, together they are toxic."""
+
+    def table(seed):
+        rng, sets, y = np.random.default_rng(seed), [], []
+        for _ in range(3000):
+            a, b = rng.integers(0, 2, 2)
+            sets.append(np.unique(np.concatenate([rng.integers(100, 400, 20), [1] * a, [2] * b]).astype(np.int64)))
+            y.append(int(a != b))
+        return np.concatenate(sets), np.array([len(s) for s in sets]), np.array(y)
+
+    model, (terms, sizes, y) = toxicity.FactorizationMachine(), table(2)
+    model.fit(*table(1))
+    with_pairs = ((model.scores(terms, sizes) >= 0.7) == y).mean()
+    model.v[:] = 0
+    without = max(((model.logits(terms, sizes) > cut) == y).mean() for cut in np.unique(model.logits(terms, sizes)))
+    assert with_pairs > 0.95 and without < 0.8
+
+
+def test_term_sets_are_packed_whole():
+    for n in (0, 5, (1 << 13) - 1, 1 << 13, 100_000):
+        terms = np.sort(np.random.default_rng(n).permutation(1 << toxicity.BITS)[:n]).astype(np.int32)
+        raw = toxicity._packed(terms)
+        assert len(raw) <= 1 << (toxicity.BITS - 3) and (toxicity._unpacked(raw) == terms).all()
+
+
+@pytest.mark.parametrize("counts", [[10**10, 30], [10**10] * 2000, [3, 10**12, 10**7]])
+def test_every_class_keeps_its_share_at_any_size(counts):
+    from sieveline.llm.common import share_bound
+
+    each = max(1, language.SAMPLE // len(counts))
+    for n in counts:
+        expected = share_bound(each, n) / (1 << 63) * n
+        assert 0.99 * min(each, n) <= expected <= 1.01 * each or n <= each
+
+
+def test_staged_tables_are_released(spark):
+    from sieveline.llm import common
+
+    before = spark.catalog.listTables()
+    path = common.staged(spark.range(3), "some").inputFiles()[0].rsplit("/", 1)[0]
+    suffix_dedup.remove_repeats(spark.createDataFrame(edge_rows(), SCHEMA)).count()
+    common.release(spark)
+    assert not common._made and [t.name for t in spark.catalog.listTables()] == [t.name for t in before if not t.name.startswith("sieveline_")]
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+@pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, edit_prints.fingerprint_documents])
+def test_other_keys_are_refused(spark, run):
+    with pytest.raises(ValueError, match="long or int"):
+        run(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_toxicity_on_words(spark):
     rows = [(i, prose(i, 60) + (" you utter fool" if i % 3 == 0 else ""), None, None, None) for i in range(900)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -604,6 +670,35 @@ def test_licenses(spark):
     assert all(name in got[i] for i, name in enumerate(licenses.TEMPLATES)) and "mit-grant" in got[93] and not {90, 91, 92} & set(got)
 
 
+def test_license_windows_equal_brute_force():
+    """Every template against every window of its level, by containment alone."""
+    rng, texts = random.Random(31), ["", "a b c", "one two three four five"]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(list(licenses.TEMPLATES.values())).split()
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+            parts += [prose(rng.randint(0, 999), rng.randint(0, 60)), " ".join(own[rng.choice((0, 0, 2)) :])]
+        texts.append("\n".join(parts))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    sequence, sizes = licenses.shingle_sequence(data, at)
+    index = licenses.Index(licenses.TEMPLATES)
+    want, ends = [], np.cumsum(sizes)
+    for d, (e, n) in enumerate(zip(ends, sizes)):
+        own = sequence[e - n : e].tolist()
+        for k, template in enumerate(index.sets):
+            step = 1
+            while step < len(template):
+                step *= 2
+            held = {b: len(set(template.tolist()) & set(own[b : b + 2 * step])) for b in range(0, n, step)}
+            good = [b for b, h in held.items() if 100 * h >= 75 * len(template)]
+            if good:
+                want.append((d, k, good[0], max(held[b] for b in good), len(good)))
+    assert licenses.scan_chunk(sequence, sizes, index) == want and len(want) > 200
+
+
 def test_fingerprints(spark):
     rows = [(i, prose(i, 5 + 9 * i)) for i in range(30)] + [(40, prose(3, 32)), (41, None), (42, "a")]
     got = {r.doc_id: r for r in edit_prints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
