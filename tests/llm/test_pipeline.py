@@ -1,10 +1,10 @@
 """The pipeline's stages on small tables, and its registration."""
 
-import os
-
 import pytest
 
-from tests.llm.test_operators import SCHEMA, edge_rows, prose
+from pyspark.sql import functions as F
+
+from tests.llm.test_operators import SCHEMA, brute_repeats, edge_rows, prose
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +34,6 @@ def test_stages(spark, folder):
 
 def test_stages_with_extra_columns_and_empty(spark, folder):
     import corpus_pipeline
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("kept", F.lit(1)).withColumn("n_bytes", F.lit("b"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.staged(stage(spark, docs, folder), name)
@@ -52,9 +50,40 @@ def test_language_stage_without_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 1, None}
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    clean = [prose(i + 70, 60) + ". And so on." for i in range(40)]
+    rows = [(i, t, "en", "s", 5) for i, t in enumerate(clean)] + [(3, clean[3], "en", "s", 5)] * 3 + [(None, prose(7, 60) + ". So.", "en", "s", 5), (None, None, "en", "s", 5), (50, clean[9], "de", "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("own column 2", F.lit("c"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(spark, docs, ""), name)
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert sorted(str(i) for i, _ in got) == sorted([*map(str, range(40)), "None"]) and docs.columns[-1] == "own column 2"
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert packed.where("start = 0").count() == 41
+
+
+def test_stages_equal_a_walk_over_documents(spark, folder):
+    """The verdicts of each stage, by the functions that test_operators holds against brute force."""
+    import corpus_pipeline
+    from sieveline.llm import near_dup, quality
+
+    docs = corpus_pipeline.staged(corpus_pipeline.language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), "l")
+    assert {r.doc_id for r in docs.collect()} == {i for i, t, *_ in edge_rows()[:-1] if t and any(c.isalpha() for c in t)} | set(range(100, 130)) | {200}
+    kept = {r.doc_id for r in quality.judge_quality(docs).where("kept").collect()}
+    docs = corpus_pipeline.staged(corpus_pipeline.quality(spark, docs, folder), "q")
+    assert {r.doc_id for r in docs.collect()} == kept
+    first = {r.doc_id for r in near_dup.near_duplicates(docs).where("kept").collect()}
+    docs = corpus_pipeline.staged(corpus_pipeline.near_duplicate(spark, docs, folder), "n")
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(first)
+    want = {i: left.decode("utf-8", "ignore") for i, (_, _, _, left) in brute_repeats([(r.doc_id, r.text) for r in docs.collect()]).items()}
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, folder).collect()}
+    assert left == {i: t for i, t in want.items() if t}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
     assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11))
-    assert os.path.exists("corpus_pipeline.py") or True
