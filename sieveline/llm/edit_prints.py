@@ -4,12 +4,12 @@ A walk reads a text: at step j it writes the character under its pointer and mov
 all documents says for that step and character. Two walks over texts that differ by an edit soon meet again, so edit
 distance becomes Hamming distance of what the walks write (Chakraborty, Goldenberg, Koucky 2016). The walk goes on until
 the text is used up. Each of SLOTS slots samples the written string at the position whose random priority is the least
-among all that were written, so texts of like length sample like positions, and keeps 8 bits of the three
-characters there. The likeness of two fingerprints is the share of equal slots, less what chance makes equal.
+among all that were written, so texts of like length sample like positions, and keeps 8 bits of the WRITTEN
+characters from there on. The likeness of two fingerprints is the share of equal slots, less what chance makes equal.
 
-Near documents: bands of sampled slots propose pairs, and the whole fingerprints verify them (a likeness of LIKE or more). Of 400
-pairs 3, 10 and 20 edits apart they find 0.98, 0.90 and 0.76 at 450 characters, 0.98, 0.92 and 0.84 at 1,450, and 0.99, 0.98 and
-0.95 at 5,700. The components of such links are the groups; every pair that shares
+Near documents: bands of sampled slots propose pairs, and the whole fingerprints verify them (a likeness of LIKE or more). Of 200
+pairs 3, 10 and 20 edits apart they find 0.99, 0.90 and 0.76 at 450 characters, 0.97, 0.91 and 0.80 at 1,450, and 0.99, 0.98 and
+0.96 at 5,700. The components of such links are the groups; every pair that shares
 a band is compared or already connected (see linking). near_links goes on to edit distance itself.
 
 Defined results: null and empty texts have length 0 and the fingerprint of nothing, and are near nothing but each other; whole
@@ -33,19 +33,21 @@ from pyspark.sql import types as T
 
 from sieveline.llm.common import heavy_join, splitmix, staged, width
 from sieveline.llm.graph import connected_components
-from sieveline.llm.linking import across, binary_rows, head_pairs, headed
+from sieveline.llm.linking import across, binary_rows, head_pairs, headed, spanning
 
 SLOTS = 64
-CHARS = 4_000_000
+CHARS = 2_000_000
 PERIOD = 1 << 14
 _rng = np.random.default_rng(16_2016)
-MOVES = _rng.integers(0, 2, (PERIOD, 256), dtype=np.uint8).astype(np.int64)
+MOVES = _rng.integers(0, 2, (PERIOD, 256), dtype=np.uint8)
 SALT = _rng.integers(1, 1 << 62, SLOTS, dtype=np.uint64) | np.uint64(1)
 REST = np.zeros(16, np.uint8)
 #: Bands and their slots for finding near pairs.
 BANDS, WIDTH = 21, 3
-#: Likeness at which fingerprints are near; of unrelated texts of one language, one pair in a thousand reaches 0.15.
-LIKE = 0.3
+#: Written characters of a slot: some five of the text, so that unrelated texts agree by chance alone.
+WRITTEN = 8
+#: Likeness at which fingerprints are near; of unrelated texts of one language, one pair in a thousand reaches 0.06.
+LIKE = 0.2
 #: With so few walks left, each is walked by itself: a batch step costs as much as some fifty steps of one walk.
 FEW = 40
 #: Characters of a gram, for the pairs that no band finds.
@@ -116,7 +118,7 @@ def embed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _walk(text: bytes, stop: int, steps: int) -> bytearray:
     """What one walk writes from here on; steps: how many it has made, a multiple of 16."""
     if not _steps:
-        rows = [bytes(r) for r in MOVES.astype(np.uint8)]
+        rows = [bytes(r) for r in MOVES]
         _steps.extend(tuple(rows[k : k + 16]) for k in range(0, PERIOD, 16))
     out, pos, k = bytearray(), 0, (steps >> 4) % len(_steps)
     put = out.append
@@ -141,9 +143,13 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
     some = np.flatnonzero(length > 0)
     with np.errstate(over="ignore"):
         for k in range(SLOTS):
-            at = base[some] + RECORDS[k][np.searchsorted(RECORDS[k], length[some], "left") - 1]
-            gram = out[at].astype(np.uint64) | out[at + 1].astype(np.uint64) << np.uint64(8) | out[at + 2].astype(np.uint64) << np.uint64(16)
-            found[some, k] = ((gram + np.uint64(1)) * SALT[k] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+            step = RECORDS[k][np.searchsorted(RECORDS[k], length[some], "left") - 1]
+            gram = np.full(len(some), SALT[k])
+            for i in range(WRITTEN):  # what stands behind the end of a walk counts as nothing
+                seen = np.where(step + i < length[some], out[base[some] + np.minimum(step + i, length[some] - 1)], 0)
+                gram = (gram ^ seen.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                gram ^= gram >> np.uint64(29)
+            found[some, k] = gram >> np.uint64(56)
     return found
 
 
@@ -216,7 +222,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
 
     pairs = head_pairs(members)
     both = pairs.join(reps.toDF("a", "fa"), "a").join(reps.toDF("b", "fb"), "b")
-    first = staged(both.select("a", "b", "fa", "fb").mapInArrow(verify, f"a {kind}, b {kind}"), "links")
+    first = staged(both.select("a", "b", "fa", "fb").mapInArrow(lambda batches: spanning(verify(batches)), f"a {kind}, b {kind}"), "links")
     links = first.unionByName(staged(across(members, first, reps, compare), "links"))
     component = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("near_id"))
     grouped = firsts.join(component, "rep", "left").where("n > 1 or near_id is not null").select("h", "n", F.coalesce("near_id", "rep").alias("near_id"))

@@ -43,6 +43,44 @@ def headed(members: DataFrame) -> DataFrame:
     return light.where("n > 1").unionByName(own.join(F.broadcast(heads.limit(common.HEAVY)), "bucket").where("n > 1").select(*light.columns))
 
 
+class Forest:
+    """Passes on links that join what the links before them have not: a spanning forest, so components stay and most links of large groups go.
+
+    It starts anew after SPAN links, which bounds its memory.
+    """
+
+    SPAN = 500_000
+
+    def __init__(self):
+        self.at: dict = {}
+
+    def _root(self, x):
+        while (up := self.at.get(x, x)) != x:
+            self.at[x] = self.at.get(up, up)
+            x = up
+        return x
+
+    def joins(self, a: list, b: list) -> pa.Array:
+        """A mask of the links that join something new."""
+        out = []
+        for x, y in zip(a, b):
+            p, q = self._root(x), self._root(y)
+            out.append(p != q)
+            if p != q:
+                self.at[p] = q
+                self.at.setdefault(q, q)
+                if len(self.at) > self.SPAN:
+                    self.at = {}
+        return pa.array(out, pa.bool_())
+
+
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b, ..) of a task's batches that Forest passes on."""
+    forest = Forest()
+    for batch in batches:
+        yield batch.filter(forest.joins(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+
+
 def head_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket with its head, each pair once."""
     return members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
@@ -92,7 +130,7 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found.out), types)], names=schema.names)
 
     types = [_arrow(f.dataType) for f in schema.fields]
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lambda batches: spanning(run(batches)), schema)
 
 
 class _Found:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import heavy_join, staged, text_chunks
 from sieveline.llm.graph import connected_components
-from sieveline.llm.linking import across, binary_rows, head_pairs, headed
+from sieveline.llm.linking import across, binary_rows, head_pairs, headed, spanning
 from sieveline.llm.shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -151,7 +151,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
             yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, hundredths) for x, y in zip(left, right)], pa.bool_()))
 
     pairs = head_pairs(members)
-    for table, own, check in ((sigs, "sig", prune), (sets, "shingles", verify)):
+    for table, own, check in ((sigs, "sig", prune), (sets, "shingles", lambda batches: spanning(verify(batches)))):
         both = pairs.join(side(table, "a", own), "a").join(side(table, "b", own), "b")
         pairs = staged(both.select("a", "b", f"{own}_a", f"{own}_b").mapInArrow(check, f"a {kind}, b {kind}"), "pairs")
 

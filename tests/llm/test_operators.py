@@ -501,6 +501,20 @@ def test_long_texts_are_walked_whole():
     assert length[2] == 0
 
 
+def test_forest_keeps_components():
+    from sieveline.llm.linking import Forest
+
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(2000)] + [(i, 1000) for i in range(300)]
+    for span in (10, 10**6):
+        forest = Forest()
+        forest.SPAN = span
+        mask = forest.joins([a for a, _ in links], [b for _, b in links]).to_pylist()
+        kept = [x for x, m in zip(links, mask) if m]
+        assert components_of(kept, {x for p in links for x in p}) == components_of(links, {x for p in links for x in p})
+    assert len(kept) == 300
+
+
 def test_heavy_keys_are_handled_apart(spark, monkeypatch):
     from sieveline.llm import common, linking
 
