@@ -496,7 +496,7 @@ def test_long_texts_are_walked_whole():
         for j in range(int(n)):
             if j < 2000 or n - j < 2000 or len(t) < 100:
                 assert out[b + j] == (t[pos] if pos < len(t) else 0)
-            pos += edit_prints.MOVES[j & (edit_prints.PERIOD - 1), t[pos] if pos < len(t) else 0]
+            pos += int(edit_prints.MOVES[j & (edit_prints.PERIOD - 1), t[pos] if pos < len(t) else 0])
         assert pos >= len(t)
     assert length[2] == 0
 
