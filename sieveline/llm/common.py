@@ -91,8 +91,8 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", total:
     total = (right.agg(F.sum(n)).head()[0] or 0) if total is None else total
     heavy = F.col(n) > total / HEAVY
     most = right.where(heavy).limit(HEAVY)  # the limit states the bound; it cuts nothing
-    rest = left.join(F.broadcast(most.select(key)), key, "left_anti").join(right.where(~heavy), key)
-    return left.join(F.broadcast(most), key).unionByName(rest)
+    hot = F.col(key).isin([r[0] for r in most.select(key).collect()])  # a filter, as a join would pass on every other row
+    return left.where(hot).join(F.broadcast(most), key).unionByName(left.where(~hot).join(right.where(~heavy), key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

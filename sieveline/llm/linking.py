@@ -36,10 +36,11 @@ def headed(members: DataFrame) -> DataFrame:
     counts = staged(seen.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 3"), "counts")
     total = seen.count()
     heavy = counts.where(F.col("c") > total / common.HEAVY).select("bucket").limit(common.HEAVY)  # fewer by the sum; the limit states it
-    own = members.join(F.broadcast(heavy), "bucket", "left_semi")
+    hot = F.col("bucket").isin([r[0] for r in heavy.collect()])
+    own = members.where(hot)
     heads = own.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     w = Window.partitionBy("bucket")
-    light = members.join(F.broadcast(heavy), "bucket", "left_anti").withColumns({"head": F.min("id").over(w), "n": F.count("*").over(w)})
+    light = members.where(~hot).withColumns({"head": F.min("id").over(w), "n": F.count("*").over(w)})
     return light.where("n > 1").unionByName(own.join(F.broadcast(heads.limit(common.HEAVY)), "bucket").where("n > 1").select(*light.columns))
 
 
