@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys with more than 1 / HEAVY of the rows are handled apart; it bounds what is broadcast.
-HEAVY = 4096
+HEAVY = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +82,15 @@ def share_bound(part: float, whole: int) -> int:
     return (1 << 63) - 1 if part >= whole else int(part * (1 << 63) / whole)
 
 
+def one_of(key: str, values: list) -> Column:
+    """Whether a column holds one of a few values (numbers, texts or bytes), written as one expression."""
+
+    def text(v) -> str:
+        return str(v) if isinstance(v, int) else f"X'{bytes(v).hex()}'" if isinstance(v, (bytes, bytearray)) else "decode(X'" + v.encode().hex() + "', 'utf-8')"
+
+    return F.expr(f"`{key}` in ({', '.join(map(text, values))})") if values else F.lit(False)
+
+
 def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
     """left joined with right on a key of which a few values may hold most rows of left.
 
@@ -91,7 +100,7 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", total:
     total = (right.agg(F.sum(n)).head()[0] or 0) if total is None else total
     heavy = F.col(n) > total / HEAVY
     most = right.where(heavy).limit(HEAVY)  # the limit states the bound; it cuts nothing
-    hot = F.col(key).isin([r[0] for r in most.select(key).collect()])  # a filter, as a join would pass on every other row
+    hot = one_of(key, [r[0] for r in most.select(key).collect()])  # a filter, as a join would pass on every other row
     return left.where(hot).join(F.broadcast(most), key).unionByName(left.where(~hot).join(right.where(~heavy), key))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.llm import common
-from sieveline.llm.common import heavy_join, staged, width
+from sieveline.llm.common import heavy_join, one_of, staged, width
 from sieveline.llm.graph import connected_components
 
 #: Rows of a block.
@@ -36,7 +36,7 @@ def headed(members: DataFrame) -> DataFrame:
     counts = staged(seen.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 3"), "counts")
     total = seen.count()
     heavy = counts.where(F.col("c") > total / common.HEAVY).select("bucket").limit(common.HEAVY)  # fewer by the sum; the limit states it
-    hot = F.col("bucket").isin([r[0] for r in heavy.collect()])
+    hot = one_of("bucket", [r[0] for r in heavy.collect()])
     own = members.where(hot)
     heads = own.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     w = Window.partitionBy("bucket")
