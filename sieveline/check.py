@@ -1,34 +1,156 @@
-"""The whole check of a source tree: extract once, run every detector, name, order and score the findings."""
+"""The whole check of a source tree: extract once, run every detector, name, suppress, order and score the findings."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline import datasets
+from sieveline.config import Config
 from sieveline.functions import text as fn
-from sieveline.operators import code, identity, references
-from sieveline.schema import as_findings
+from sieveline.operators import baseline, code, detect, identity, report, rules
 from sieveline.sources import files as sources
 
 
-def secret_findings(rows: DataFrame) -> DataFrame:
-    """Findings of string assignments with a secret's shape, or a secret-like name and an opaque value."""
-    named = rows.where("kind = 'assignment'").withColumn("shape", F.coalesce(fn.secret_kind(F.col("value")), F.when(fn.opaque_value(F.col("name"), F.col("value")), F.lit("entropy"))))
-    hits = named.where("shape is not null").dropDuplicates(["path", "line", "value"])
-    return as_findings(hits, id=F.lit("env/hardcoded-secret"), command=F.lit("env"), severity="critical", confidence=F.when(F.col("shape") == "entropy", "medium").otherwise("high"), file=F.col("path"), line=F.col("line"), column=F.col("col"), end_line=F.col("end_line"), message=F.concat("shape", F.lit(" "), fn.mask_secret(F.col("value"))), suggestion=fn.env_key(F.col("name")), fixable=True, seed_kind=F.lit("assignment"), seed_text=F.concat_ws("=", "name", "value"))
+@dataclass
+class Context:
+    """What all detectors share: the files, their rows, declared packages, and whatever the caller knows besides."""
+
+    files: DataFrame
+    other: DataFrame
+    skipped: DataFrame
+    rows: DataFrame
+    declared: DataFrame
+    frameworks: list[str]
+    pack: tuple[rules.Rule, ...]
+    keys: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def release(self) -> None:
+        """Gives the extracted rows back; a result that was not written yet is then computed anew."""
+        for df in (self.rows, self.other, self.declared):
+            df.unpersist()
+
+
+def scan(spark: SparkSession, root: str, pack: tuple[rules.Rule, ...] | None = None, **tables: DataFrame) -> Context:
+    """One walk and one parse of a tree. tables: cache, metadata, popular, local, tiers, surface, tracked, changed_ranges, added."""
+    found = sources.scan(spark, root)
+    pack = rules.shipped() if pack is None else pack
+    globs = [fn.glob_regex(m.file_glob) for r in pack for m in r.matchers if m.file_glob]
+    names = [rf"\A{n.replace('.', chr(92) + '.')}\z" for n in detect.ENV_EXAMPLES]
+    texts = sources.read_texts(spark, root, "|".join([sources.manifest_pattern(), *names, *globs])).persist()  # what nothing asks for stays unread
+    declared = sources.declared(texts).persist()
+    paths = found["files"].select("path").unionByName(found["other"].select("path"))
+    known = detect.frameworks(declared, paths).head()  # one row of flags
+    active = [n for n in rules.FRAMEWORKS if known[n]]
+    rows = code.extract(found["files"], rules.syntax_rules(pack, active)).persist()
+    keys = sources.keys_of(texts.where(F.col("path").isin(*detect.ENV_EXAMPLES)))
+    return Context(found["files"], texts, found["skipped"], rows, declared, active, pack, keys, tables)
+
+
+def imports_of(rows: DataFrame) -> DataFrame:
+    """Imports (path, line, ecosystem, name, spec, seq) of extracted rows."""
+    own = rows.where("kind = 'import'")
+    return own.select("path", "line", F.when(F.col("lang") == "python", "pypi").otherwise("npm").alias("ecosystem"), "name", F.col("value").alias("spec"), F.struct("path", "line").alias("seq"))
+
+
+def local_modules(files: DataFrame) -> DataFrame:
+    """(ecosystem, name) of a project's own top modules: Python files and folders that hold some, at any depth."""
+    parts = F.split(F.regexp_replace("path", r"\.pyi?\z", ""), "/")
+    return files.where("lang = 'python'").select(F.lit("pypi").alias("ecosystem"), F.explode(parts).alias("name")).distinct()
+
+
+def real(spark: SparkSession, context: Context, now: int = 0, settings: Config | None = None, scope: tuple[str, ...] = ("deps", "apis", "models")) -> DataFrame:
+    """Findings about packages, APIs and models."""
+    settings = settings or Config()
+    imports = detect.resolve_imports(imports_of(context.rows), context.declared, local_modules(context.files), datasets.builtins(spark), datasets.import_aliases(spark))
+    legs = []
+    if "deps" in scope:
+        legs.append(detect.phantom_imports(imports.where("name <> ''")))
+        t = context.tables
+        if "cache" in t and not settings.real.offline:
+            empty = spark.createDataFrame([], "ecosystem string, name string, downloads long, created_at long, fetched_at long")
+            popular = t.get("popular", spark.createDataFrame([], "ecosystem string, name string, pos long"))
+            verdicts = detect.package_verdicts(context.declared, imports, t["cache"], t.get("metadata", empty), popular, now, settings.real.typosquat_sensitivity)
+            legs += [detect.nonexistent_packages(verdicts), detect.typosquats(verdicts)]
+    if "apis" in scope and settings.real.check_apis and "tiers" in context.tables:
+        usages = context.rows.where("kind = 'usage'").select(F.when(F.col("lang") == "python", "pypi").otherwise("npm").alias("ecosystem"), F.col("name").alias("package"), F.col("detail").alias("subpath"), F.col("value").alias("member"), "path", "line", F.struct("path", "line", "col").alias("seq"))
+        legs.append(detect.nonexistent_apis(usages, context.declared, context.tables["tiers"], context.tables["surface"]))
+    if "models" in scope:
+        legs.append(detect.unknown_models(context.rows.where("kind = 'assignment'")))
+    return _union(legs)
+
+
+def audit(spark: SparkSession, context: Context, settings: Config | None = None) -> DataFrame:
+    """Findings of the rules of the pack, those of whole files and of secrets among them, of the least severity or worse."""
+    settings = settings or Config()
+    own = rules.pack_frame(spark, context.pack)
+    shown = tuple(r for r in context.pack if r.id.startswith("audit/") or not r.id.startswith(("review/", "ship/")))
+    found = code.rule_findings(context.rows, rules.pack_frame(spark, shown))
+    texts = rules.whole_file_hits(context.other, own, context.frameworks)
+    whole = rules.text_findings(texts)
+    legs = [found, whole]
+    if rules.secret_rules(context.pack):
+        legs.append(detect.hardcoded_secrets(detect.classified(context.rows.where("kind = 'assignment'")), "audit"))
+    return report.at_least(_union(legs), settings.audit.severity_min)
+
+
+def review(spark: SparkSession, context: Context) -> DataFrame:
+    """Findings about a change: tables changed_ranges (path, start, end) and added (path); without them, every file is one added range."""
+    ranges = context.tables.get("changed_ranges")
+    if ranges is None:
+        ranges = context.files.select("path", F.lit(1).alias("start"), F.lit(2**31 - 1).alias("end"))
+    added = context.tables.get("added")
+    added = context.files.select("path") if added is None else added
+    shown = tuple(r for r in context.pack if r.id.startswith("review/"))
+    rows = context.rows
+    return _union([
+        detect.introduced(code.rule_findings(rows, rules.pack_frame(spark, shown)), ranges), detect.duplicate_helpers(rows.where("kind = 'function'"), ranges), detect.dead_code(rows, ranges),
+        detect.commented_blocks(code.commented_code(rows), ranges), detect.orphan_files(added, rows.where("kind = 'import'")),
+    ])
+
+
+def env(spark: SparkSession, context: Context, settings: Config | None = None) -> DataFrame:
+    """Findings about secrets that could move to the environment, and about a committed environment file."""
+    settings = settings or Config()
+    legs = [detect.hardcoded_secrets(detect.classified(context.rows.where("kind = 'assignment'"), settings.env.include_urls))]
+    if "tracked" in context.tables:
+        legs.append(detect.committed_env_files(context.tables["tracked"], settings.env.env_file))
+    return _union(legs)
+
+
+def ship(spark: SparkSession, context: Context) -> DataFrame:
+    """Findings that matter for a deployment."""
+    shown = tuple(r for r in context.pack if r.id.startswith("ship/"))
+    return _union([code.rule_findings(context.rows, rules.pack_frame(spark, shown)), detect.undeclared_env(context.rows, context.keys), detect.blocking(audit(spark, context))])
+
+
+def check(spark: SparkSession, root: str, settings: Config | None = None, now: int = 0, known: DataFrame | None = None, mode: str = "none", **tables: DataFrame) -> dict[str, DataFrame]:
+    """Findings of a tree: `kept`, `suppressed` and `stale` with tokens, and `context`.
+
+    The legs real, audit, env and review in this order; an audit's secret goes where env has it at the same place; then tokens, settings'
+    suppressions, and the baseline.
+    """
+    settings = settings or Config()
+    context = scan(spark, root, **tables)
+    secrets = env(spark, context, settings)
+    seen = _union([real(spark, context, now, settings), baseline.without_twins(audit(spark, context, settings), secrets), secrets, review(spark, context)])
+    tokens = spark.createDataFrame([(s.fingerprint, s.reason) for s in settings.suppress], "fingerprint string, reason string")
+    reasons = baseline.with_reasons(identity.assign_tokens(seen), {r: "rule" for r in settings.ignore.rules}, {p: f"path {p}" for p in settings.ignore.paths}, tokens)
+    split = baseline.split(reasons.where("reason is null").drop("reason"), mode, known)
+    return split | {"ignored": reasons.where("reason is not null"), "context": context}
 
 
-def undeclared_env(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Findings of environment keys that are read and declared nowhere."""
-    read = rows.where("kind = 'env'").withColumnRenamed("name", "key")
-    hits = references.undeclared(read, keys, "key")
-    return as_findings(hits, id=F.lit("ship/missing-env-declaration"), command=F.lit("ship"), severity="medium", confidence="medium", file=F.col("path"), line=F.col("line"), column=F.col("col"), message=F.concat(F.lit("undeclared "), "key"), fixable=False, seed_kind=F.lit("env"), seed_text=F.col("key"))
+def check_since(spark: SparkSession, root: str, earlier: str, settings: Config | None = None, **tables: DataFrame) -> dict[str, DataFrame]:
+    """check() without what an earlier snapshot of the tree already had."""
+    before = check(spark, earlier, settings, **tables)
+    return check(spark, root, settings, known=before["kept"].select("fingerprint"), mode="since", **tables)
 
 
-def check(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
-    """All findings of a tree, with tokens."""
-    rows = code.extract(sources.scan(spark, root)["files"]).persist()
-    found = code.code_findings(rows).unionByName(secret_findings(rows))
-    if keys is not None:
-        found = found.unionByName(undeclared_env(rows, keys))
-    return identity.assign_tokens(found)
+def _union(legs: list[DataFrame]) -> DataFrame:
+    found = legs[0]
+    for leg in legs[1:]:
+        found = found.unionByName(leg)
+    return found

@@ -196,6 +196,30 @@ def glob_regex(glob: str) -> str:
     return rf"\A{out}\z"
 
 
+def semver_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of two semantic versions (a `v` before them is allowed); a pre-release comes before its release; null if one is none."""
+    shape = r"\Av?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.\-]+))?(?:\+[0-9A-Za-z.\-]+)?\z"
+
+    def parts(x: Column) -> Column:
+        pre = F.regexp_extract(x, shape, 4)
+        ids = F.when(pre == "", F.array().cast("array<struct<n:boolean,v:decimal(38,0),t:string>>")).otherwise(
+            F.transform(F.split(pre, r"\."), lambda p: F.struct((~p.rlike(r"\A\d+\z")).alias("n"), F.when(p.rlike(r"\A\d+\z"), p).cast("decimal(38,0)").alias("v"), p.alias("t")))
+        )
+        return F.struct(*(F.regexp_extract(x, shape, i).cast("decimal(38,0)").alias(f"p{i}") for i in (1, 2, 3)), (pre == "").alias("final"), ids.alias("pre"))
+
+    x, y = parts(a), parts(b)
+    return F.when(a.rlike(shape) & b.rlike(shape), F.when(x < y, -1).when(x > y, 1).otherwise(0))
+
+
+#: Labels of existence, of reasons for suspicion and of ecosystems as people read them.
+LABELS = {"exists": "exists", "missing": "does not exist", "inconclusive": "could not be checked", "near-name": "name close to a popular package", "low-downloads": "few downloads", "new-package": "published lately", "npm": "npm", "pypi": "PyPI"}
+
+
+def label(x: Column) -> Column:
+    """The label of a code, or the code itself."""
+    return F.coalesce(F.create_map(*(F.lit(v) for pair in LABELS.items() for v in pair))[x], x)
+
+
 def percent_scoped(x: Column) -> Column:
     """Percent-encoding of a scoped name with lower-case hex: what is not a letter, digit, - _ . ~ is encoded; @ stays."""
     upper = F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%40"), F.lit("@")), F.lit("%7E"), F.lit("~"))

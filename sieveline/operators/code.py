@@ -1,18 +1,30 @@
-"""Relations extracted from source code, and the code rules that are filters over them.
-
-Python is read with the standard library's parser; JavaScript and TypeScript with a small lexer and matchers for the shapes
-that the rules need, which is approximate: it does not recover from errors and does not know types. One pass over a
-file yields all its rows, (path, kind, name, value, detail, line, col, end_line), so each file is parsed once.
-
-kinds: import, function, declaration, assignment, comment, call, env, port, member, export, error.
+"""Relations extracted from source code.
+
+Each file is parsed once, in Arrow batches, and yields all its rows (path, lang, kind, name, value, detail, line, col, end_line):
+
+| kind | name | value | detail |
+|-|-|-|-|
+| error | class of the node | | |
+| comment | line or block | its text | |
+| import | package or top module, empty if relative | specifier | local binding |
+| usage | package | member | subpath |
+| function | its name or that of its variable | normalised tokens, if LEAST_TOKENS or more | their number |
+| declaration | its name | its text | kind of node, or `decorated` |
+| assignment | variable, key or parameter | the string | range of characters of the literal |
+| ident | identifier | how often it stands in the file | |
+| string | | literal with its quotes | |
+| env | environment key | | |
+| member | object | attribute | |
+| export | name, or * | module of a wildcard | dynamic, reexport or empty |
+| rule | rule id | matched text | kind of node |
+
+Lines and columns are from 1, columns in UTF-8 bytes. Null texts and unknown languages have no rows.
 """
 
 from __future__ import annotations
 
-import ast
-import io
 import re
-import tokenize
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,271 +32,398 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.schema import as_findings
+from sieveline.syntax.python_tree import parse_python
+from sieveline.syntax.query import Query, anchors
+from sieveline.syntax.script_tree import KEYWORDS, _Parser, parse_script
+from sieveline.syntax.tree import Node
 
 FIELDS = ("kind", "name", "value", "detail", "line", "col", "end_line")
 SCHEMA = "path string, lang string, kind string, name string, value string, detail string, line int, col int, end_line int"
-#: Shortest function, in tokens, that is fingerprinted.
-LEAST_TOKENS = 25
-
-
-def _dotted(node: ast.AST) -> str:
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    if isinstance(node, ast.Name):
-        parts.append(node.id)
-    elif parts:
-        parts.append("")
-    return ".".join(reversed(parts))
+#: Shortest function, in tokens, that is fingerprinted, and lines of a commented block.
+LEAST_TOKENS, LEAST_LINES = 25, 3
+#: A license marker counts within so many lines from the top.
+LICENSE_LINES = 20
+IDENTIFIERS = ("identifier", "property_identifier", "shorthand_property_identifier", "shorthand_property_identifier_pattern", "type_identifier")
+FUNCTIONS = {"python": ("function_definition",)}
+SCRIPT_FUNCTIONS = ("function_declaration", "function_expression", "arrow_function", "method_definition", "generator_function_declaration", "generator_function_expression")
+#: What shows that a text is code.
+CODE_SHAPED = {
+    "call_expression", "call", "assignment_expression", "variable_declarator", "assignment", "if_statement", "for_statement", "while_statement", "function_declaration", "function_definition",
+    "class_declaration", "class_definition", "import_statement", "export_statement", "import_from_statement",
+}
+Row = tuple
+
+
+def parse(text: str, lang: str) -> Node:
+    return parse_python(text) if lang == "python" else parse_script(text, lang)
+
+
+def literal(node: Node | None) -> str | None:
+    """The content of a plain string; None for other nodes, for strings with values in them and for f- and b-strings."""
+    if node is None or node.kind != "string" or node.children:
+        return None
+    m = re.fullmatch(r"""(?s)[rRuU]?(\"\"\"|'''|"|')(.*)\1""", node.text)
+    return m[2] if m and len(node.text) >= 2 * len(m[1]) else None
+
+
+def row(kind: str, node: Node, name: str | None, value: str | None = None, detail: str | None = None, end: Node | None = None) -> Row:
+    return kind, name, value, detail, node.line, node.column, (end or node).end_line
+
+
+def script_tokens(node: Node, typed: str) -> list[str]:
+    """Tokens below a node: names as ID, strings and templates as STR, numbers as NUM; comments go."""
+    lexer = _Parser.__new__(_Parser)
+    lexer.text, lexer.comments, lexer.cache = node.source.text[: node.end], {}, {}
+    out, at, operand = [], node.start, True
+    while at < node.end:
+        t = lexer.lex(at, operand)
+        if t.kind == "end":
+            break
+        word = t.text
+        out.append("ID" if t.kind == "name" and word not in KEYWORDS else "STR" if t.kind in ("string", "template") else "NUM" if t.kind == "number" else word)
+        at, operand = t.end, lexer._operand_next(t)
+    return out
 
 
-def _python_tokens(text: str) -> list[tuple[int, str]]:
-    """(line, token) with names as ID, strings as STR, numbers as NUM; comments and layout dropped."""
+def python_tokens(text: str) -> list[tuple[int, str]]:
+    """(place, token) with names as ID, strings as STR, numbers as NUM; comments and layout dropped."""
+    import io
     import keyword
+    import tokenize
 
-    out = []
-    for t in tokenize.generate_tokens(io.StringIO(text).readline):
-        if t.type == tokenize.NAME:
-            out.append((t.start[0], t.string if keyword.iskeyword(t.string) else "ID"))
-        elif t.type in (tokenize.STRING, getattr(tokenize, "FSTRING_MIDDLE", -1)):
-            out.append((t.start[0], "STR"))
-        elif t.type == tokenize.NUMBER:
-            out.append((t.start[0], "NUM"))
-        elif t.type == tokenize.OP:
-            out.append((t.start[0], t.string))
+    starts = [0] + [m.end() for m in re.finditer("\n", text)]
+    out, depth = [], 0
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            name = tokenize.tok_name[t.type]
+            token = None
+            if name == "FSTRING_START":
+                depth += 1
+                token = "STR" if depth == 1 else None
+            elif name == "FSTRING_END":
+                depth -= 1
+            elif depth:
+                continue
+            elif t.type == tokenize.NAME:
+                token = t.string if keyword.iskeyword(t.string) else "ID"
+            elif t.type == tokenize.STRING:
+                token = "STR"
+            elif t.type == tokenize.NUMBER:
+                token = "NUM"
+            elif t.type == tokenize.OP:
+                token = t.string
+            if token:
+                out.append((starts[t.start[0] - 1] + t.start[1], token))
+    except (tokenize.TokenError, SyntaxError, IndexError):
+        return []
     return out
 
 
-def python_rows(text: str) -> list[tuple]:
-    try:
-        tree = ast.parse(text)
-        comments = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT]
-        tokens = _python_tokens(text)
-    except (SyntaxError, ValueError, tokenize.TokenError) as e:
-        return [("error", type(e).__name__, None, None, getattr(e, "lineno", None) or 1, 0, None)]
-    rows: list[tuple] = [("comment", "line", t.string, None, t.start[0], t.start[1], t.start[0]) for t in comments]
-
-    def put(kind: str, node: ast.AST, name: str, value: str | None = None, detail: str | None = None) -> None:
-        rows.append((kind, name, value, detail, node.lineno, node.col_offset, node.end_lineno))
-
-    def literal(node: ast.AST | None) -> str | None:
-        return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) and node.value else None
-
-    exported = None
-    for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            put("declaration", node, node.name, None, "decorated" if node.decorator_list else None)
-        elif isinstance(node, ast.Assign):
-            for target in node.targets:
-                if isinstance(target, ast.Name):
-                    if target.id == "__all__" and isinstance(node.value, (ast.List, ast.Tuple)):
-                        exported = [v for e in node.value.elts if (v := literal(e))]
-                    put("declaration", target, target.id)
-    for name in exported or []:
-        rows.append(("export", name, None, "__all__", 1, 0, None))
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                put("import", node, a.name.split(".")[0], a.name, a.asname or a.name.split(".")[0])
-        elif isinstance(node, ast.ImportFrom):
-            module = "." * node.level + (node.module or "")
-            for a in node.names:
-                put("import", node, "" if node.level else module.split(".")[0], module, a.asname or a.name)
-                if a.name == "*":
-                    rows.append(("export", "*", module, "dynamic", node.lineno, node.col_offset, None))
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            own = [t for line, t in tokens if node.lineno <= line <= (node.end_lineno or node.lineno)]
-            put("function", node, node.name, " ".join(own) if len(own) >= LEAST_TOKENS else None, str(len(own)))
-            if node.name == "__getattr__":
-                rows.append(("export", "*", None, "dynamic", node.lineno, node.col_offset, None))
-        elif isinstance(node, ast.Assign) and (v := literal(node.value)):
-            for target in node.targets:
-                if isinstance(target, (ast.Name, ast.Attribute)):
-                    put("assignment", node, _dotted(target).rsplit(".", 1)[-1], v)
-        elif isinstance(node, ast.keyword) and node.arg and (v := literal(node.value)):
-            put("assignment", node, node.arg, v)
-        elif isinstance(node, ast.Dict):
-            for k, x in zip(node.keys, node.values):
-                if (name := literal(k)) and (v := literal(x)):
-                    rows.append(("assignment", name, v, "pair", k.lineno, k.col_offset, x.end_lineno))
-        elif isinstance(node, ast.Subscript) and _dotted(node.value) == "os.environ" and (v := literal(node.slice)):
-            put("env", node, v)
-        elif isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
-            put("member", node, node.value.id, node.attr)
-        if isinstance(node, ast.Call):
-            callee = _dotted(node.func)
-            first = node.args[0] if node.args else None
-            shape = "none" if first is None else "literal" if isinstance(first, ast.Constant) else "format" if isinstance(first, (ast.JoinedStr, ast.BinOp)) or isinstance(first, ast.Call) and _dotted(first.func).endswith("format") else "value"
-            put("call", node, callee, ast.unparse(node)[len(ast.unparse(node.func)) :], shape)
-            if callee in ("os.environ.get", "os.getenv") and (v := literal(first)):
-                put("env", node, v)
-            for k in node.keywords:
-                if k.arg == "port" and isinstance(k.value, ast.Constant) and isinstance(k.value.value, int):
-                    put("port", node, callee, str(k.value.value))
-    return rows
-
-
-_JS = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<template>`(?:\\.|[^`\\])*`)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')"""
-    r"""|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$][\w$]*)|(?P<op>=>|\?\.|\.\.\.|[{}()\[\];,.:?=<>!+\-*/%&|^~@#])|(?P<space>\s+)|(?P<other>.)""",
-    re.S,
-)
-_JS_WORDS = {"function", "return", "const", "let", "var", "if", "else", "for", "while", "async", "await", "new", "import", "export", "from", "class", "default", "throw", "try", "catch", "debugger"}
-
-
-def script_rows(text: str) -> list[tuple]:
+def package_of(spec: str) -> str:
+    """The package of a script's module specifier; empty if it is relative."""
+    return "" if spec.startswith((".", "/")) else "/".join(spec.split("/")[: 2 if spec.startswith("@") else 1])
+
+
+def subpath_of(spec: str) -> str | None:
+    return spec[len(package_of(spec)) :].strip("/") or None
+
+
+def _common(root: Node) -> Iterator[Row]:
+    idents: Counter = Counter()
+    first: dict[str, Node] = {}
+    for node in root.walk():
+        if node.kind in ("ERROR", "MISSING"):
+            yield row("error", node, node.kind)
+        elif node.kind == "comment":
+            yield row("comment", node, "block" if node.text.startswith("/*") else "line", node.text)
+        elif node.kind in IDENTIFIERS:
+            idents[node.text] += 1
+            first.setdefault(node.text, node)
+        elif node.kind in ("string", "template_string"):
+            yield row("string", node, None, node.text)
+    for name, n in idents.items():
+        yield row("ident", first[name], name, str(n))
+
+
+def _assignment(target: Node | None, value: Node | None) -> Iterator[Row]:
+    text = literal(value)
+    if target is not None and text:
+        name = target.text if target.kind in ("identifier", "property_identifier") else literal(target)
+        if name:
+            yield row("assignment", value, name, text, f"{value.start}:{value.end}")
+
+
+def python_rows(text: str, root: Node | None = None) -> list[Row]:
+    root = root or parse_python(text)
+    rows = list(_common(root))
+    if any(r[0] == "error" for r in rows):
+        return [r for r in rows if r[0] == "error"]
+    tokens = python_tokens(text)
+    bound: dict[str, str] = {}
+    members: list[Node] = []
+    for node in root.walk():
+        kind = node.kind
+        if kind in ("import_statement", "import_from_statement"):
+            module = node.field("module_name")
+            for child in [n for f, n in node.children if f == "name" or n.kind == "wildcard_import"]:
+                whole = child.field("name") if child.kind == "aliased_import" else child
+                alias = child.field("alias")
+                if kind == "import_statement":
+                    top = whole.text.split(".")[0]
+                    bound[alias.text if alias else top] = top
+                    rows.append(row("import", node, top, whole.text, alias.text if alias else top))
+                else:
+                    relative = module.kind == "relative_import"
+                    top = "" if relative else module.text.split(".")[0]
+                    star = whole.kind == "wildcard_import"
+                    rows.append(row("import", node, top, module.text, "*" if star else (alias or whole).text))
+                    if not relative and not star:
+                        rows.append(row("usage", whole, top, whole.text))
+        elif kind == "function_definition":
+            own = [t for at, t in tokens if node.start <= at < node.end]
+            rows.append(row("function", node, node.field("name").text, " ".join(own) if len(own) >= LEAST_TOKENS else None, str(len(own))))
+        elif kind == "assignment":
+            left = node.field("left")
+            rows += _assignment(left if left.kind == "identifier" else None, node.field("right"))
+        elif kind == "keyword_argument":
+            rows += _assignment(node.field("name"), node.field("value"))
+        elif kind == "attribute":
+            members.append(node)
+            if node.field("object").kind == "identifier":
+                rows.append(row("member", node, node.field("object").text, node.field("attribute").text))
+        elif kind == "subscript" and node.field("value").text == "os.environ" and literal(node.field("subscript")):
+            rows.append(row("env", node.field("subscript"), literal(node.field("subscript"))))
+        elif kind == "call" and node.field("function").text in ("os.getenv", "os.environ.get"):
+            args = node.field("arguments").children
+            if args and literal(args[0][1]):
+                rows.append(row("env", args[0][1], literal(args[0][1])))
+        if kind in ("function_definition", "class_definition"):
+            above, decorated = node, False
+            while above is not None and not decorated:
+                decorated, above = above.kind == "decorated_definition", above.parent
+            rows.append(row("declaration", node.field("name"), node.field("name").text, node.text, "decorated" if decorated else kind, node))
+    for node in members:
+        if node.field("object").kind == "identifier" and node.field("object").text in bound:
+            rows.append(row("usage", node.field("attribute"), bound[node.field("object").text], node.field("attribute").text))
+    return rows + list(python_exports(root))
+
+
+def python_exports(root: Node) -> Iterator[Row]:
+    """Names that a module offers: those at its top, and those of __all__; a wildcard or __getattr__ makes it dynamic."""
+    tops = []
+    for _, node in root.children:
+        inner = node.children[0][1] if node.kind == "expression_statement" and node.children else node
+        tops.append(inner.field("definition") if inner.kind == "decorated_definition" else inner)
+        if inner.kind in ("if_statement", "try_statement"):  # what is defined under a condition counts
+            tops += [x for n in inner.walk() if n.kind == "block" and n.parent is not None and n.parent.kind in ("if_statement", "try_statement", "except_handler") for _, s in n.children for x in [s.children[0][1] if s.kind == "expression_statement" and s.children else s]]
+    for node in tops:
+        if node.kind in ("function_definition", "class_definition"):
+            name = node.field("name").text
+            yield row("export", node, "*", None, "dynamic") if name == "__getattr__" else row("export", node, name)
+        elif node.kind in ("assignment", "augmented_assignment"):
+            left, right = node.field("left"), node.field("right")
+            if left.text == "__all__":
+                for n in right.walk() if right else ():
+                    if literal(n):
+                        yield row("export", n, literal(n), None, None)
+            else:
+                for n in [left] if left.kind == "identifier" else [n for _, n in left.children] if left.kind in ("tuple", "list") else []:
+                    if n.kind == "identifier":
+                        yield row("export", n, n.text)
+        elif node.kind in ("import_statement", "import_from_statement"):
+            for f, n in node.children:
+                if n.kind == "wildcard_import":
+                    relative = node.field("module_name").kind == "relative_import"
+                    yield row("export", n, "*", node.field("module_name").text, "reexport" if relative else "dynamic")
+                elif f == "name":
+                    name = n.field("alias") or (n.children[0][1] if node.kind == "import_statement" and n.children else n)
+                    yield row("export", n, name.text if n.kind == "aliased_import" or node.kind == "import_statement" else n.text)
+
+
+def script_rows(text: str, lang: str = "javascript", root: Node | None = None) -> list[Row]:
     """Rows of a JavaScript or TypeScript text."""
-    tokens, rows = [], []
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
-    import bisect
-
-    def place(pos: int) -> tuple[int, int]:
-        line = bisect.bisect_right(starts, pos)
-        return line, len(text[starts[line - 1] : pos].encode())
-
-    for m in _JS.finditer(text):
-        kind = m.lastgroup
-        if kind == "comment":
-            line, col = place(m.start())
-            rows.append(("comment", "block" if m[0].startswith("/*") else "line", m[0], None, line, col, place(m.end())[0]))
-        elif kind != "space":
-            tokens.append((kind, m[0], m.start(), m.end()))
-    n = len(tokens)
-    value = lambda i: tokens[i][1] if 0 <= i < n else ""
-    kind_of = lambda i: tokens[i][0] if 0 <= i < n else ""
-    string = lambda i: value(i)[1:-1] if kind_of(i) == "string" or kind_of(i) == "template" and "${" not in value(i) else None
-    pairs, stack = {}, []
-    for i in range(n):
-        if value(i) in "([{" and kind_of(i) == "op":
-            stack.append(i)
-        elif value(i) in ")]}" and kind_of(i) == "op" and stack:
-            pairs[stack.pop()] = i
-
-    def put(kind: str, i: int, name: str, v: str | None = None, detail: str | None = None, end: int | None = None) -> None:
-        line, col = place(tokens[i][2])
-        rows.append((kind, name, v, detail, line, col, place(tokens[end if end is not None else i][3])[0]))
-
-    for i in range(n):
-        if kind_of(i) != "name":
+    root = root or parse_script(text, lang)
+    rows = list(_common(root))
+    bound: dict[str, str] = {}
+    members: list[Node] = []
+
+    def bind(name: str, spec: str, at: Node) -> None:
+        bound[name] = spec
+        rows.append(row("import", at, package_of(spec), spec, name))
+
+    for node in root.walk():
+        kind = node.kind
+        if kind == "import_statement":
+            clause = next((n for _, n in node.children if n.kind in ("import_clause", "import_require_clause")), None)
+            spec = literal(node.field("source") or (clause.field("source") if clause else None))
+            if spec is None:
+                continue
+            count = len(rows)
+            for _, n in clause.children if clause else ():
+                if n.kind == "identifier":
+                    bind(n.text, spec, node)
+                elif n.kind == "namespace_import":
+                    bind(n.children[0][1].text, spec, node)
+                elif n.kind == "named_imports":
+                    for _, s in n.children:
+                        name = s.field("name")
+                        rows.append(row("import", node, package_of(spec), spec, (s.field("alias") or name).text))
+                        if package_of(spec):
+                            rows.append(row("usage", name, package_of(spec), literal(name) or name.text, subpath_of(spec)))
+            if len(rows) == count:
+                rows.append(row("import", node, package_of(spec), spec, ""))
+        elif kind == "export_statement" and node.field("source") is not None and literal(node.field("source")) is not None:
+            spec = literal(node.field("source"))
+            rows.append(row("import", node, package_of(spec), spec, ""))
+        elif kind == "call_expression" and node.field("function").text in ("require", "import"):
+            args = node.field("arguments").children
+            spec = literal(args[0][1]) if args else None
+            if spec:
+                holder = node.parent
+                name = holder.field("name") if holder is not None and holder.kind == "variable_declarator" else None
+                if name is not None and name.kind == "identifier" and node.field("function").text == "require":
+                    bind(name.text, spec, node)
+                else:
+                    rows.append(row("import", node, package_of(spec), spec, ""))
+        elif kind in SCRIPT_FUNCTIONS:
+            own = script_tokens(node, lang)
+            name = node.field("name")
+            if name is None and node.parent is not None:
+                name = node.parent.field("name") or node.parent.field("key") or node.parent.field("left")
+            rows.append(row("function", node, name.text if name is not None else "", " ".join(own) if len(own) >= LEAST_TOKENS else None, str(len(own))))
+        elif kind == "variable_declarator":
+            rows += _assignment(node.field("name") if node.field("name").kind == "identifier" else None, node.field("value"))
+            value = node.field("value")
+            if value is not None and node.field("name").kind == "object_pattern" and value.text == "process.env":
+                for _, n in node.field("name").children:
+                    inner = n.field("left") if n.kind == "assignment_pattern" else n
+                    key = inner.field("key") if inner.kind == "pair_pattern" else inner
+                    if key is not None and key.kind != "rest_pattern":
+                        rows.append(row("env", key, literal(key) or key.text))
+        elif kind == "assignment_expression":
+            rows += _assignment(node.field("left") if node.field("left").kind == "identifier" else None, node.field("right"))
+        elif kind == "pair":
+            rows += _assignment(node.field("key"), node.field("value"))
+        elif kind == "member_expression":
+            inner, prop = node.field("object"), node.field("property")
+            members.append(node)
+            if inner.kind == "identifier":
+                rows.append(row("member", node, inner.text, prop.text))
+            elif inner.text in ("process.env", "import.meta.env"):
+                rows.append(row("env", prop, prop.text))
+        elif kind == "subscript_expression" and node.field("object").text == "process.env" and literal(node.field("index")):
+            rows.append(row("env", node.field("index"), literal(node.field("index"))))
+        named = kind in ("function_declaration", "class_declaration", "generator_function_declaration") or kind == "variable_declarator" and node.field("value") is not None and node.field("value").kind in ("arrow_function", "function_expression") and node.field("name").kind == "identifier"
+        if named and node.field("name") is not None:
+            decorated = any(n.kind == "decorator" for _, n in node.children)
+            rows.append(row("declaration", node.field("name"), node.field("name").text, node.text, "decorated" if decorated else kind, node))
+    for node in members:
+        inner = node.field("object")
+        if inner.kind == "identifier" and inner.text in bound and package_of(bound[inner.text]):
+            rows.append(row("usage", node.field("property"), package_of(bound[inner.text]), node.field("property").text, subpath_of(bound[inner.text])))
+    return rows + list(script_exports(root))
+
+
+def declared_names(node: Node) -> Iterator[Node]:
+    """The names that a declaration introduces."""
+    if node.kind in ("lexical_declaration", "variable_declaration"):
+        for _, d in node.children:
+            name = d.field("name")
+            if name is not None:
+                yield from [name] if name.kind == "identifier" else [n for n in name.walk() if n.kind in ("identifier", "shorthand_property_identifier_pattern")]
+    elif node.kind == "ambient_declaration":
+        for _, n in node.children:
+            yield from declared_names(n)
+    elif node.field("name") is not None and node.field("name").kind != "string":
+        yield node.field("name")
+
+
+def script_exports(root: Node, own: str | None = None) -> Iterator[Row]:
+    """Names that a module offers. What it adds to other modules (`declare module "x"`) is not its own, unless x is `own`;
+    a wildcard module or `export =` makes the surface dynamic."""
+    for node in root.walk():
+        foreign, at = None, node.parent
+        while at is not None:
+            if at.kind == "module" and at.field("name") is not None and at.field("name").kind == "string":
+                foreign = literal(at.field("name"))
+                break
+            if at.kind in ("internal_module", "statement_block", "class_body") and at.parent is not None and at.parent.kind != "ambient_declaration" and at.kind == "internal_module":
+                foreign = ""  # members of a namespace are not names of the module
+                break
+            at = at.parent
+        if foreign is not None and foreign != own:
+            continue
+        if node.kind == "module" and node.field("name") is not None and "*" in node.field("name").text:
+            yield row("export", node, "*", None, "dynamic")
+        if foreign is not None and node.kind in ("function_signature", "lexical_declaration", "variable_declaration", "class_declaration", "interface_declaration", "type_alias_declaration", "enum_declaration") and node.parent.kind == "statement_block":
+            for name in declared_names(node):
+                yield row("export", name, name.text)
+        if node.kind != "export_statement":
             continue
-        word, after = value(i), value(i + 1)
-        if word in ("import", "export") and value(i - 1) != ".":
-            j = i + 1
-            names = []
-            while j < min(n, i + 200) and kind_of(j) != "string" and value(j) not in (";", "=", "("):
-                if kind_of(j) == "name" and value(j) not in ("from", "as", "type", "default"):
-                    names.append(value(j))
-                j += 1
-            if string(j) is not None and (value(j - 1) == "from" or j == i + 1):
-                for name in names or [""]:
-                    put("import", i, "" if string(j).startswith(".") else "/".join(string(j).split("/")[: 2 if string(j).startswith("@") else 1]), string(j), name)
-            elif word == "import" and after == "(" and string(i + 2) is not None:
-                put("import", i, "" if string(i + 2).startswith(".") else string(i + 2), string(i + 2), "")
-            if word == "export":
-                named = next((value(k + 1) for k in range(i + 1, min(i + 5, n)) if value(k) in ("function", "class", "const", "let", "var", "interface", "type", "enum", "namespace")), None)
-                if named:
-                    put("export", i, named)
-                elif after == "{" and i + 1 in pairs:
-                    for k in range(i + 2, pairs[i + 1]):
-                        if kind_of(k) == "name" and value(k) not in ("as", "type") and value(k + 1) in (",", "}"):
-                            put("export", k, value(k))
-                elif after in ("*", "="):
-                    put("export", i, "*", string(i + 3), "dynamic")
-                elif after == "default":
-                    put("export", i, "default")
-        if word == "require" and after == "(" and string(i + 2) is not None:
-            bound = value(i - 2) if value(i - 1) == "=" and kind_of(i - 2) == "name" else ""
-            put("import", i, "" if string(i + 2).startswith(".") else "/".join(string(i + 2).split("/")[: 2 if string(i + 2).startswith("@") else 1]), string(i + 2), bound)
-        if word == "function" and kind_of(i + 1) == "name":
-            opened = next((k for k in range(i + 2, min(n, i + 200)) if value(k) == "{"), None)
-            if opened is not None and opened in pairs:
-                body = [("ID" if k == "name" and v not in _JS_WORDS else "STR" if k in ("string", "template") else "NUM" if k == "number" else v) for k, v, _, _ in tokens[i : pairs[opened] + 1]]
-                put("function", i, after, " ".join(body) if len(body) >= LEAST_TOKENS else None, str(len(body)), pairs[opened])
-                put("declaration", i, after, None, None, pairs[opened])
-        if word in ("const", "let", "var", "class") and kind_of(i + 1) == "name" and value(i - 1) in ("", ";", "}", "export", "default"):
-            put("declaration", i, after)
-        if after in ("=", ":") and string(i + 2) and value(i + 3) not in ("+", "."):
-            put("assignment", i, word, string(i + 2), "pair" if after == ":" else None)
-        if word == "debugger":
-            put("call", i, "debugger", "", "none")
-        if value(i - 1) not in (".", "?.") and after in (".", "?.", "(") and word not in _JS_WORDS - {"import"}:
-            j, chain = i, [word]
-            while value(j + 1) in (".", "?.") and kind_of(j + 2) == "name":
-                chain.append(value(j + 2))
-                j += 2
-            if len(chain) > 1:
-                put("member", i, chain[0], chain[1])
-            if chain[:2] == ["process", "env"] and len(chain) > 2:
-                put("env", i, chain[2])
-            elif chain == ["process", "env"] and value(j + 1) == "[" and string(j + 2):
-                put("env", i, string(j + 2))
-            elif chain[0] == "import" and chain[1:3] == ["meta", "env"] and len(chain) > 3:
-                put("env", i, chain[3])
-            if value(j + 1) == "(":
-                close = pairs.get(j + 1, min(n - 1, j + 1))
-                args = text[tokens[j + 1][2] : tokens[close][3]]
-                shape = "none" if value(j + 2) == ")" else "literal" if string(j + 2) is not None and value(j + 3) in (")", ",") else "format" if kind_of(j + 2) == "template" or kind_of(j + 2) == "string" else "value"
-                put("call", i, ".".join(chain), args, shape, close)
-                if chain[-1] == "listen" and kind_of(j + 2) == "number":
-                    put("port", i, ".".join(chain), value(j + 2))
-    for m in re.finditer(r"""["']([\w\-]+)["']\s*:\s*(["'])([^"'\n]+)\2""", text):
-        line, col = place(m.start())
-        rows.append(("assignment", m[1], m[3], "pair", line, col, line))
-    return rows
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """All rows of files (path, lang, text); a null text or an unknown language has none."""
+        spec = literal(node.field("source"))
+        kinds = {n.kind: n for _, n in node.children}
+        if "export_assignment" in kinds:
+            yield row("export", node, "*", None, "dynamic")
+        elif "default" in kinds:
+            yield row("export", node, "default")
+        elif "namespace_export" in kinds:
+            yield row("export", node, kinds["namespace_export"].children[0][1].text)
+        elif "export_clause" in kinds:
+            for _, s in kinds["export_clause"].children:
+                name = s.field("alias") or s.field("name")
+                yield row("export", name, literal(name) or name.text)
+        elif node.field("declaration") is not None:
+            for name in declared_names(node.field("declaration")):
+                yield row("export", name, name.text)
+        elif spec is not None:
+            yield row("export", node, "*", spec, "reexport" if spec.startswith(".") else "dynamic")
+
+
+class Matchers:
+    """The syntax rules of a pack, read once in a worker: by language, (rule id, path pattern, query)."""
+
+    def __init__(self, rules: list[tuple[str, list[str], list[str], str]]):
+        self.by_lang: dict[str, list] = {}
+        for rule, langs, globs, text in rules:
+            query = Query(text)
+            for lang in langs:
+                self.by_lang.setdefault(lang, []).append((rule, [re.compile(g.replace("\\z", r"\Z")) for g in globs], query))
+
+    def rows(self, path: str, lang: str, root: Node) -> Iterator[Row]:
+        for rule, globs, query in self.by_lang.get(lang, ()):
+            if not globs or any(g.search(path) for g in globs):
+                seen = set()
+                for node in anchors(query, root):
+                    if (node.start, node.end) not in seen:
+                        seen.add((node.start, node.end))
+                        yield row("rule", node, rule, node.text, node.kind)
+
+
+def extract(files: DataFrame, rules: list[tuple[str, list[str], list[str], str]] = ()) -> DataFrame:
+    """All rows of files (path, lang, text); rules: what rules.syntax_rules() gives of a pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = Matchers(list(rules))
         for batch in batches:
             out: list[tuple] = []
             for path, lang, text in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "text"))):
-                if text and lang:
-                    out += [(path, lang, *r) for r in (python_rows(text) if lang == "python" else script_rows(text))]
+                if text and lang in ("python", "javascript", "typescript", "tsx"):
+                    root = parse(text, lang)
+                    out += [(path, lang, *r) for r in (python_rows(text, root) if lang == "python" else script_rows(text, lang, root))]
+                    out += [(path, lang, *r) for r in matchers.rows(path, lang, root)]
             kinds = [pa.string()] * 6 + [pa.int32()] * 3
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["path", "lang", *FIELDS])
 
     return files.select("path", "lang", "text").mapInArrow(run, SCHEMA)
 
 
-#: Code rules: id, severity, confidence, languages (py, js), kind, and patterns for name, value and detail.
-CODE_RULES = (
-    ("audit/eval-user-input", "high", "high", "py js", "call", r"\A(window\.|global\.)?eval\z", r"", r"value|format"),
-    ("audit/exec-user-input", "high", "high", "py js", "call", r"(\A|\.)(os\.system|os\.popen|exec|execSync|child_process\.exec)\z", r"", r"value"),
-    ("audit/exec-user-input", "high", "high", "py", "call", r"\Asubprocess\.(run|call|Popen|check_output)\z", r"shell=True", r"value|format"),
-    ("audit/shell-interpolation", "high", "high", "js", "call", r"(\A|\.)(exec|execSync)\z", r"\$\{", r"format"),
-    ("audit/sql-string-concat", "medium", "high", "py js", "call", r"\.(execute|query|raw)\z", r"(?i)\b(select|insert|update|delete)\b", r"format"),
-    ("audit/cors-wildcard", "high", "high", "js", "call", r"\Acors\z", r"""origin\s*:\s*['"]\*['"]""", r""),
-    ("audit/cors-wildcard", "high", "high", "py", "call", r"(add_middleware|CORS\w*)\z", r"""(allow_origins|origins)=\[?['"]\*['"]""", r""),
-    ("audit/debug-mode-enabled", "medium", "high", "py", "call", r"(\.run|\AFastAPI|\AFlask)\z", r"debug=True", r""),
-    ("audit/cookie-insecure", "medium", "medium", "js", "call", r"\.cookie\z", r"(?s)\A\([^{]*\)\z|secure\s*:\s*false", r""),
-    ("audit/cookie-insecure", "medium", "medium", "py", "call", r"\.set_cookie\z", r"(?s)\A(?!.*secure=True)", r""),
-    ("audit/client-only-validation", "medium", "medium", "js", "call", r"\.(checkValidity|reportValidity)\z", r"", r""),
-    ("audit/supabase-permissive-rls", "high", "medium", "js", "call", r"\AcreateClient\z", r"(?i)service_role", r""),
-    ("audit/api-key-in-client-bundle", "high", "medium", "js", "assignment", r"\A(NEXT_PUBLIC_|VITE_|REACT_APP_)", r"[A-Za-z0-9_\-]{20,}", r""),
-    ("review/debug-leftover", "medium", "high", "js", "call", r"\A(console\.(log|debug|trace)|debugger)\z", r"", r""),
-    ("review/debug-leftover", "medium", "high", "py", "call", r"\A(pdb\.set_trace|breakpoint|ipdb\.set_trace)\z", r"", r""),
-    ("review/todo-introduced", "info", "high", "py js", "comment", r"", r"(?i)\b(TODO|FIXME|HACK|XXX)\b", r""),
-    ("ship/hardcoded-port", "low", "medium", "py js", "port", r"", r"", r""),
-)
-
-
-def code_findings(rows: DataFrame) -> DataFrame:
-    """Findings of the code rules over extracted rows."""
-    found = None
-    for rule, severity, confidence, langs, kind, name, value, detail in CODE_RULES:
-        fits = (F.col("kind") == kind) & ((F.col("lang") == "python") if langs == "py" else (F.col("lang") != "python") if langs == "js" else F.lit(True))
-        for column, pattern in (("name", name), ("value", value), ("detail", detail)):
-            if pattern:
-                fits &= F.coalesce(F.col(column).rlike(pattern), F.lit(False))
-        hit = F.when(fits, F.struct(F.lit(rule).alias("id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
-        found = [*(found or []), hit]
-    hits = rows.select("*", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("hit"))  # one pass for all rules
+def rule_findings(rows: DataFrame, pack: DataFrame) -> DataFrame:
+    """Findings of the rows that rules made; pack: rules.pack_frame()."""
+    own = pack.select("rule_id", "severity", "confidence", "message", "remediation", "description").dropDuplicates(["rule_id"])
+    hits = rows.where("kind = 'rule'").join(F.broadcast(own), F.col("name") == F.col("rule_id"))
     return as_findings(
-        hits, id=F.col("hit.id"), command=F.split_part(F.col("hit.id"), F.lit("/"), F.lit(1)), severity=F.col("hit.severity"), confidence=F.col("hit.confidence"), file=F.col("path"), line=F.col("line"),
-        column=F.col("col"), end_line=F.col("end_line"), message=F.concat("kind", F.lit(" "), F.coalesce("name", F.lit(""))), fixable=False, seed_kind=F.col("kind"), seed_text=F.concat_ws("", "name", "value"),
+        hits, id=F.col("rule_id"), command=F.split_part(F.col("rule_id"), F.lit("/"), F.lit(1)), severity=F.col("severity"), confidence=F.col("confidence"), file=F.col("path"), line=F.col("line"), column=F.col("col"),
+        end_line=F.col("end_line"), message=F.col("message"), detail=F.when(F.col("confidence") != "high", F.col("description")), remediation=F.col("remediation"), fixable=False, seed_kind=F.col("detail"), seed_text=F.col("value"),
     )
 
 
@@ -293,23 +432,48 @@ def function_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path", "lang").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.max((F.col("kind") == "error")).alias("has_syntax_errors"))
 
 
-def commented_code(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of `least` or more neighbouring Python comment lines whose text parses as code with a statement in it."""
-    from pyspark.sql import Window
+def is_code(text: str, lang: str) -> bool:
+    """Whether a text parses without an error and holds something that is shaped like code."""
+    if lang == "python":
+        import textwrap
 
-    own = rows.where("kind = 'comment' and lang = 'python' and not value like '#!%'")
-    w = Window.partitionBy("path").orderBy("line")
-    marked = own.withColumn("opens", F.when(F.lag("line").over(w) == F.col("line") - 1, 0).otherwise(1)).withColumn("island", F.sum("opens").over(w))
-    runs = marked.groupBy("path", "island").agg(F.min("line").alias("line"), F.max("line").alias("end_line"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: F.regexp_replace(x["value"], r"\A#+ ?", "")), "\n").alias("text")).where(F.col("n") >= least)
+        text = textwrap.dedent(text)
+    try:
+        root = parse(text, lang)
+    except (RecursionError, ValueError):
+        return False
+    return not root.has_error() and any(n.kind in CODE_SHAPED for n in root.walk())
 
-    @F.udf("boolean")
-    def is_code(text: str) -> bool:
-        try:
-            body = ast.parse(text).body
-        except (SyntaxError, ValueError):
-            return False
-        return any(not isinstance(x, ast.Expr) or isinstance(x.value, ast.Call) for x in body)
 
-    return runs.where(is_code("text")).select("path", "line", "end_line", "text")
+def comment_runs(comments: DataFrame) -> DataFrame:
+    """(path, lang, line, end_line, is_doc, raw, text): neighbouring line comments as one run, each block comment alone.
 
+    text: without comment marks; raw: as it stands, in lower case.
+    """
+    from pyspark.sql import Window
+
+    own = comments.where("kind = 'comment'")
+    w = Window.partitionBy("path").orderBy("line", "col")
+    joined = (F.lag("name").over(w) == "line") & (F.col("name") == "line") & (F.lag("end_line").over(w) == F.col("line") - 1)
+    marked = own.withColumn("opens", F.when(joined, 0).otherwise(1)).withColumn("island", F.sum("opens").over(w))
+    line = F.regexp_replace("value", r"\A\s*(//|#)", "")
+    inner = F.regexp_replace(F.regexp_replace(F.trim("value"), r"\A/\*", ""), r"\*/\z", "")
+    block = F.array_join(F.transform(F.split(inner, "\n"), lambda x: F.regexp_replace(F.ltrim(x), r"\A\*", "")), "\n")
+    parts = F.array_sort(F.collect_list(F.struct("line", "col", F.when(F.col("name") == "block", block).otherwise(line).alias("bare"), "value")))
+    runs = marked.groupBy("path", "lang", "island").agg(F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.max((F.col("name") == "block") & F.col("value").startswith("/**")).alias("is_doc"), parts.alias("parts"))
+    joined_text = F.array_join(F.transform("parts", lambda p: p["bare"]), "\n")
+    raw = F.lower(F.array_join(F.transform("parts", lambda p: p["value"]), ""))
+    return runs.select("path", "lang", "line", "end_line", "is_doc", raw.alias("raw"), joined_text.alias("text"))
+
+
+def commented_code(rows: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """(path, line, end_line, text) of comment runs of `least` or more lines whose text is code; documentation and license headers are none."""
+    runs = comment_runs(rows).where((F.col("end_line") - F.col("line") + 1 >= least) & ~F.col("is_doc"))
+    runs = runs.where(~((F.col("line") <= LICENSE_LINES) & F.col("raw").rlike("copyright|license|spdx")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([is_code(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())], pa.bool_())
+            yield batch.filter(good).select(["path", "line", "end_line", "text"])
 
+    return runs.select("path", "line", "end_line", "text", "lang").mapInArrow(keep, "path string, line int, end_line int, text string")

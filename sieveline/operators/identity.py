@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import TOKEN, content_digest, normalize_text
+from sieveline.functions.text import TOKEN, content_digest
 
 
 def assign_tokens(df: DataFrame) -> DataFrame:
@@ -20,5 +20,3 @@ def assign_tokens(df: DataFrame) -> DataFrame:
     token = F.concat(F.lit(f"{TOKEN}:"), F.col("digest"), F.when(several, F.concat(F.lit("#"), place.cast("string"))).otherwise(F.lit("")))
     return hashed.withColumn("fingerprint", token).drop("digest")
 
-
-__all__ = ["assign_tokens", "normalize_text"]

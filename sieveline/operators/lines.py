@@ -14,9 +14,10 @@ def lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def assignments(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, name, value) of the first string assignment of each line."""
+    """(key, line, name, value) of every string assignment of each line."""
     found = lines(files.where(F.contains(F.col(text), F.lit('"'))), key, text)
-    return found.select(key, "line", F.regexp_extract("value", ASSIGNMENT, 1).alias("name"), F.regexp_extract("value", ASSIGNMENT, 2).alias("value")).where("name <> ''")
+    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(ASSIGNMENT), 1).alias("name"), F.regexp_extract_all("value", F.lit(ASSIGNMENT), 2).alias("text"))
+    return found.select(key, "line", F.explode(pairs).alias("p")).select(key, "line", F.col("p.name").alias("name"), F.col("p.text").alias("value"))
 
 
 def runs(rows: DataFrame, by: str, order: str, kind: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.distance import damerau
@@ -35,29 +35,54 @@ def candidates(declared: DataFrame, phantoms: DataFrame) -> DataFrame:
 
 
 def near_names(names: DataFrame, popular: DataFrame, distance: int = 2) -> DataFrame:
-    """(name, nearest, distance): the nearest popular name within the length band, the earliest of equals.
+    """(name, nearest, distance): the nearest popular name within the length band, the earliest of equals; see near_names_by."""
+    one = lambda df: df.withColumn("ecosystem", F.lit(""))
+    return near_names_by(one(names), one(popular), distance).drop("ecosystem")
 
-    names: (name); popular: (name, pos). Names are joined by length band, an equality on lengths, pruned by plain Levenshtein
-    (a swap costs it two) and measured exactly; a popular name is not compared. With distance d, a match can be missed
-    only beyond 2 d, where the report has nothing to say.
-    """
-    asked = names.select("name").distinct().join(popular.select("name"), "name", "left_anti").where(F.length("name") <= LONGEST)
-    band = asked.select("name", F.explode(F.sequence(F.length("name") - distance, F.length("name") + distance)).alias("size"))
-    known = popular.select(F.col("name").alias("other"), "pos", F.length("name").alias("size"))
-    close = band.join(known, "size").where(F.levenshtein("name", "other", 2 * distance) >= 0).withColumn("distance", damerau("name", "other"))
-    return close.groupBy("name").agg(F.min(F.struct("distance", "pos", "other")).alias("m")).select("name", F.col("m.other").alias("nearest"), F.col("m.distance").alias("distance"))
 
+def near_names_by(names: DataFrame, popular: DataFrame, distance: int = 2) -> DataFrame:
+    """(ecosystem, name, nearest, distance): the nearest popular name within the length band, the earliest of equals.
 
-def suspicion(names: DataFrame, near: DataFrame, now: int, distance: int = 2) -> DataFrame:
-    """names (name, downloads, created_at) with the reasons to suspect each, if any: near-name, low-downloads, new-package."""
-    reasons = F.array_compact(
+    names: (ecosystem, name); popular: (ecosystem, name, pos). A popular name is not compared. A swap costs plain edit distance two, so
+    with distance d all within 2 d plain edits are measured exactly; beyond that the report has nothing to say. Such pairs share one of the
+    2 d + 1 segments of the popular name unchanged and at most 2 d places apart (pigeonhole), so names meet by length and segment.
+    """
+    most = 2 * distance
+    parts = most + 1
+    asked = names.select("ecosystem", "name").distinct().join(popular.select("ecosystem", "name"), ["ecosystem", "name"], "left_anti").where(F.length("name") <= LONGEST)
+
+    def segment(df: DataFrame) -> DataFrame:
+        """df (l) with the parts i of a text of l characters: from `start` on, `size` characters."""
+        base, longer = F.floor(F.col("l") / parts).cast("int"), F.col("l") % parts
+        cut = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return cut.withColumn("start", F.col("i") * base + F.greatest(F.col("i") - (parts - longer), F.lit(0))).withColumn("size", base + (F.col("i") >= parts - longer).cast("int"))
+
+    known = segment(popular.select("ecosystem", F.col("name").alias("other"), "pos").withColumn("l", F.length("other")))
+    theirs = known.select("ecosystem", "other", "pos", "l", "i", F.substring("other", F.col("start") + 1, F.col("size")).alias("piece"))
+    n = F.length("name")
+    mine = segment(asked.withColumn("l", F.explode(F.sequence(F.greatest(n - distance, F.lit(1)), n + distance))))
+    mine = mine.withColumn("at", F.explode(F.sequence(F.greatest(F.col("start") - most, F.lit(0)), F.greatest(F.col("start") - most, F.lit(0)) + 2 * most)))
+    mine = mine.where((F.col("at") <= F.col("start") + most) & (F.col("at") + F.col("size") <= n))
+    pieces = mine.select("ecosystem", "name", "l", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = pieces.join(theirs, ["ecosystem", "l", "i", "piece"]).select("ecosystem", "name", "other", "pos").distinct()
+    close = pairs.where(F.levenshtein("name", "other", most) >= 0).withColumn("distance", damerau("name", "other"))
+    return close.groupBy("ecosystem", "name").agg(F.min(F.struct("distance", "pos", "other")).alias("m")).select("ecosystem", "name", F.col("m.other").alias("nearest"), F.col("m.distance").alias("distance"))
+
+
+def reasons(now: int, distance: int = 2) -> Column:
+    """Reasons to suspect a package (downloads, created_at, distance to a popular name): near-name (up to the distance; 0 switches it off), low-downloads, new-package."""
+    return F.array_compact(
         F.array(
             F.when(F.col("distance").between(1, distance), "near-name"),
             F.when(F.col("downloads") < FEW_DOWNLOADS, "low-downloads"),
             F.when(F.lit(now) - F.col("created_at") < NEW_DAYS * 86400, "new-package"),
         )
     )
-    return names.join(near, "name", "left").withColumn("reasons", reasons).where(F.size("reasons") > 0)
+
+
+def suspicion(names: DataFrame, near: DataFrame, now: int, distance: int = 2) -> DataFrame:
+    """names (name, downloads, created_at) with the reasons to suspect each, if any: near-name, low-downloads, new-package."""
+    return names.join(near, "name", "left").withColumn("reasons", reasons(now, distance)).where(F.size("reasons") > 0)
 
 
 def first_site(verdicts: DataFrame, imports: DataFrame, declared: DataFrame, default: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Suffixes by which an import finds a file, and index files of a folder.
-SUFFIXES = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
-INDEXES = ("/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/index.mjs", "/index.cjs")
+SUFFIXES = ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
+INDEXES = ("/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/index.ts", "/index.tsx")
 
 
 def surface_misses(usages: DataFrame, declared: DataFrame, packages: DataFrame, surface: DataFrame) -> DataFrame:
@@ -21,10 +21,14 @@ def roll_up(misses: DataFrame, keys: list[str], order: str, *first: str) -> Data
     return misses.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(order, *first)).alias("m")).select(*keys, "n", *(F.col(f"m.{c}").alias(f"first_{c}") for c in first))
 
 
+def reached(imports: DataFrame) -> DataFrame:
+    """(path) of all files that imports (base) can mean: the base itself, with a suffix, or a folder's index."""
+    return imports.select(F.explode(F.array(*(F.concat("base", F.lit(s)) for s in (*SUFFIXES, *INDEXES)))).alias("path")).distinct()
+
+
 def orphan_files(files: DataFrame, imports: DataFrame) -> DataFrame:
     """files (path) that no import (base) reaches, by its path itself, a suffix or a folder's index."""
-    reached = imports.select(F.explode(F.array(*(F.concat("base", F.lit(s)) for s in (*SUFFIXES, *INDEXES)))).alias("path")).distinct()
-    return files.join(reached, "path", "left_anti")
+    return files.join(reached(imports), "path", "left_anti")
 
 
 def dead_names(declarations: DataFrame, occurrences: DataFrame) -> DataFrame:

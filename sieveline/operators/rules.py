@@ -1,4 +1,4 @@
-"""Rule packs: loading, checking, gating by language, framework and path, and whole-file text rules."""
+"""Rule packs: loading, checking, gating by language, framework and path, syntax queries and whole-file text rules."""
 
 from __future__ import annotations
 
@@ -9,7 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import glob_regex
-from sieveline.schema import CONFIDENCES, SEVERITIES
+from sieveline.schema import CONFIDENCES, SEVERITIES, as_findings
+from sieveline.syntax.query import Query, QueryError
+
+#: The languages of rules; `scripts` stands for the first three.
+SCRIPTS, LANGUAGES = ("javascript", "typescript", "tsx"), ("javascript", "typescript", "tsx", "python")
+#: Frameworks that a rule may ask for.
+FRAMEWORKS = ("express", "nextjs", "fastapi", "flask")
+#: Where the packs of this library are.
+PACKS = Path(__file__).parent.parent / "packs"
+
+
+class PackError(ValueError):
+    """A rule pack that cannot be used."""
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """One way to match: a syntax query for languages, a pattern for files of a glob, or the shapes of secrets."""
+
+    languages: tuple[str, ...] = ()
+    query: str = ""
+    file_glob: str = ""
+    text_pattern: str = ""
+    secret: bool = False
 
 
 @dataclass(frozen=True)
@@ -24,12 +47,14 @@ class Rule:
     message: str = ""
     remediation: str = ""
     refs: tuple[str, ...] = field(default=())
+    description: str = ""
+    matchers: tuple[Matcher, ...] = ()
 
     def __post_init__(self):
         if self.severity not in [s for s, _, _ in SEVERITIES] or self.confidence not in [c for c, _ in CONFIDENCES]:
-            raise ValueError(f"rule {self.id}: unknown severity or confidence")
+            raise PackError(f"rule {self.id}: unknown severity or confidence")
         if "/" not in self.id:
-            raise ValueError(f"rule {self.id}: an id is pack/name")
+            raise PackError(f"rule {self.id}: an id is pack/name")
 
 
 #: A pack for the test tables, with languages and paths as they occur there.
@@ -41,19 +66,60 @@ EXAMPLE_PACK = (
 )
 
 
+def _spelled(languages: list[str]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(x for name in languages for x in (SCRIPTS if name == "scripts" else (name,))))
+
+
+def _matcher(rule: str, raw: dict, languages: tuple[str, ...]) -> Matcher:
+    known = {"language", "languages", "query", "file_glob", "text_pattern", "secret"}
+    if set(raw) - known:
+        raise PackError(f"rule {rule}: unknown fields of a matcher {sorted(set(raw) - known)}")
+    shapes = [bool(raw.get("query")), bool(raw.get("text_pattern")), bool(raw.get("secret"))]
+    if sum(shapes) != 1 or bool(raw.get("file_glob")) != shapes[1]:
+        raise PackError(f"rule {rule}: a matcher is a query, a file_glob with a text_pattern, or secret")
+    named = raw.get("languages") or ([raw["language"]] if raw.get("language") else None)
+    own = _spelled(named) if named else languages
+    if shapes[0]:
+        try:
+            Query(raw["query"])
+        except QueryError as e:
+            raise PackError(f"rule {rule}: {e}") from None
+    return Matcher(own if shapes[0] else (), raw.get("query", ""), raw.get("file_glob", ""), raw.get("text_pattern", ""), bool(raw.get("secret")))
+
+
 def load_pack(folder: str) -> tuple[Rule, ...]:
-    """Rules of a folder's YAML files; unknown fields are errors."""
+    """Rules of a folder's YAML files, a rule or a list of them each; unknown fields, doubled ids and unreadable queries are errors."""
     import yaml
 
-    out = []
+    out: dict[str, Rule] = {}
     for path in sorted(Path(folder).glob("*.y*ml")):
         raw = yaml.safe_load(path.read_text(encoding="utf-8"))
         for item in raw if isinstance(raw, list) else [raw]:
-            unknown = set(item) - set(Rule.__dataclass_fields__)
+            unknown = set(item) - set(Rule.__dataclass_fields__) - {"fixtures"}
             if unknown:
-                raise ValueError(f"{path.name}: unknown fields {sorted(unknown)}")
-            out.append(Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in item.items()}))
-    return tuple(out)
+                raise PackError(f"{path.name}: unknown fields {sorted(unknown)}")
+            item = {k: v for k, v in item.items() if k != "fixtures"}
+            languages = _spelled(item.get("languages", []))
+            if item.get("matchers"):
+                odd = set(languages) - set(LANGUAGES) | set(item.get("frameworks", [])) - set(FRAMEWORKS)
+                if odd:
+                    raise PackError(f"rule {item.get('id')}: unknown languages or frameworks {sorted(odd)}")
+            matchers = tuple(_matcher(item.get("id", "?"), m, languages) for m in item.get("matchers", []))
+            rule = Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in item.items()} | {"languages": languages, "matchers": matchers})
+            if rule.id in out:
+                raise PackError(f"rule {rule.id} stands twice")
+            out[rule.id] = rule
+    return tuple(out.values())
+
+
+def shipped() -> tuple[Rule, ...]:
+    """The rules that come with this library."""
+    return load_pack(str(PACKS))
+
+
+def register_rule_pack(folder: str) -> tuple[tuple[Rule, ...], list[str]]:
+    """The shipped rules with those of a folder, which win by id; and the ids that they replace."""
+    return override(shipped(), load_pack(folder))
 
 
 def override(base: tuple[Rule, ...], own: tuple[Rule, ...]) -> tuple[tuple[Rule, ...], list[str]]:
@@ -64,9 +130,26 @@ def override(base: tuple[Rule, ...], own: tuple[Rule, ...]) -> tuple[tuple[Rule,
 
 
 def pack_frame(spark: SparkSession, pack: tuple[Rule, ...]) -> DataFrame:
-    """A pack as a table, with its globs as regular expressions."""
-    rows = [(r.id, r.severity, r.confidence, list(r.languages), list(r.frameworks), [glob_regex(g) for g in r.path_glob], r.text_pattern, r.message, r.remediation) for r in pack]
-    return spark.createDataFrame(rows, "rule_id string, severity string, confidence string, languages array<string>, frameworks array<string>, globs array<string>, text_pattern string, message string, remediation string")
+    """A pack as a table, with its globs as regular expressions; a row for each text pattern, or one for a rule without any."""
+    rows = []
+    for r in pack:
+        texts = [(m.file_glob, m.text_pattern) for m in r.matchers if m.text_pattern] or [("", r.text_pattern)]
+        for glob, pattern in texts:
+            rows.append((r.id, r.severity, r.confidence, list(r.languages), list(r.frameworks), [glob_regex(g) for g in r.path_glob], glob_regex(glob) if glob else "", pattern, r.message, r.remediation, r.description))
+    return spark.createDataFrame(rows, "rule_id string, severity string, confidence string, languages array<string>, frameworks array<string>, globs array<string>, file_glob string, text_pattern string, message string, remediation string, description string")
+
+
+def syntax_rules(pack: tuple[Rule, ...], frameworks: list[str] = ()) -> list[tuple[str, list[str], list[str], str]]:
+    """(id, languages, path patterns, query) of the syntax matchers that the frameworks let through, for code.extract()."""
+    out = []
+    for r in pack:
+        if not r.frameworks or set(r.frameworks) & set(frameworks):
+            out += [(r.id, [x for x in m.languages if x in r.languages], [glob_regex(g) for g in r.path_glob], m.query) for m in r.matchers if m.query]
+    return out
+
+
+def secret_rules(pack: tuple[Rule, ...]) -> list[Rule]:
+    return [r for r in pack if any(m.secret for m in r.matchers)]
 
 
 def _fits(frameworks: list[str]):
@@ -88,6 +171,26 @@ def text_hits(files: DataFrame, pack: DataFrame, frameworks: list[str]) -> DataF
     return gate(files, pack.where("text_pattern <> ''"), frameworks).where(F.regexp_like("text", F.col("text_pattern")))
 
 
+def whole_file_hits(files: DataFrame, pack: DataFrame, frameworks: list[str]) -> DataFrame:
+    """Files of any kind with the text matchers that match them: file glob, framework and rule glob gate, then the pattern; one row for a rule."""
+    detected = F.array(*map(F.lit, frameworks)).cast("array<string>")
+    fits = (
+        F.regexp_like(F.col("path"), F.col("file_glob"))
+        & ((F.size("frameworks") == 0) | F.arrays_overlap("frameworks", detected))
+        & ((F.size("globs") == 0) | F.exists("globs", lambda g: F.regexp_like(F.col("path"), g)))
+    )
+    hits = files.join(F.broadcast(pack.where("text_pattern <> '' and file_glob <> ''")), fits, "inner")  # a pack is written by people
+    return hits.where(F.regexp_like("text", F.col("text_pattern"))).dropDuplicates(["path", "rule_id"])
+
+
+def text_findings(hits: DataFrame) -> DataFrame:
+    """Findings of whole_file_hits(): of the file, without a line."""
+    return as_findings(
+        hits, id=F.col("rule_id"), command=F.split_part(F.col("rule_id"), F.lit("/"), F.lit(1)), severity=F.col("severity"), confidence=F.col("confidence"), file=F.col("path"), message=F.col("message"),
+        detail=F.when(F.col("confidence") != "high", F.col("description")), remediation=F.col("remediation"), fixable=False, seed_kind="message_fallback", seed_text=F.col("message"),
+    )
+
+
 def sql_gates(pack: tuple[Rule, ...], frameworks: list[str]) -> list[tuple[str, str, str, str]]:
     """(id, severity, condition, pattern) of each rule for DuckDB."""
     out = []

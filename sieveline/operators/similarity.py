@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.staging import staged
+
 #: Tokens of a shingle, hashes of a sketch, members of a bucket beyond which it proposes nothing, similarity.
 SHINGLE, SKETCH, BUCKET, LEAST = 5, 4, 64, 0.85
 
@@ -20,11 +22,17 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shingles(tokens: Column, k: int = SHINGLE) -> Column:
-    """The distinct hashes (16 hex digits) of all runs of k tokens; none if there are fewer."""
+def reversed_bytes(x: Column) -> Column:
+    """16 hex digits with their byte pairs from the end: little-endian words sort like this text."""
+    return F.concat(*(F.substring(x, k, 2) for k in range(15, 0, -2)))
+
+
+def shingles(tokens: Column, k: int = SHINGLE, little_endian: bool = False) -> Column:
+    """The distinct hashes (16 hex digits) of all runs of k tokens; none if there are fewer. little_endian: as the first 8 bytes read as such a word."""
 
     def hashed(t: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i + 1, F.lit(k)), " "), 256), 1, 16))
+        one = lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i + 1, F.lit(k)), " "), 256), 1, 16)
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: bound(one(i), reversed_bytes) if little_endian else one(i))
         return F.when(F.size(t) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
     return bound(tokens, hashed)
@@ -51,11 +59,15 @@ def duplicate_pairs(sketches: DataFrame, key: str, least: float = LEAST, cap: in
     A hash that more than `cap` members hold proposes no pairs: that is this operator's definition (common boilerplate
     is not a duplicate helper), so no bucket makes more than cap^2 pairs.
     """
+    sketches = staged(sketches.select(key, "hashes", "sketch"))  # read for its sketches and, for candidates alone, for its sets
     members = sketches.select(F.col(key).alias("id"), F.explode("sketch").alias("hash"))
     small = members.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("hash")
     near = members.join(small, "hash")
-    pairs = near.select("hash", F.col("id").alias("a")).join(near.select("hash", F.col("id").alias("b")), "hash").where("a < b").select("a", "b").distinct()
-    sets = sketches.select(F.col(key).alias("id"), "hashes")
+    grouped = near.groupBy("hash").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # no more than `cap` of them
+    firsts = grouped.select("ids", F.posexplode("ids").alias("i", "a"))
+    pairs = staged(firsts.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(cap))).alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sketches.select(F.col(key).alias("id"), "hashes").join(wanted, "id", "left_semi")
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     return both.select("a", "b", jaccard(F.col("ha"), F.col("hb")).alias("similarity")).where(F.col("similarity") >= least)
 

@@ -31,9 +31,15 @@ def prune(snapshots: DataFrame, keep: int, by: str = "namespace") -> DataFrame:
 
 
 def tree_hash(files: DataFrame) -> DataFrame:
-    """(id, hash, n) of each snapshot: equal trees have equal hashes. Sums of row hashes combine before the shuffle."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("\0", "path", "hash"), 256), 1, 12), 16, 10).cast("long")
-    return files.groupBy("id").agg(F.sum(row).alias("hash"), F.count("*").alias("n"))
+    """(id, hash, n) of each snapshot: equal trees have equal hashes.
+
+    Rows fall into 256 buckets by their digest; a bucket's sorted digests are digested, and then the buckets' digests in order,
+    so no group holds a whole tree, and a tree can be found that has a given hash no easier than for SHA-256.
+    """
+    rows = files.select("id", F.sha2(F.concat_ws("\0", "path", "hash"), 256).alias("d"))
+    parts = rows.groupBy("id", F.substring("d", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d"), F.count("*").alias("n"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], x["d"])), ",")
+    return parts.groupBy("id").agg(F.sha2(ordered, 256).alias("hash"), F.sum("n").alias("n"))
 
 
 def newest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -74,3 +80,32 @@ def resolve_ids(asked: DataFrame, snapshots: DataFrame, namespaces: tuple[str, .
 
 def materialize(trees: DataFrame, id: int) -> DataFrame:
     return trees.where(F.col("id") == id).select("path", "hash")
+
+
+def restored(current: DataFrame, target: DataFrame) -> DataFrame:
+    """(path, action) that brings a tree back to a snapshot: write what it lacks or has otherwise, delete what came since."""
+    action = F.when(F.col("status") == "D", "delete").otherwise("write")
+    return tree_diff(target, current).withColumn("status", F.translate("status", "AD", "DA")).select("path", action.alias("action"))
+
+
+def next_id(snapshots: DataFrame) -> DataFrame:
+    """(next_id): one more than the highest id of all namespaces; 1 without any."""
+    return snapshots.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+
+
+def name_status(records: DataFrame, by: str = "id", text: str = "text") -> DataFrame:
+    """(by, path, status) of NUL-separated name-status records: A, D, M, T with a path, R and C with a source and the destination that counts."""
+    parts = records.select(by, F.filter(F.split(text, "\0"), lambda x: x != "").alias("p"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<status:string,path:string>>").alias("out"), F.lit("").alias("status"))
+
+    def step(acc, x):
+        opens = acc["at"] == 0
+        two = x.startswith("R") | x.startswith("C")
+        row = F.array(F.struct(acc["status"].alias("status"), x.alias("path")))
+        return (
+            F.when(opens, F.struct(F.when(two, 2).otherwise(1).alias("at"), acc["out"].alias("out"), F.substring(x, 1, 1).alias("status")))
+            .when(acc["at"] == 2, F.struct(F.lit(1).alias("at"), acc["out"].alias("out"), acc["status"].alias("status")))
+            .otherwise(F.struct(F.lit(0).alias("at"), F.concat(acc["out"], row).alias("out"), F.lit("").alias("status")))
+        )
+
+    return parts.select(by, F.explode(F.aggregate("p", start, step)["out"]).alias("r")).select(by, "r.path", "r.status")

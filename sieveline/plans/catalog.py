@@ -6,27 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
-from sieveline.operators import identity, lines, report
-from sieveline.plans import findings_plans, package_plans, text_plans, version_plans
-from sieveline.schema import as_findings
+from sieveline.operators import identity, report
+from sieveline.plans import code_plans, detect_plans, findings_plans, package_plans, text_plans, version_plans
+from sieveline.schema import SEVERITIES, as_findings
 
-_PARTS = (findings_plans, version_plans, text_plans, package_plans)
+_PARTS = (findings_plans, version_plans, text_plans, package_plans, code_plans, detect_plans)
 
 
-def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of documents: written-out tokens and license lines, each with its token."""
+def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents with their source: written-out tokens and license lines, from one pass over the lines of texts that may hold some."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    rows = lines.lines(docs.where(F.col("text").rlike('(?i)token = "|licen[sc]e|copyright|spdx')), "doc_id").join(docs.select("doc_id", "source"), "doc_id")
-    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    secrets = as_findings(rows.where(F.col("value").rlike('token = "[0-9a-f]{40}"')), id=F.lit("text/token-literal"), command=F.lit("audit"), severity="high", confidence="high", file=path, line=F.col("line"), message=F.lit("a token is written out"), fixable=True, seed_kind="line", seed_text=F.col("value"))
-    licenses = as_findings(rows.where(fn.is_license(F.col("value"))), id=F.lit("text/license-line"), command=F.lit("review"), severity="info", confidence="medium", file=path, line=F.col("line"), message=F.lit("a license is named"), fixable=False, seed_kind="line", seed_text=F.col("value"))
-    return identity.assign_tokens(secrets.unionByName(licenses))
+    may = docs.where(F.col("text").rlike('(?i)token = "|licen[sc]e|copyright|spdx'))
+    rows = may.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("p", "value"))
+    secret = F.when(F.col("value").rlike('token = "[0-9a-f]{40}"'), F.struct(F.lit("text/token-literal").alias("id"), F.lit("high").alias("severity"), F.lit(True).alias("fixable")))
+    license_ = F.when(fn.is_license(F.col("value")), F.struct(F.lit("text/license-line").alias("id"), F.lit("info").alias("severity"), F.lit(False).alias("fixable")))
+    return rows.select("doc_id", "source", (F.col("p") + 1).alias("line"), "value", F.explode(F.array_compact(F.array(secret, license_))).alias("hit"))
+
+
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents, each with its token."""
+    rows = _document_rows(spark, sf_dir)
+    secret = F.col("hit.id") == "text/token-literal"
+    return identity.assign_tokens(
+        as_findings(
+            rows, id=F.col("hit.id"), command=F.when(secret, "audit").otherwise("review"), severity=F.col("hit.severity"), confidence=F.when(secret, "high").otherwise("medium"), file=F.concat_ws("/", "source", F.col("doc_id").cast("string")),
+            line=F.col("line"), message=F.when(secret, "a token is written out").otherwise("a license is named"), fixable=F.col("hit.fixable"), seed_kind="line", seed_text=F.col("value"),
+        )
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By source: counts of findings by severity, and the score."""
-    found = document_findings(spark, sf_dir).withColumn("source", F.split_part("file", F.lit("/"), F.lit(1)))
-    return report.summary(found, "source").join(report.score(found, "source"), "source")
+    """By source: counts of findings by severity, and the score, in one aggregation."""
+    found = _document_rows(spark, sf_dir).select("source", F.col("hit.severity").alias("severity"), F.col("hit.fixable").alias("fixable"))
+    return found.groupBy("source").agg(*(F.count_if(F.col("severity") == s).alias(s) for s, _, _ in SEVERITIES), F.count_if("fixable").alias("fixable"), report.score_value().alias("score"))
 
 
 def document_finding_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

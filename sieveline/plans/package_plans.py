@@ -50,8 +50,9 @@ def phantom_refs(spark, sf_dir):
 
 
 def undeclared_refs(spark, sf_dir):
+    """Customers without a finished order above a price."""
     customers = _t(spark, sf_dir, "customer").select("c_custkey")
-    return references.undeclared(customers, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return references.undeclared(customers, _t(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def candidate_names(spark, sf_dir):
@@ -95,7 +96,7 @@ def miss_rollup(spark, sf_dir):
 def introduced_lines(spark, sf_dir):
     """Line items as places in a supplier's file, against price ranges of parts as added ranges."""
     hits = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("path"), (F.col("l_extendedprice") / 100).cast("int").alias("line"), "l_orderkey", "l_linenumber")
-    ranges = _t(spark, sf_dir, "part").where("p_size = 7").select((F.col("p_partkey") % 20).alias("path"), F.col("p_partkey").cast("int").alias("start"), (F.col("p_partkey") + 30).cast("int").alias("end"))
+    ranges = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("path"), F.col("p_partkey").cast("int").alias("start"), (F.col("p_partkey") + 30).cast("int").alias("end"))
     return references.in_ranges(hits, ranges)
 
 
@@ -146,7 +147,7 @@ def resolve_snapshot_ids(spark, sf_dir):
 
 def declared_stack(spark, sf_dir):
     kinds = F.when(F.col("p_name").endswith("bolt"), "flask").when(F.col("p_name").endswith("ring"), "django").otherwise("other")
-    declared = _t(spark, sf_dir, "part").where("p_size > 48 or p_type = 'SMALL'").select(F.col("p_brand").alias("project"), kinds.alias("name"), F.when(F.col("p_size") > 10, "pypi").otherwise("npm").alias("ecosystem"))
+    declared = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), kinds.alias("name"), F.when(F.col("p_size") > 10, "pypi").otherwise("npm").alias("ecosystem"))
     return rewrites.stack_of(declared)
 
 
@@ -169,24 +170,25 @@ _U = """u AS (SELECT l_suppkey AS package, l_partkey AS member, CASE WHEN s_acct
 _GATES = rules.sql_gates(rules.EXAMPLE_PACK, ["express"])
 _PATH = "source || '/' || doc_id || '.txt'"
 ORACLE_SQL = {
+    "free_env_keys": "WITH b AS (SELECT p_partkey, upper(replace(p_name, ' ', '_')) || '_' || p_size % 3 AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) + CASE WHEN base = 'RED_BOLT_1' THEN 1 ELSE 0 END AS n FROM b) SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS key FROM n",
     "pep503_names": "SELECT p_partkey, lower(regexp_replace(p_name || '_.' || p_type, '[-_.]+', '-', 'g')) AS name, split_part(p_brand || '.' || p_type, '.', 1) AS first FROM part",
     "typosquat_near_names": f"WITH {_N} SELECT name, nearest, distance FROM near",
     "typosquat_reasons": f"WITH {_N}, r AS (SELECT names.name, nearest, distance, list_filter([CASE WHEN distance BETWEEN 1 AND 2 THEN 'near-name' END, CASE WHEN length(names.name) * 200 < 1000 THEN 'low-downloads' END, CASE WHEN length(names.name) * 1000000 < 90 * 86400 THEN 'new-package' END], lambda x: x IS NOT NULL) AS r FROM names LEFT JOIN near ON names.name = near.name) SELECT name, nearest, distance, array_to_string(r, ',') AS reasons FROM r WHERE len(r) > 0",
     "resolution_cascade": "SELECT l_orderkey, l_linenumber, l_partkey AS name, CASE WHEN l_linenumber = 1 THEN 'local' WHEN p_size < 5 THEN 'builtin' WHEN p_type = 'ECONOMY' THEN 'declared' WHEN p_retailprice > 1000 THEN 'local' ELSE 'phantom' END AS resolution FROM lineitem LEFT JOIN part ON l_partkey = p_partkey",
     "phantom_refs": "SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 40)",
-    "undeclared_refs": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "undeclared_refs": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 250000)",
     "candidate_names": "SELECT 'npm' AS ecosystem, name, bool_or(d) AS is_direct FROM (SELECT o_custkey AS name, o_orderstatus = 'F' AS d FROM orders UNION ALL SELECT c_custkey, false FROM customer) GROUP BY name",
     "first_import_site": "WITH i AS (SELECT l_partkey AS name, CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1) SELECT p_partkey AS name, coalesce(file, CASE WHEN p_size < 25 THEN p_brand END, 'manifest') AS file, line FROM part LEFT JOIN i ON name = p_partkey",
     "orphan_keys": "SELECT 'src/p' || p_partkey || '.ts' AS path FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)",
     "dead_names": "SELECT name FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM benchmark) WHERE name <> '' GROUP BY name HAVING count(*) <= 1",
     "usage_surface_miss": f"WITH {_U} SELECT package, member, tier, l_orderkey, l_linenumber FROM u",
     "miss_rollup": f"WITH {_U}, r AS (SELECT *, count(*) OVER (PARTITION BY package, tier) AS n, row_number() OVER (PARTITION BY package, tier ORDER BY l_orderkey, l_linenumber) AS p FROM u) SELECT package, tier, n, l_orderkey AS first_l_orderkey, l_linenumber AS first_l_linenumber FROM r WHERE p = 1",
-    "introduced_lines": "WITH h AS (SELECT l_suppkey % 20 AS path, CAST(trunc(l_extendedprice / 100) AS INTEGER) AS line, l_orderkey, l_linenumber FROM lineitem) SELECT path, line, l_orderkey, l_linenumber FROM h WHERE EXISTS (SELECT 1 FROM part WHERE p_size = 7 AND p_partkey % 20 = path AND line BETWEEN p_partkey AND p_partkey + 30)",
+    "introduced_lines": "WITH h AS (SELECT l_suppkey % 20 AS path, CAST(trunc(l_extendedprice / 100) AS INTEGER) AS line, l_orderkey, l_linenumber FROM lineitem) SELECT path, line, l_orderkey, l_linenumber FROM h WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 20 = path AND line BETWEEN p_partkey AND p_partkey + 30)",
     "rule_gating_matrix": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM d WHERE {g}" for r, _, g, _ in _GATES),
     "text_rule_hits": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path, text FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity FROM d WHERE {g} AND regexp_matches(text, '{t}')" for r, s, g, t in _GATES),
     "relative_imports": "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'a/b' || l_suppkey || '/x/p' || l_partkey WHEN 1 THEN 'a/x/p' || l_partkey WHEN 2 THEN 'x/p' || l_partkey END AS path FROM lineitem",
     "span_rewrites": "WITH s AS (SELECT item_id, text, length(regexp_extract(text, '^([A-Za-z]{0,4})', 1)) AS n FROM benchmark) SELECT item_id AS path, 'WORD' || substr(text, n + 1, 5 - n) || '<>' || substr(text, 11) AS text, false AS stale FROM s",
     "resolve_snapshot_ids": "WITH r AS (SELECT o_orderkey % 5000 AS id, CASE WHEN o_orderstatus = 'F' THEN 'manual' ELSE 'auto' END AS namespace FROM orders) SELECT c_custkey * 7 AS id, (SELECT max(namespace) FROM r WHERE r.id = c_custkey * 7) AS namespace FROM customer",
-    "declared_stack": "WITH d AS (SELECT p_brand AS project, p_name, CASE WHEN p_size > 10 THEN 'pypi' ELSE 'npm' END AS e FROM part WHERE p_size > 48 OR p_type = 'SMALL') SELECT project, CASE WHEN bool_or(ends_with(p_name, 'bolt')) THEN 'flask' WHEN bool_or(ends_with(p_name, 'ring')) THEN 'django' WHEN bool_or(e = 'npm') THEN 'node' ELSE 'unknown' END AS stack FROM d GROUP BY project",
+    "declared_stack": "WITH d AS (SELECT p_brand AS project, p_name, CASE WHEN p_size > 10 THEN 'pypi' ELSE 'npm' END AS e FROM part) SELECT project, CASE WHEN bool_or(ends_with(p_name, 'bolt')) THEN 'flask' WHEN bool_or(ends_with(p_name, 'ring')) THEN 'django' WHEN bool_or(e = 'npm') THEN 'node' ELSE 'unknown' END AS stack FROM d GROUP BY project",
     "glob_filter": "WITH p AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents) SELECT doc_id, regexp_matches(path, '\\.txt$') AS \"any\", regexp_matches(path, '^[^/]*/en/[^/]*$') AS english, regexp_matches(path, '^src(1|2)/') AS \"some\", regexp_matches(path, '^src[^/]/[^/]*/[^/]*$') AS one FROM p",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
 from sieveline.operators import lines, similarity
+from sieveline.operators.staging import small_or_shuffled
 
 
 def _docs(spark, sf_dir):
@@ -88,7 +89,7 @@ def near_duplicate_docs(spark, sf_dir):
 def benchmark_contamination(spark, sf_dir):
     """By document and benchmark item: shared shingles, and the share of the item that the document holds."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", similarity.shingles(similarity.word_array(F.col("text"))).alias("h"))
-    asked = items.select("item_id", F.size("h").alias("of"), F.explode("h").alias("shingle"))
+    asked = small_or_shuffled(items.select("item_id", F.size("h").alias("of"), F.explode("h").alias("shingle")))
     held = _docs(spark, sf_dir).select("doc_id", F.explode(similarity.shingles(similarity.word_array(F.col("text")))).alias("shingle"))
     both = held.join(asked, "shingle").groupBy("doc_id", "item_id", "of").agg(F.count("*").alias("n"))
     return both.select("doc_id", "item_id", "n", F.round(F.col("n") / F.col("of"), 6).alias("share"))
@@ -127,7 +128,7 @@ QUERIES = {
 }
 _L = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), lines AS (SELECT doc_id, CAST(n AS INTEGER) AS line, value FROM l)"
 _RE = """([A-Za-z_][A-Za-z0-9_]*)\\s*[=:]\\s*"([^"]+)\""""
-_A = f"a AS (SELECT * FROM (SELECT doc_id, line, regexp_extract(value, '{_RE}', 1) AS name, regexp_extract(value, '{_RE}', 2) AS value FROM lines WHERE contains(value, '\"')) WHERE name <> '')"
+_A = f"a AS (SELECT doc_id, line, unnest(regexp_extract_all(value, '{_RE}', 1)) AS name, unnest(regexp_extract_all(value, '{_RE}', 2)) AS value FROM lines WHERE contains(value, '\"'))"
 
 
 def _env(x: str) -> str:

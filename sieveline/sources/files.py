@@ -3,45 +3,189 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sieveline.functions.text import language_of, normalize_name
+from sieveline.functions.paths import parent
+from sieveline.functions.text import glob_regex, language_of, normalize_name
+from sieveline.operators.staging import staged
 
-#: Bytes beyond which a file is skipped, and folders that are never entered.
+#: Bytes beyond which a file is skipped, folders that are never entered, and what marks a virtual environment.
 LARGEST = 5 * 1024 * 1024
-VENDORED = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", "site-packages")
+EXCLUDED = ("node_modules", ".venv", "site-packages", "__pycache__", ".git", "target")
+MARKER = "pyvenv.cfg"
+IGNORE_FILES = (".gitignore", ".ignore")
+#: Names that begin with a dot and are read nevertheless.
+ENV_NAME = r"(\A|/)\.env(\.[^/]*)?\z"
+
+
+def _opened(root: str):
+    """(file system, folder) of a path or URI. Spark's own readers pass over names that begin with `_` or `.`, such as __init__.py, so files
+    are listed and read through Arrow's file systems, on the executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root.rstrip("/") if "://" in root else os.path.abspath(root))
+
+
+def _below(system, folder: str, base: str) -> Iterator[tuple[str, int]]:
+    """(path from the base, bytes) of the files below a folder; hidden and excluded folders and virtual environments are not entered."""
+    from pyarrow import fs
+
+    todo = [folder]
+    while todo:
+        infos = system.get_file_info(fs.FileSelector(todo.pop()))
+        if any(i.base_name == MARKER for i in infos):
+            continue
+        for info in infos:
+            name = info.base_name
+            if info.type == fs.FileType.Directory:
+                if name not in EXCLUDED and not name.startswith("."):
+                    todo.append(info.path)
+            elif info.type == fs.FileType.File and (not name.startswith(".") or name in IGNORE_FILES or re.search(ENV_NAME.replace("\\z", "\\Z"), name)):
+                yield info.path[len(base) :].lstrip("/"), info.size
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, n_bytes) of all files of a tree, without their contents: hidden ones, excluded folders, virtual environments and ignored paths left out.
+
+    The driver lists the top folder; each folder in it is walked by an executor.
+    """
+    from pyarrow import fs
+
+    system, base = _opened(root)
+    infos = system.get_file_info(fs.FileSelector(base))
+    if any(i.base_name == MARKER for i in infos):
+        infos = []
+    tops = [i.path for i in infos if i.type == fs.FileType.Directory and i.base_name not in EXCLUDED and not i.base_name.startswith(".")]
+    top_files = [(i.base_name, i.size) for i in infos if i.type == fs.FileType.File and (not i.base_name.startswith(".") or i.base_name in IGNORE_FILES or re.search(ENV_NAME.replace("\\z", "\\Z"), i.base_name))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, start = _opened(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                held = []
+                for found in _below(own, folder, start):
+                    held.append(found)
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.int64())], names=["path", "n_bytes"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.int64())], names=["path", "n_bytes"])
+
+    below = spark.createDataFrame([(t,) for t in tops], "folder string").repartition(max(1, len(tops))).mapInArrow(walk, "path string, n_bytes long")
+    seen = below.unionByName(spark.createDataFrame(top_files, "path string, n_bytes long"))
+    rules = ignore_rules(spark, root, seen.where(F.col("path").rlike(_named(IGNORE_FILES))))
+    return without_ignored(seen, rules).where(~F.col("path").rlike(_named(IGNORE_FILES)))
+
+
+def _named(names: tuple[str, ...]) -> str:
+    return r"(\A|/)(" + "|".join(re.escape(n) for n in names) + r")\z"
+
+
+def ignore_rules(spark: SparkSession, root: str, found: DataFrame) -> list[tuple[str, bool]]:
+    """(pattern, keeps) of a tree's ignore files in the order in which they hold, folders above before those below; the last that fits decides.
+
+    found: (path) of the ignore files, which people write; their lines are gathered to the driver.
+    """
+    paths = sorted((r.path for r in found.select("path").collect()), key=lambda p: (p.count("/"), p))
+    system, base = _opened(root)
+    out = []
+    for name in paths:
+        with system.open_input_stream(f"{base}/{name}") as f:
+            lines = f.read().decode("utf-8", "replace").splitlines()
+        out += [rule for line in lines if (rule := ignore_pattern(line, name.rpartition("/")[0]))]
+    return out
+
+
+def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
+    """A line of an ignore file as (regular expression of paths, whether it keeps them); None for comments and blank lines."""
+    text = line.rstrip("\r\n")
+    text = text if text.endswith("\\ ") else text.rstrip()
+    if not text or text.startswith("#"):
+        return None
+    keeps = text.startswith("!")
+    text = text[1:] if keeps else text.removeprefix("\\")
+    only_folder, text = text.endswith("/"), text.rstrip("/")
+    anchored = "/" in text
+    body = glob_regex(text.lstrip("/"))[2:-2]  # without the marks of its ends
+    prefix = re.escape(folder) + "/" if folder else ""
+    middle = "" if anchored else "(?:[^/]+/)*"
+    tail = "/.*" if only_folder else "(?:/.*)?"
+    return rf"\A{prefix}{middle}(?:{body}){tail}\z", keeps
+
+
+def without_ignored(files: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
+    hidden: Column = F.lit(False)
+    for pattern, keeps in rules:
+        hidden = F.when(F.col("path").rlike(pattern), F.lit(not keeps)).otherwise(hidden)
+    return files.where(~hidden)
+
+
+def _contents(root: str, wanted: DataFrame) -> DataFrame:
+    """wanted (path, n_bytes, ..) with `content`; files over the cap must be gone already."""
+    schema = T.StructType([*wanted.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                held = []
+                for path in part.column("path").to_pylist():
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        held.append(f.read(LARGEST + 1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=schema.names)
+
+    return wanted.mapInArrow(read, schema)
 
 
 def scan(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The files of a tree: `files` (path, lang, text, n_bytes) of sources, `other` (path), `skipped` (path, reason).
 
-    Hidden files, vendored folders and virtual environments (folders with pyvenv.cfg) are left out; too large files and
-    those that are not UTF-8 are skipped with the reason.
+    Too large files and those that are not UTF-8 are skipped with the reason; the cap is tested before contents are read.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
-    seen = raw.select(path.alias("path"), F.col("length").alias("n_bytes"), "content").where(~F.col("path").rlike(r"(\A|/)\."))
-    seen = seen.where(~F.col("path").rlike(r"(\A|/)(" + "|".join(VENDORED) + ")/"))
-    homes = seen.where(F.col("path").rlike(r"(\A|/)pyvenv\.cfg\z")).select(F.regexp_replace("path", r"pyvenv\.cfg\z", "").alias("home"))
-    seen = seen.join(homes, F.startswith("path", F.col("home")), "left_anti").withColumn("lang", language_of(F.col("path")))
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    reason = F.when(F.col("n_bytes") > LARGEST, "too large").when(~good, "not UTF-8")
-    sources = seen.where("lang is not null").withColumn("reason", reason)
+    seen = listing(spark, root).withColumn("lang", language_of(F.col("path")))
+    sources = seen.where("lang is not null")
+    read = _contents(root, sources.where(F.col("n_bytes") <= LARGEST))
+    text = F.col("content").cast("string")
+    good = F.is_valid_utf8(text)
+    large = sources.where(F.col("n_bytes") > LARGEST).select("path", F.lit("too large").alias("reason"))
     return {
-        "files": sources.where("reason is null").select("path", "lang", F.col("content").cast("string").alias("text"), "n_bytes"),
+        "files": read.where(good).select("path", "lang", text.alias("text"), "n_bytes"),
         "other": seen.where("lang is null").select("path"),
-        "skipped": sources.where("reason is not null").select("path", "reason"),
+        "skipped": large.unionByName(read.where(~good).select("path", F.lit("not UTF-8").alias("reason"))),
     }
 
 
+def read_texts(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """(path, text) of the files that are no sources (manifests, rules, environment files), capped and UTF-8; pattern: a regular expression of paths."""
+    seen = listing(spark, root).where(language_of(F.col("path")).isNull())
+    seen = seen.where(F.col("path").rlike(pattern)) if pattern else seen
+    text = F.col("content").cast("string")
+    return _contents(root, seen.where(F.col("n_bytes") <= LARGEST)).where(F.is_valid_utf8(text)).select("path", text.alias("text"))
+
+
+def sources_only(found: dict[str, DataFrame], *langs: str) -> DataFrame:
+    """The sources of a scan, of some languages if named."""
+    return found["files"].where(F.col("lang").isin(*langs)) if langs else found["files"]
+
+
+_KEY = r"\A\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="
+
+
 def env_keys(spark: SparkSession, path: str) -> DataFrame:
     """(key) of an env file: comments skipped, `export` allowed."""
-    shape = r"\A\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="
-    return spark.read.text(path).select(F.regexp_extract("value", shape, 1).alias("key")).where("key <> ''").distinct()
+    return spark.read.text(path).select(F.regexp_extract("value", _KEY, 1).alias("key")).where("key <> ''").distinct()
+
+
+def keys_of(texts: DataFrame) -> DataFrame:
+    """(key) of env files as texts (path, text)."""
+    return texts.select(F.explode(F.split("text", r"\r?\n")).alias("value")).select(F.regexp_extract("value", _KEY, 1).alias("key")).where("key <> ''").distinct()
 
 
 def package_json(texts: DataFrame) -> DataFrame:
@@ -52,12 +196,39 @@ def package_json(texts: DataFrame) -> DataFrame:
     return parsed.where("j is not null").select(F.col("path").alias("manifest"), F.explode(F.array_distinct(names)).alias("name"), F.lit(True).alias("is_direct"))
 
 
-def requirements(texts: DataFrame) -> DataFrame:
-    """(manifest, name, is_direct) of requirements texts: options, urls and comments skipped."""
+def requirements(texts: DataFrame, levels: int = 8) -> DataFrame:
+    """(manifest, name, is_direct) of requirements texts: options, urls and comments skipped, `-r` files followed for some levels.
+
+    Names of a followed file belong to the manifest that names it.
+    """
     line = F.trim(F.regexp_replace(F.col("line"), r"(\A|\s)#.*\z", ""))
-    name = F.regexp_extract(line, r"\A([A-Za-z0-9][A-Za-z0-9._\-]*)\s*(\[|[<>=!~;@]|\z)", 1)
-    rows = texts.select(F.col("path").alias("manifest"), F.explode(F.split("text", r"\r?\n")).alias("line")).select("manifest", normalize_name(name).alias("name"))
-    return rows.where("name <> ''").select("manifest", "name", F.lit(True).alias("is_direct")).distinct()
+    rows = texts.select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).select("path", line.alias("line"))
+    goes = rows.select("path", F.regexp_extract("line", r"\A(?:-r|--requirement)[\s=]+(\S+)", 1).alias("goal")).where("goal <> ''")
+    folder = parent(F.col("path"))
+    edges = goes.select("path", F.when(folder == "", F.col("goal")).otherwise(F.concat(folder, F.lit("/"), "goal")).alias("goal")).select("path", F.regexp_replace("goal", r"(\A|/)(\./)+", "$1").alias("goal")).distinct()
+    reach = texts.select(F.col("path").alias("manifest"), "path").distinct()
+    if not edges.isEmpty():
+        edges, fresh = staged(edges), reach
+        for _ in range(levels):
+            fresh = staged(fresh.join(edges, "path").select("manifest", F.col("goal").alias("path")).distinct().join(reach, ["manifest", "path"], "left_anti"))
+            if fresh.isEmpty():
+                break
+            reach = reach.unionByName(fresh)
+    name = F.regexp_extract("line", r"\A([A-Za-z0-9][A-Za-z0-9._\-]*)\s*(\[|[<>=!~;@]|\z)", 1)
+    named = rows.where(~F.col("line").rlike(r"\A(-|[A-Za-z+]+://)")).select("path", normalize_name(name).alias("name")).where("name <> ''")
+    return reach.join(named, "path").select("manifest", "name", F.lit(True).alias("is_direct")).distinct()
+
+
+def _in_batches(texts: DataFrame, names) -> DataFrame:
+    """(manifest, name, is_direct) that names(path, text) gives of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {(path, *found) for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for found in names(path, text or "")}
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["manifest", "name", "is_direct"])
+
+    return texts.select("path", "text").mapInArrow(run, "manifest string, name string, is_direct boolean")
 
 
 def _toml_names(name: str, text: str) -> list[tuple[str, bool]]:
@@ -82,13 +253,8 @@ def _toml_names(name: str, text: str) -> list[tuple[str, bool]]:
 
 
 def toml_manifests(texts: DataFrame) -> DataFrame:
-    """(manifest, name, is_direct) of pyproject.toml, poetry.lock and uv.lock texts."""
-
-    @F.udf("array<struct<name:string,is_direct:boolean>>")
-    def names(path: str, text: str):
-        return _toml_names(path, text)
-
-    return texts.select(F.col("path").alias("manifest"), F.explode(names("path", "text")).alias("n")).select("manifest", "n.name", "n.is_direct").distinct()
+    """(manifest, name, is_direct) of pyproject.toml, poetry.lock and uv.lock texts; malformed ones have no rows."""
+    return _in_batches(texts, _toml_names)
 
 
 def _lock_names(path: str, text: str) -> list[str]:
@@ -110,9 +276,57 @@ def _lock_names(path: str, text: str) -> list[str]:
 
 def script_locks(texts: DataFrame) -> DataFrame:
     """(manifest, name, is_direct) of package-lock.json (both forms), yarn.lock and pnpm-lock.yaml texts."""
+    return _in_batches(texts, lambda path, text: [(n, False) for n in _lock_names(path, text)])
+
+
+#: Manifests and locks by their file names, with the ecosystem.
+MANIFESTS = (
+    (r"(\A|/)package\.json\z", "npm", package_json), (r"(\A|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml)\z", "npm", script_locks), (r"(\A|/)requirements[^/]*\.txt\z", "pypi", requirements),
+    (r"(\A|/)(pyproject\.toml|poetry\.lock|uv\.lock)\z", "pypi", toml_manifests),
+)
+
+
+def manifest_pattern() -> str:
+    return "|".join(pattern for pattern, _, _ in MANIFESTS)
+
+
+def declared(texts: DataFrame) -> DataFrame:
+    """(ecosystem, name, manifest, is_direct) of all manifests and locks among texts (path, text), nested ones too."""
+    found = None
+    for pattern, ecosystem, read in MANIFESTS:
+        own = read(texts.where(F.col("path").rlike(pattern))).select(F.lit(ecosystem).alias("ecosystem"), "name", "manifest", "is_direct")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def path_aliases(text: str) -> dict[str, str]:
+    """Alias prefixes of a tsconfig text (comments and trailing commas allowed): what stands before `*`, with the folder that it means."""
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    try:
+        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+    except (ValueError, AttributeError):
+        return {}
+    base = str(options.get("baseUrl", ".")).strip("./")
+    out = {}
+    for key, goals in (options.get("paths") or {}).items():
+        if goals and key.rstrip("*"):
+            goal = re.sub(r"\A(\./)+", "", str(goals[0]).rstrip("*"))
+            out[key.rstrip("*")] = f"{base}/{goal}" if base else goal
+    return out
+
 
-    @F.udf("array<string>")
-    def names(path: str, text: str):
-        return _lock_names(path, text)
+def bundler_aliases(text: str) -> dict[str, str]:
+    """Alias prefixes of a bundler's configuration: string pairs of its `alias` object, paths in them taken from the project's root."""
+    from sieveline.operators.code import literal
+    from sieveline.syntax.script_tree import parse_script
 
-    return texts.select(F.col("path").alias("manifest"), F.explode(names("path", "text")).alias("name"), F.lit(False).alias("is_direct")).distinct()
+    out = {}
+    for node in parse_script(text, "typescript").walk():
+        key = node.field("key") if node.kind == "pair" else None
+        if key is not None and (literal(key) or key.text) == "alias" and node.field("value").kind == "object":
+            for _, pair in node.field("value").children:
+                if pair.kind == "pair":
+                    goal = next((literal(n) for n in reversed(list(pair.field("value").walk())) if literal(n)), None)
+                    if goal:
+                        out[(literal(pair.field("key")) or pair.field("key").text).rstrip("/") + "/"] = re.sub(r"\A(\./|/)+", "", goal).rstrip("/") + "/"
+    return out
