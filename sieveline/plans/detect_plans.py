@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sieveline import datasets
 from sieveline.functions import text as fn
-from sieveline.operators import baseline, code, detect, identity, report, rewrites, snapshots
-from sieveline.plans.findings_plans import _BASELINE, _F, _ORDER, _RANK, _SCORE, _TOKENS, findings
+from sieveline.operators import baseline, detect, identity, report, rewrites, snapshots
+from sieveline.plans.findings_plans import _F, _ORDER, _RANK, _SCORE, _TOKENS, findings
+from sieveline.sources import diff, registry
 
 NOW = 1_000_000
 
@@ -216,10 +217,44 @@ def free_env_key_plan(spark, sf_dir):
     return rewrites.free_keys(rows, "base", ["p_partkey"]).select("p_partkey", "key", "severity")
 
 
+def registry_answers(spark, sf_dir):
+    """Events as attempts to ask a registry: the last one counts, and only clear answers are kept."""
+    status = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 404).otherwise(503)
+    responses = _t(spark, sf_dir, "events").select(F.lit("npm").alias("ecosystem"), F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("attempt"), status.alias("status"))
+    return registry.existence_rows(responses, NOW)
+
+
+def registry_metadata(spark, sf_dir):
+    """Orders as bodies of a registry."""
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    bodies = _t(spark, sf_dir, "orders").select(
+        F.when(k % 5 == 0, "pypi").otherwise("npm").alias("ecosystem"), k.cast("string").alias("name"), F.when(k % 3 == 0, "<html>").otherwise(F.concat(F.lit('{"downloads": '), (k - 50).cast("string"), F.lit("}"))).alias("downloads_body"),
+        F.concat(F.lit('{"time": {"created": "'), F.when(k % 4 == 0, "2024-02-30").otherwise(day), F.lit('T00:00:10.5Z"}}')).alias("time_body"),
+    )
+    return registry.metadata_rows(bodies, 900_000_000).select("ecosystem", "name", "downloads", "created_at")
+
+
+def _diffs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    old, new = F.when(k % 4 == 0, "/dev/null").otherwise(F.concat(F.lit("a/f"), k.cast("string"))), F.when(k % 4 == 1, "/dev/null").otherwise(F.concat(F.lit("b/g"), k.cast("string")))
+    text = F.concat(F.lit("diff --git a/x b/y\nindex 1..2\n--- "), old, F.lit("\n+++ "), new, F.lit("\n@@ -1,2 +"), (k % 90 + 1).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(","), (k % 3 - 1).cast("string"))), F.lit(" @@ f()\n--- a/not a header\n+++ b/neither\n@@ -9 +200,3 @@\n+x\ndiff --git a/z b/z\nsimilarity index 100%\nrename from z\nrename to w\n"))
+    return diff.changes(diff.diff_lines(_t(spark, sf_dir, "orders").select(k.alias("id"), text.alias("text")), "id"), "id")
+
+
+def diff_files(spark, sf_dir):
+    """Orders as diffs: added, deleted and modified files."""
+    return _diffs(spark, sf_dir)[0]
+
+
+def diff_added_ranges(spark, sf_dir):
+    return _diffs(spark, sf_dir)[1]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        secret_shapes, package_findings, typosquat_findings, phantom_import_findings, builtin_modules, api_findings, model_findings, dead_code_findings, duplicate_helper_findings, orphan_file_findings, env_findings, blocking_findings,
+        registry_answers, registry_metadata, diff_files, diff_added_ranges, secret_shapes, package_findings, typosquat_findings, phantom_import_findings, builtin_modules, api_findings, model_findings, dead_code_findings, duplicate_helper_findings, orphan_file_findings, env_findings, blocking_findings,
         report_gate, agent_report, terminal_report, suppressed_tokens, plan_without_suppressed, since_snapshot, name_status_records, restore_actions, unchanged_trees, corpus_metrics, free_env_key_plan,
     )
 }
@@ -242,7 +277,12 @@ _REP = f"""{_F}, {_TOKENS.replace('FROM f)', 'FROM f WHERE line % 50 = 0)')}, r
 _COUNTED = "critical || ' critical · ' || high || ' high · ' || medium || ' medium · ' || low || ' low · ' || info || ' info'"
 _HASH = "substr(sha256(array_to_string(w[i:i+4], ' ')), 1, 16)"
 _LE = "array_to_string(list_transform(range(15, 0, -2), lambda p: substr(x, p, 2)), '')"
+_G = "CASE o_orderkey % 4 WHEN 1 THEN 'f' ELSE 'g' END || o_orderkey"
 ORACLE_SQL = {
+    "registry_answers": f"WITH l AS (SELECT user_id, max_by(event_type, event_id) AS t FROM events GROUP BY user_id) SELECT 'npm' AS ecosystem, CAST(user_id AS VARCHAR) AS name, CAST(CASE t WHEN 'view' THEN 1 ELSE 0 END AS INTEGER) AS exists_flag, CAST({NOW} AS BIGINT) AS fetched_at FROM l WHERE t IN ('view', 'click')",
+    "registry_metadata": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 > 0 AND o_orderkey >= 50 THEN o_orderkey - 50 END AS downloads, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 4 > 0 AND epoch(date_trunc('day', o_orderdate)) + 10 <= 900000000 THEN CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + 10 END AS created_at FROM orders",
+    "diff_files": f"SELECT o_orderkey AS id, {_G} AS path, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'M' END AS status FROM orders",
+    "diff_added_ranges": f"SELECT o_orderkey AS id, {_G} AS path, CAST(o_orderkey % 90 + 1 AS INTEGER) AS start, CAST(o_orderkey % 90 + 1 AS INTEGER) AS \"end\" FROM orders WHERE o_orderkey % 3 <> 1 UNION ALL SELECT o_orderkey, {_G}, 200, 202 FROM orders",
     "secret_shapes": "SELECT p_partkey, CASE WHEN (p_partkey // 15) % 2 = 0 THEN CASE p_partkey % 15 " + " ".join(f"WHEN {i} THEN '{s[0]}'" for i, s in enumerate(SHAPES)) + " END END AS shape FROM part",
     "package_findings": f"WITH {_P} SELECT 'real/nonexistent-package' AS id, file, line, 'critical' AS severity, CASE WHEN distance BETWEEN 1 AND 2 THEN 'perhaps ''' || nearest || ''' is meant' END AS suggestion, name AS seed_text FROM w WHERE existence = 'missing'",
     "typosquat_findings": f"WITH {_P} SELECT ecosystem, name, nearest, distance, array_to_string(reasons, ',') AS reasons, file, line FROM w WHERE len(reasons) > 0",
