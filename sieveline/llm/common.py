@@ -91,17 +91,24 @@ def one_of(key: str, values: list) -> Column:
     return F.expr(f"`{key}` in ({', '.join(map(text, values))})") if values else F.lit(False)
 
 
-def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+def heavy_keys(right: DataFrame, key: str, n: str = "n", total: int | None = None) -> list:
+    """The keys that stand for more than 1 / HEAVY of the rows; right: a row for each key, with its number of rows in column n. There are fewer than HEAVY."""
+    total = (right.agg(F.sum(n)).head()[0] or 0) if total is None else total
+    return [r[0] for r in right.where(F.col(n) > total / HEAVY).select(key).limit(HEAVY).collect()]  # the limit states the bound; it cuts nothing
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", keys: list | None = None) -> DataFrame:
     """left joined with right on a key of which a few values may hold most rows of left.
 
-    right has one row for each key, and in column n how many rows of left have it; it should be a staged table. The total of n is counted if not given. Keys with
-    more than 1 / HEAVY of the rows, fewer than HEAVY, are broadcast.
+    right has one row for each key, and in column n how many rows of left have it; it should be a staged table. Keys with
+    more than 1 / HEAVY of the rows, fewer than HEAVY (keys, if they are known already), are broadcast, and told by a filter, as a join would
+    pass on every other row.
     """
-    total = (right.agg(F.sum(n)).head()[0] or 0) if total is None else total
-    heavy = F.col(n) > total / HEAVY
-    most = right.where(heavy).limit(HEAVY)  # the limit states the bound; it cuts nothing
-    hot = one_of(key, [r[0] for r in most.select(key).collect()])  # a filter, as a join would pass on every other row
-    return left.where(hot).join(F.broadcast(most), key).unionByName(left.where(~hot).join(right.where(~heavy), key))
+    keys = heavy_keys(right, key, n) if keys is None else keys
+    hot = one_of(key, keys)
+    if not keys:
+        return left.join(right, key)
+    return left.where(hot).join(F.broadcast(right.where(hot)), key).unionByName(left.where(~hot).join(right.where(~hot), key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

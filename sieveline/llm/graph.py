@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import heavy_join, staged
+from sieveline.llm.common import heavy_join, heavy_keys, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,16 +20,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     kind = edges.schema["a"].dataType
     ends = edges.where("a is not null and b is not null").select("a", "b")
     links = staged(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    own = ends.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).alias("na"), F.lit(0).alias("nb"))
-    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("na"), F.lit(0).alias("nb")), F.struct(F.col("b").alias("node"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("e")).select("e.*")
-    nodes = own.unionByName(degree).groupBy("node").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    labels = staged(nodes.select("node", F.col("node").alias("component"), "na", "nb"), "labels")
+    # each node with its edges on either side and the smallest of itself and its neighbours, where the first round leads
+    own = ends.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("component"), F.lit(0).alias("na"), F.lit(0).alias("nb"))
+    sides = F.array(*(F.struct(F.col(x).alias("node"), F.col("a").alias("component"), F.lit(na).alias("na"), F.lit(nb).alias("nb")) for x, na, nb in (("a", 1, 0), ("b", 0, 1))))
+    every = own.unionByName(links.select(F.explode(sides).alias("e")).select("e.*"))
+    hooked = staged(every.groupBy("node").agg(F.min("component").alias("component"), F.sum("na").alias("na"), F.sum("nb").alias("nb")), "hooked")
     total = links.count()
+    hubs = {x: heavy_keys(hooked, "node", f"n{x}", total) for x in "ab"}
     while True:
-        left = labels.where("na > 0").select(F.col("node").alias("a"), F.col("component").alias("la"), "na")
-        right = labels.where("nb > 0").select(F.col("node").alias("b"), F.col("component").alias("lb"), "nb")
-        sides = heavy_join(heavy_join(links, left, "a", "na", total).drop("na"), right, "b", "nb", total).drop("nb")
-        apart = staged(sides.where("la <> lb"), "apart")
+        sizes = hooked.groupBy("component").agg(F.count("*").alias("n"))
+        jump = staged(sizes.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component"), "jump")
+        labels = staged(heavy_join(hooked, jump, "component").select("node", F.least("component", "root").alias("component"), "na", "nb"), "labels")
+        left = labels.where("na > 0").select(F.col("node").alias("a"), F.col("component").alias("la"))
+        right = labels.where("nb > 0").select(F.col("node").alias("b"), F.col("component").alias("lb"))
+        both = heavy_join(heavy_join(links, left, "a", keys=hubs["a"]), right, "b", keys=hubs["b"])
+        apart = staged(both.where("la <> lb"), "apart")
         if apart.isEmpty():
             return labels.select("node", "component")
         low = F.least("la", "lb").cast(kind)
@@ -41,6 +46,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .agg(F.min("component").alias("component"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         )
         hooked = staged(better, "hooked")
-        sizes = hooked.groupBy("component").agg(F.count("*").alias("n"))
-        jump = staged(sizes.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component"), "jump")
-        labels = staged(heavy_join(hooked, jump, "component").select("node", F.least("component", "root").alias("component"), "na", "nb"), "labels")
