@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sieveline.schema import as_findings
 from sieveline.syntax.python_tree import parse_python
 from sieveline.syntax.query import Query, anchors
-from sieveline.syntax.script_tree import KEYWORDS, _Parser, parse_script
+from sieveline.syntax.script_tree import KEYWORDS, parse_script, tokens
 from sieveline.syntax.tree import Node
 
 FIELDS = ("kind", "name", "value", "detail", "line", "col", "end_line")
@@ -44,7 +44,6 @@ LEAST_TOKENS, LEAST_LINES = 25, 3
 #: A license marker counts within so many lines from the top.
 LICENSE_LINES = 20
 IDENTIFIERS = ("identifier", "property_identifier", "shorthand_property_identifier", "shorthand_property_identifier_pattern", "type_identifier")
-FUNCTIONS = {"python": ("function_definition",)}
 SCRIPT_FUNCTIONS = ("function_declaration", "function_expression", "arrow_function", "method_definition", "generator_function_declaration", "generator_function_expression")
 #: What shows that a text is code.
 CODE_SHAPED = {
@@ -70,19 +69,10 @@ def row(kind: str, node: Node, name: str | None, value: str | None = None, detai
     return kind, name, value, detail, node.line, node.column, (end or node).end_line
 
 
-def script_tokens(node: Node, typed: str) -> list[str]:
+def script_tokens(node: Node) -> list[str]:
     """Tokens below a node: names as ID, strings and templates as STR, numbers as NUM; comments go."""
-    lexer = _Parser.__new__(_Parser)
-    lexer.text, lexer.comments, lexer.cache = node.source.text[: node.end], {}, {}
-    out, at, operand = [], node.start, True
-    while at < node.end:
-        t = lexer.lex(at, operand)
-        if t.kind == "end":
-            break
-        word = t.text
-        out.append("ID" if t.kind == "name" and word not in KEYWORDS else "STR" if t.kind in ("string", "template") else "NUM" if t.kind == "number" else word)
-        at, operand = t.end, lexer._operand_next(t)
-    return out
+    kinds = {"string": "STR", "template": "STR", "number": "NUM"}
+    return ["ID" if t.kind == "name" and t.text not in KEYWORDS else kinds.get(t.kind, t.text) for t in tokens(node.source.text, node.start, node.end)]
 
 
 def python_tokens(text: str) -> list[tuple[int, str]]:
@@ -158,7 +148,7 @@ def python_rows(text: str, root: Node | None = None) -> list[Row]:
     rows = list(_common(root))
     if any(r[0] == "error" for r in rows):
         return [r for r in rows if r[0] == "error"]
-    tokens = python_tokens(text)
+    lexed = python_tokens(text)
     bound: dict[str, str] = {}
     members: list[Node] = []
     for node in root.walk():
@@ -180,7 +170,7 @@ def python_rows(text: str, root: Node | None = None) -> list[Row]:
                     if not relative and not star:
                         rows.append(row("usage", whole, top, whole.text))
         elif kind == "function_definition":
-            own = [t for at, t in tokens if node.start <= at < node.end]
+            own = [t for at, t in lexed if node.start <= at < node.end]
             rows.append(row("function", node, node.field("name").text, " ".join(own) if len(own) >= LEAST_TOKENS else None, str(len(own))))
         elif kind == "assignment":
             left = node.field("left")
@@ -286,7 +276,7 @@ def script_rows(text: str, lang: str = "javascript", root: Node | None = None) -
                 else:
                     rows.append(row("import", node, package_of(spec), spec, ""))
         elif kind in SCRIPT_FUNCTIONS:
-            own = script_tokens(node, lang)
+            own = script_tokens(node)
             name = node.field("name")
             if name is None and node.parent is not None:
                 name = node.parent.field("name") or node.parent.field("key") or node.parent.field("left")
@@ -347,7 +337,7 @@ def script_exports(root: Node, own: str | None = None) -> Iterator[Row]:
             if at.kind == "module" and at.field("name") is not None and at.field("name").kind == "string":
                 foreign = literal(at.field("name"))
                 break
-            if at.kind in ("internal_module", "statement_block", "class_body") and at.parent is not None and at.parent.kind != "ambient_declaration" and at.kind == "internal_module":
+            if at.kind == "internal_module":
                 foreign = ""  # members of a namespace are not names of the module
                 break
             at = at.parent

@@ -1127,6 +1127,20 @@ class _Parser:
         return self.made("jsx_attribute", start, parts)
 
 
+def tokens(text: str, start: int = 0, end: int | None = None) -> list[Token]:
+    """The tokens of a range of a text that begins where an operand may stand; comments are left out."""
+    end = len(text) if end is None else end
+    parser = _Parser(text, typed=False, markup=False)
+    out, at, operand = [], start, True
+    while at < end:
+        t = parser.lex(at, operand)
+        if t.kind == "end" or t.start >= end:
+            break
+        out.append(t)
+        at, operand = t.end, parser._operand_next(t)
+    return out
+
+
 def parse_script(text: str, lang: str = "javascript") -> Node:
     """The tree of a JavaScript, TypeScript or TSX text."""
     source = Source(text)
