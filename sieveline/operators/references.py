@@ -40,11 +40,25 @@ def undeclared(references: DataFrame, declared: DataFrame, key: str) -> DataFram
     return references.join(declared.select(key).distinct(), key, "left_anti")
 
 
+#: Lines of a cell, and cells of a range beyond which it is compared by path alone.
+CELL, MOST_CELLS = 64, 64
+
+
 def in_ranges(hits: DataFrame, ranges: DataFrame, whole: bool = False) -> DataFrame:
-    """Hits (path, line[, end_line]) that a range (path, start, end) touches, or contains if whole; equality on path, then between."""
+    """Hits (path, line[, end_line]) that a range (path, start, end) touches, or contains if whole.
+
+    Hits and ranges meet by path and cell of lines, then between; the few ranges of very many cells, such as whole files, by path.
+    """
     last = F.col("h.end_line") if whole else F.col("h.line")
-    on = (F.col("h.path") == F.col("r.path")) & (F.col("r.start") <= F.col("h.line")) & (last <= F.col("r.end"))
-    return hits.alias("h").join(ranges.alias("r"), on, "left_semi")
+    inside = (F.col("h.path") == F.col("r.path")) & (F.col("r.start") <= F.col("h.line")) & (last <= F.col("r.end"))
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    wide = cell("end") - cell("start") > MOST_CELLS
+    cells = ranges.where(~wide & (F.col("end") >= F.col("start"))).select("path", "start", "end", F.explode(F.sequence(cell("start"), cell("end"))).alias("cell"))
+    own = hits.alias("h")
+    long_ = ranges.where(wide).alias("r")
+    first = own.join(long_, inside, "left_semi")
+    rest = own.join(long_, inside, "left_anti").alias("h")
+    return first.unionByName(rest.join(cells.alias("r"), inside & (F.floor(F.col("h.line") / CELL) == F.col("r.cell")), "left_semi"))
 
 
 def surface_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

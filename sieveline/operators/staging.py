@@ -23,3 +23,9 @@ def staged(df: DataFrame) -> DataFrame:
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df as the side of a join: broadcast if it has no more rows than given, which is counted; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer; large tables have more and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
 from sieveline.operators import code, detect, rules
+from sieveline.operators.staging import spread
 
 #: (suffix, text, expected findings (rule, severity, line, column), expected rows (kind, name, value, line))
 SAMPLES: tuple[tuple[str, str, tuple, tuple], ...] = (
@@ -38,7 +39,7 @@ def files(spark, sf_dir) -> DataFrame:
     for i, (s, t, _, _) in enumerate(SAMPLES):
         suffix, text = F.when(k == i, s).otherwise(suffix), F.when(k == i, t).otherwise(text)
     own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit("."), suffix).alias("path"), text.alias("text"))
-    return own.withColumn("lang", fn.language_of(F.col("path")))
+    return spread(own.withColumn("lang", fn.language_of(F.col("path"))))
 
 
 def _rows(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
 from sieveline.operators import lines, similarity
-from sieveline.operators.staging import small_or_shuffled
+from sieveline.operators.staging import small_or_shuffled, spread
 
 
 def _docs(spark, sf_dir):
@@ -70,7 +70,7 @@ def token_shingles(spark, sf_dir):
 def _sketches(spark, sf_dir):
     both = similarity.bound(similarity.shingles(similarity.word_array(F.col("text"))), lambda h: F.struct(h.alias("hashes"), similarity.sketch(h).alias("sketch")))
     # a generator keeps the hashing from being repeated for each column that uses it
-    return _docs(spark, sf_dir).select("doc_id", F.inline(F.array(both))).where(F.size("hashes") > 0)
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.inline(F.array(both))).where(F.size("hashes") > 0)
 
 
 def minhash_sketch(spark, sf_dir):
@@ -90,7 +90,7 @@ def benchmark_contamination(spark, sf_dir):
     """By document and benchmark item: shared shingles, and the share of the item that the document holds."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", similarity.shingles(similarity.word_array(F.col("text"))).alias("h"))
     asked = small_or_shuffled(items.select("item_id", F.size("h").alias("of"), F.explode("h").alias("shingle")))
-    held = _docs(spark, sf_dir).select("doc_id", F.explode(similarity.shingles(similarity.word_array(F.col("text")))).alias("shingle"))
+    held = spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode(similarity.shingles(similarity.word_array(F.col("text")))).alias("shingle"))
     both = held.join(asked, "shingle").groupBy("doc_id", "item_id", "of").agg(F.count("*").alias("n"))
     return both.select("doc_id", "item_id", "n", F.round(F.col("n") / F.col("of"), 6).alias("share"))
 
