@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators.staging import spread
+from sieveline.operators import staging
 
 #: Keys with more than 1 / HEAVY of the rows are handled apart; it bounds what is broadcast.
 HEAVY = 500
@@ -115,7 +115,7 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", keys:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a folder; a table in fewer partitions than there are cores is spread over them."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return staging.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
