@@ -70,6 +70,8 @@ SHINGLE = 5
 BANDS = 64
 HUNDREDTHS = 75
 CHUNK = 2_000_000
+#: Low bits of a MinHash value that the index looks at first.
+LOW = 12
 _rng = np.random.default_rng(1989)
 FACTOR = _rng.integers(0, 1 << 32, BANDS, dtype=np.uint32) | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, BANDS, dtype=np.uint32)
@@ -103,11 +105,14 @@ class Index:
         by_level: dict[int, list[int]] = {}
         for k, own in enumerate(self.sets):
             by_level.setdefault((len(own) - 1).bit_length(), []).append(k)
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # (MinHash values, templates), bands by templates, values in order
+        # (MinHash values, templates, which low bits the values have), by bands, values in order
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for level, members in by_level.items():
             least = np.array([[(self.sets[k].astype(np.uint32) * f + b).min() for k in members] for f, b in zip(FACTOR, SHIFT)])
             order = np.argsort(least, 1, kind="stable")
-            self.levels[level] = np.take_along_axis(least, order, 1), np.array(members)[order]
+            may = np.zeros((BANDS, 1 << LOW), bool)
+            np.put_along_axis(may, (least & np.uint32((1 << LOW) - 1)).astype(np.int64), True, 1)
+            self.levels[level] = np.take_along_axis(least, order, 1), np.array(members)[order], may
 
 
 def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -127,6 +132,7 @@ def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tu
         docs.append(np.repeat(np.arange(len(sizes)), count))
         paired.append(np.flatnonzero(docs[-1][1:] == docs[-1][:-1]))
     found: set[tuple[int, int, int]] = set()
+    low_bits = np.uint32((1 << LOW) - 1)
     low = sequence.astype(np.uint32)
     for band, (f, b) in enumerate(zip(FACTOR, SHIFT)):
         block = low * f + b
@@ -136,10 +142,11 @@ def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tu
             if level in index.levels:
                 least = block.copy()
                 least[paired[level]] = np.minimum(block[paired[level]], block[paired[level] + 1])
-                values, own = (x[band] for x in index.levels[level])
-                at = np.searchsorted(values, least)
-                for w in np.flatnonzero(values[np.minimum(at, len(values) - 1)] == least).tolist():
-                    k = int(at[w])
+                values, own, may = (x[band] for x in index.levels[level])
+                some = np.flatnonzero(may[least & low_bits])  # nearly all windows stop here
+                at = np.searchsorted(values, least[some])
+                hit = values[np.minimum(at, len(values) - 1)] == least[some]
+                for w, k in zip(some[hit].tolist(), at[hit].tolist()):
                     while k < len(values) and values[k] == least[w]:
                         found.add((level, w, int(own[k])))
                         k += 1
