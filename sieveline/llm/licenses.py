@@ -121,8 +121,8 @@ def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tu
         return []
     ends = np.cumsum(sizes)
     top = max(index.levels)
-    # by level: where the blocks of the level below that make up each block begin, the text of each block, whether the next is of the same text
-    starts, docs, paired = [np.arange(len(sequence))], [], []
+    # by level: where the blocks of the level below that make up each block begin, the text of each block, the last block of each text
+    starts, docs, alone = [np.arange(len(sequence))], [], []
     count = sizes
     for level in range(top + 1):
         if level:
@@ -130,7 +130,7 @@ def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tu
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             starts.append(np.repeat(np.cumsum(below) - below, count) + 2 * step)
         docs.append(np.repeat(np.arange(len(sizes)), count))
-        paired.append(np.flatnonzero(docs[-1][1:] == docs[-1][:-1]))
+        alone.append(np.flatnonzero(np.append(docs[-1][1:] != docs[-1][:-1], True)))
     found: set[tuple[int, int, int]] = set()
     low_bits = np.uint32((1 << LOW) - 1)
     low = sequence.astype(np.uint32)
@@ -141,7 +141,8 @@ def scan_chunk(sequence: np.ndarray, sizes: np.ndarray, index: Index) -> list[tu
                 block = np.minimum.reduceat(block, starts[level])
             if level in index.levels:
                 least = block.copy()
-                least[paired[level]] = np.minimum(block[paired[level]], block[paired[level] + 1])
+                np.minimum(block[:-1], block[1:], out=least[:-1])
+                least[alone[level]] = block[alone[level]]
                 values, own, may = (x[band] for x in index.levels[level])
                 some = np.flatnonzero(may[least & low_bits])  # nearly all windows stop here
                 at = np.searchsorted(values, least[some])
