@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from sieveline.llm.common import heavy_join, splitmix, staged, width
 from sieveline.llm.graph import connected_components
-from sieveline.llm.linking import across, binary_rows, head_pairs, headed, spanning
+from sieveline.llm.linking import across, binary_rows, head_pairs, headed, least_pairs, spanning
 
 SLOTS = 64
 CHARS = 2_000_000
@@ -220,10 +220,10 @@ def near_groups(prints: DataFrame) -> DataFrame:
                 if not found.same(x, y):
                     found.put(x, y)
 
-    pairs = head_pairs(members)
+    pairs = least_pairs(members)  # copies share most buckets, so this connects most of them; the rest is compared within buckets
     both = pairs.join(reps.toDF("a", "fa"), "a").join(reps.toDF("b", "fb"), "b")
     first = staged(both.select("a", "b", "fa", "fb").mapInArrow(lambda batches: spanning(verify(batches)), f"a {kind}, b {kind}"), "links")
-    links = first.unionByName(staged(across(members, first, reps, compare), "links"))
+    links = first.unionByName(staged(across(members, first, reps, compare, heads_done=False), "links"))
     component = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("near_id"))
     grouped = firsts.join(component, "rep", "left").where("n > 1 or near_id is not null").select("h", "n", F.coalesce("near_id", "rep").alias("near_id"))
     return heavy_join(known.select("id", "h"), staged(grouped, "groups"), "h").select("id", "near_id")

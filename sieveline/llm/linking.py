@@ -87,6 +87,11 @@ def head_pairs(members: DataFrame) -> DataFrame:
     return members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def least_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member with the smallest head of all its buckets; a pair for each member, where head_pairs has one for each head."""
+    return members.groupBy("id").agg(F.min("head").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+
+
 def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Callable, heads_done: bool = True) -> DataFrame:
     """Links (a, b, ..) between members of a bucket that the links `first` (a, b) leave in different components.
 
