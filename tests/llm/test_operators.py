@@ -136,6 +136,49 @@ def test_suffix_dedup_equals_brute_force(spark, block):
     assert {(r.lang, r.source) for r in got if r.doc_id == 2} == {(None, None)}
 
 
+def test_anchors_are_even_over_shards():
+    data = np.frombuffer(prose(5, 20_000).encode(), np.uint8)
+    h = suffix_dedup.anchors(data, np.array([0, len(data)]))[3]
+    shares = np.bincount((h >> np.uint64(61)).astype(int), minlength=8) / len(h)
+    assert 0.1 < shares.min() and shares.max() < 0.15
+
+
+def test_a_large_anchor_is_sorted_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, mark = 3000, np.frombuffer(b"the the the the the the ", np.uint8)
+    slices = rng.integers(97, 123, (n, 76)).astype(np.uint8)
+    slices[:, 26:50] = mark
+    slices[1::3, :40] = slices[0, :40]
+    slices[2::7] = slices[2]
+    doc = rng.integers(0, n // 2, n)
+    sizes, sort = [], suffix_dedup._sort_bucket
+
+    def seen(text, begin, count, *rest):
+        sizes.append(int((count + suffix_dedup.WIDTH - 1 + suffix_dedup.V).sum()))
+        return sort(text, begin, count, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_bucket", seen)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40_000)
+    got = suffix_dedup.repeated_windows(slices.ravel(), np.arange(n) * 76, np.full(n, 27), np.full(n, 26), np.full(n, 9, np.uint64), doc)
+    strings = [slices[i, k : k + 50].tobytes() for i in range(n) for k in range(27)]
+    least = {}
+    for s, d in zip(strings, np.repeat(doc, 27)):
+        least[s] = min(d, least.get(s, d))
+    assert got.tolist() == [least[s] < d for s, d in zip(strings, np.repeat(doc, 27))] and got.any()
+    assert len(sizes) > 1 and max(sizes) <= 80_000
+
+
+def test_anchors_of_many_strings_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 60)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    rng = random.Random(4)
+    passages = [prose(s, 6) for s in range(3)] + ["the " * 40]
+    rows = [(i, prose(i, rng.randint(0, 3)) + rng.choice(passages) + prose(-i, 2) + rng.choice(passages), "en", "s", 1) for i in range(60)] + [(None, passages[0], None, None, None)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), block=700).collect()
+    want = brute_repeats(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
 def test_difference_cover():
     cover = suffix_dedup.COVER.tolist()
     assert {(a - b) % suffix_dedup.V for a in cover for b in cover} == set(range(suffix_dedup.V))
