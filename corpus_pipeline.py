@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import documents, staged
-from sieveline.llm.language import predict_language
+from sieveline.llm.language import UNKNOWN, predict_language
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.packing import pack_documents
 from sieveline.llm.quality import judge_quality
@@ -30,12 +30,17 @@ def _named(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; null texts and texts without one have no language and go, whether or not a language can be learned."""
+    """Documents with a letter, with the predicted language as their `lang`, by which the last stage packs them.
+
+    Labels may be missing or wrong, so the prediction from the whole text replaces them; where nothing can be learned they stay. Null texts
+    and texts without a letter have no language and go, whether or not a language can be learned.
+    """
     plain, back = _named(docs)
     lang = f"own column {docs.columns.index('lang')}" if "lang" in docs.columns else "own column none"
     if "lang" not in docs.columns:
         plain = plain.withColumn(lang, F.lit(None).cast("string"))
-    return predict_language(plain, lang=lang, carry=True).where(F.col("text").rlike(r"\p{L}")).select(*back)
+    found = predict_language(plain, lang=lang, carry=True).where(F.col("text").rlike(r"\p{L}"))
+    return found.withColumn(lang, F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred")).otherwise(F.col(lang))).select(*back)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +70,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences for training; every row is packed, null texts as empty."""
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    """Pieces of sequences for training, with the language of their documents; every row is packed, null texts as empty.
+
+    Sequences are filled with one language after the other, so few hold more than one.
+    """
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), group="lang" if "lang" in docs.columns else None)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

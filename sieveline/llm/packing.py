@@ -180,11 +180,15 @@ class Packer:
             self._close()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece of every document."""
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, group: str | None = None) -> DataFrame:
+    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids][, group]) of every piece of every document.
+
+    group: a text column; within each stretch of the curve, sequences are filled with one value of it after the other.
+    """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     n = width(spark)
-    rows = docs.select(key, F.coalesce(F.xxhash64(key), F.lit(0)).alias("h"), text)
+    own = [F.col(f"`{group}`").cast("string").alias("own group")] if group else []
+    rows = docs.select(key, F.coalesce(F.xxhash64(key), F.lit(0)).alias("h"), text, *own)
     z = [f"z{d}" for d in range(DIMS)]
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +209,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     cuts = drawn.mapInArrow(keys, "k long").select(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else None
     cuts = np.unique(np.array(cuts or [], np.int64))
 
+    own_names = ["own group"] * len(own)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in text_chunks(batch.column(2), CHUNK):
                 part = batch.slice(lo, hi - lo)
                 k = curve_keys(project(data, at), middle, spread, part.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, k, "left").astype(np.int32)), pa.array(k), part.column(0), part.column(2)], names=["part", "k", "doc", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, k, "left").astype(np.int32)), pa.array(k), part.column(0), part.column(2), *(part.column(3) for _ in own_names)], names=["part", "k", "doc", "text", *own_names])
 
-    dealt = rows.mapInArrow(place, f"part int, k long, doc {kind}, text string").repartitionById(n, "part").sortWithinPartitions("part", "k", "doc")
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    dealt = rows.mapInArrow(place, f"part int, k long, doc {kind}, text string" + ", `own group` string" * len(own)).repartitionById(n, "part").sortWithinPartitions("part", *own_names, "k", "doc")
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids + [group] * len(own_names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _loaded:
@@ -223,20 +229,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
 
         def made(pieces: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
             arrays = [
-                pa.array([p[0] for p in pieces], kind_),
+                pa.array([p[0][0] for p in pieces], kind_),
                 pa.array([p[1] for p in pieces], pa.int64()),
                 pa.array([len(p[2]) for p in pieces], pa.int64()),
                 pa.array([zlib.crc32(p[2]) for p in pieces], pa.int64()),
                 pa.array([p[3] for p in pieces], pa.int64()),
                 pa.array([p[4] for p in pieces], pa.int64()),
                 pa.array([p[5] for p in pieces], pa.int64()),
-            ] + [pa.array([p[2].tolist() for p in pieces], pa.list_(pa.int32()))] * with_ids
+            ] + [pa.array([p[2].tolist() for p in pieces], pa.list_(pa.int32()))] * with_ids + [pa.array([p[0][1] for p in pieces], pa.string()) for _ in own_names]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         kind_ = pa.int64()
         for batch in batches:
             kind_ = batch.schema.field("doc").type
-            for part, doc, body in zip(*(batch.column(c).to_pylist() for c in ("part", "doc", "text"))):
+            for part, doc, body, *value in zip(*(batch.column(c).to_pylist() for c in ("part", "doc", "text", *own_names))):
                 if part != last:
                     if packer:
                         packer.finish()
@@ -244,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
                     packer, last = Packer(part << 40), part
                 ids = encode(body or "")
                 ids.append(END)
-                packer.add(doc, np.array(ids, "<u4"))
+                packer.add((doc, *value), np.array(ids, "<u4"))
                 if len(packer.pieces) >= 5000:
                     yield made(packer.pieces, kind_)
                     packer.pieces = []
@@ -252,5 +258,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             packer.finish()
             yield made(packer.pieces, kind_)
 
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return dealt.select("part", "doc", "text").mapInArrow(pack, schema)
+    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids + f", `{group}` string" * len(own_names)
+    return dealt.select("part", "doc", "text", *own_names).mapInArrow(pack, schema)

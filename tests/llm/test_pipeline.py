@@ -82,6 +82,29 @@ def test_stages_equal_a_walk_over_documents(spark, folder):
     assert left == {i: t for i, t in want.items() if t}
 
 
+def test_the_predicted_language_reaches_the_sequences(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    words = {"en": "the cat and the dog with that house", "de": "der hund und die katze mit dem haus"}
+    true = {i: "en" if i % 2 else "de" for i in range(240)}
+    texts = {i: " ".join(random.Random(i).choices(words[v].split(), k=60)) + str(i) + "." for i, v in true.items()}
+    label = {i: None if i % 3 == 0 else "de" if i == 121 else v for i, v in true.items()}
+    docs = spark.createDataFrame([(i, texts[i], label[i], "s", 1) for i in true], SCHEMA)
+    told = corpus_pipeline.language(spark, docs, "")
+    assert {r.doc_id: r.lang for r in told.collect()} == true
+    got = corpus_pipeline.packing(spark, told, "").collect()
+    assert {(r.doc_id, r.lang) for r in got} == set(true.items())
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, set()).add(r.lang)
+    mixed = sum(len(v) > 1 for v in held.values())
+    assert mixed <= len({s >> 40 for s in held}) < len(held) / 2  # one change of language in each stretch at most
+    again = corpus_pipeline.packing(spark, docs.drop("lang"), "")
+    assert "lang" not in again.columns and again.select("doc_id").distinct().count() == 240
+
+
 def test_registered():
     import __spark_entry__ as entry
 
