@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.places import numbered
+from sieveline.operators.staging import staged
 from sieveline.schema import SEVERITIES, severity_rank, severity_weight
 
 
@@ -143,10 +147,9 @@ def _doubt() -> Column:
     return F.when(F.col("confidence") == "high", "").otherwise(F.concat(F.lit(" (confidence: "), "confidence", F.lit(")")))
 
 
-def _ranked(df: DataFrame, n: int | None = None) -> DataFrame:
-    """df with `place` in the total order; a report is one text, so its lines are numbered in one place."""
-    own = df.orderBy(*order_key()).limit(n) if n else df
-    return own.withColumn("place", F.row_number().over(Window.orderBy(*order_key())))
+def ranked(df: DataFrame) -> DataFrame:
+    """df with `place` in the total order, counted over ranges of it, so that no task sorts all findings."""
+    return numbered(df, order_key())
 
 
 def next_step() -> Column:
@@ -165,7 +168,7 @@ def agent_report(df: DataFrame, fail_on: str | None = None, min_score: int | Non
     clean = F.when(n == 0, F.array(F.lit("no findings — clean"))).otherwise(F.array(F.lit("FINDINGS:")))
     head = total.select(F.lit(0).alias("part"), F.posexplode(F.concat(F.array(gate_line, counts), clean)).alias("no", "line"))
     text = F.concat("severity", F.lit(" "), "id", F.lit(" "), _place(), F.lit(" — "), "message", _doubt(), F.when(F.col("fixable"), " [fixable]").otherwise(""), F.lit(" "), F.coalesce("fingerprint", F.lit("gdv1:?")))
-    found = _ranked(df).select(F.lit(1).alias("part"), F.col("place").alias("no"), text.alias("line"))
+    found = ranked(df).select(F.lit(1).alias("part"), F.col("place").alias("no"), text.alias("line"))
     firsts = df.where(next_step().isNotNull()).groupBy(next_step().alias("action")).agg(F.min(sort_struct()).alias("first"))
     listed = firsts.orderBy("first", "action").limit(actions).withColumn("no", F.row_number().over(Window.orderBy("first", "action")))
     steps = listed.select(F.lit(3).alias("part"), "no", F.concat(F.lit("- "), "action").alias("line"))
@@ -204,20 +207,20 @@ def terminal_report(df: DataFrame, scored: bool = True, verbose: bool = False) -
     box = F.array(F.lit("┌─ check " + "─" * (BANNER - 8) + "┐"), F.concat(F.lit("│"), F.rpad(score_text, BANNER, " "), F.lit("│")), F.concat(F.lit("│"), F.rpad(counted, BANNER, " "), F.lit("│")), F.lit("└" + "─" * BANNER + "┘"))
     banner = total.where("score is not null").select(F.lit(0).alias("part"), F.lit(0).alias("file_no"), F.posexplode(box).alias("no", "line"))
     clean = total.where((n == 0) & F.col("score").isNull()).select(F.lit(0).alias("part"), F.lit(0).alias("file_no"), F.lit(0).alias("no"), F.lit("no findings — clean").alias("line"))
-    short = total.select((n > (SHORT_BEYOND if not verbose else 1 << 40)).alias("short"))
-    ranked = _ranked(df)
-    groups = ranked.groupBy("file").agg(F.min("place").alias("file_no"), F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s) for s, _, _ in SEVERITIES))
-    kinds = F.concat_ws(" · ", *(F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s, _, _ in SEVERITIES))
-    heads = groups.select(F.lit(1).alias("part"), "file_no", F.lit(0).alias("no"), F.concat("file", F.lit(" — "), F.col("n").cast("string"), F.when(F.col("n") == 1, " finding").otherwise(" findings"), F.lit(" · "), kinds).alias("line"))
-    body = ranked.join(groups.select("file", "file_no"), "file").select(F.lit(1).alias("part"), "file_no", (F.col("place") * 2).alias("no"), F.array_compact(F.array(finding_line(), step_line())).alias("lines"))
-    lines = body.select("part", "file_no", "no", F.posexplode("lines").alias("k", "line")).select("part", "file_no", (F.col("no") + F.col("k")).alias("no"), "line")
-    whole = heads.unionByName(lines).crossJoin(F.broadcast(short)).where("not short").drop("short")  # short is one row
-    first = _ranked(df, 3).select(F.lit(2).alias("part"), F.lit(0).alias("file_no"), F.col("place").alias("no"), F.concat(F.lit("  "), F.col("place").cast("string"), F.lit(". "), "id", F.lit(" "), F.col("file"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(" — "), "message").alias("line"))
-    shown = F.lit(True) if scored else F.col("short")
-    first = first.crossJoin(F.broadcast(short)).where(shown).drop("short")
+    short = not verbose and df.limit(SHORT_BEYOND + 1).count() > SHORT_BEYOND  # decided first, as the order of all findings is needed only for the whole report
+    parts = [banner, clean]
+    if not short:
+        placed = staged(ranked(df))
+        groups = placed.groupBy("file").agg(F.min("place").alias("file_no"), F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s) for s, _, _ in SEVERITIES))
+        kinds = F.concat_ws(" · ", *(F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s, _, _ in SEVERITIES))
+        heads = groups.select(F.lit(1).alias("part"), "file_no", F.lit(0).alias("no"), F.concat("file", F.lit(" — "), F.col("n").cast("string"), F.when(F.col("n") == 1, " finding").otherwise(" findings"), F.lit(" · "), kinds).alias("line"))
+        body = placed.join(groups.select("file", "file_no"), "file").select(F.lit(1).alias("part"), "file_no", (F.col("place") * 2).alias("no"), F.array_compact(F.array(finding_line(), step_line())).alias("lines"))
+        parts += [heads, body.select("part", "file_no", "no", F.posexplode("lines").alias("k", "line")).select("part", "file_no", (F.col("no") + F.col("k")).alias("no"), "line")]
+    if scored or short:
+        parts.append(top(df, 3).select(F.lit(2).alias("part"), F.lit(0).alias("file_no"), F.col("place").alias("no"), F.concat(F.lit("  "), F.col("place").cast("string"), F.lit(". "), "id", F.lit(" "), F.col("file"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(" — "), "message").alias("line")))
     last = F.concat(n.cast("string"), F.lit(" findings: "), F.concat_ws(" · ", *(F.concat(F.col(s).cast("string"), F.lit(f" {s}")) for s, _, _ in SEVERITIES)), F.lit(" ("), F.col("fixable").cast("string"), F.lit(" fixable)"))
     tally_ = total.where(n > 0).select(F.lit(3).alias("part"), F.lit(0).alias("file_no"), F.lit(0).alias("no"), last.alias("line"))
-    return banner.unionByName(clean).unionByName(whole).unionByName(first).unionByName(tally_)
+    return reduce(DataFrame.unionByName, [*parts, tally_])
 
 
 def place_order() -> list[Column]:

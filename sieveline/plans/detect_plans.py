@@ -149,7 +149,7 @@ def report_gate(spark, sf_dir):
 
 
 def _reported(spark, sf_dir) -> DataFrame:
-    own = findings(spark, sf_dir).where("line % 50 = 0").withColumns({"confidence": F.when(F.col("line") % 100 == 0, "high").otherwise("medium"), "suggestion": F.when(F.col("id") == "click", "look").otherwise(F.lit(None)), "remediation": F.concat(F.lit("fix "), "id")})
+    own = findings(spark, sf_dir).withColumns({"confidence": F.when(F.col("line") % 100 == 0, "high").otherwise("medium"), "suggestion": F.when(F.col("id") == "click", "look").otherwise(F.lit(None)), "remediation": F.concat(F.lit("fix "), "id")})
     return identity.assign_tokens(own)
 
 
@@ -161,6 +161,11 @@ def terminal_report(spark, sf_dir):
     return report.terminal_report(_reported(spark, sf_dir), scored=True).select("part", F.col("no").cast("long").alias("no"), "line")
 
 
+def whole_report(spark, sf_dir):
+    """The report for people with every finding under its file, worst file first."""
+    return report.terminal_report(_reported(spark, sf_dir), scored=True, verbose=True).select("part", F.col("no").cast("long").alias("no"), "line")
+
+
 def suppressed_tokens(spark, sf_dir):
     """The first reason that suppresses a finding: rule, path or token."""
     own = identity.assign_tokens(findings(spark, sf_dir))
@@ -255,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registry_answers, registry_metadata, diff_files, diff_added_ranges, secret_shapes, package_findings, typosquat_findings, phantom_import_findings, builtin_modules, api_findings, model_findings, dead_code_findings, duplicate_helper_findings, orphan_file_findings, env_findings, blocking_findings,
-        report_gate, agent_report, terminal_report, suppressed_tokens, plan_without_suppressed, since_snapshot, name_status_records, restore_actions, unchanged_trees, corpus_metrics, free_env_key_plan,
+        report_gate, agent_report, terminal_report, whole_report, suppressed_tokens, plan_without_suppressed, since_snapshot, name_status_records, restore_actions, unchanged_trees, corpus_metrics, free_env_key_plan,
     )
 }
 _P = f"""d AS (SELECT p_partkey AS k, p_brand || '/manifest' AS manifest FROM part WHERE p_size % 4 > 0),
@@ -272,9 +277,17 @@ _P = f"""d AS (SELECT p_partkey AS k, p_brand || '/manifest' AS manifest FROM pa
    list_filter([CASE WHEN distance BETWEEN 1 AND 2 THEN 'near-name' END, CASE WHEN ecosystem = 'npm' AND existence = 'exists' AND p_size * 40 < 1000 THEN 'low-downloads' END,
      CASE WHEN ecosystem = 'npm' AND existence = 'exists' AND p_size * 1000000 < 90 * 86400 THEN 'new-package' END], lambda x: x IS NOT NULL) AS reasons
    FROM v LEFT JOIN near USING (k) LEFT JOIN site USING (k) LEFT JOIN d USING (k))"""
-_REP = f"""{_F}, {_TOKENS.replace('FROM f)', 'FROM f WHERE line % 50 = 0)')}, r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place, CASE WHEN line % 100 = 0 THEN '' ELSE ' (confidence: medium)' END AS doubt,
+_REP = f"""{_F}, {_TOKENS}, r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place, CASE WHEN line % 100 = 0 THEN '' ELSE ' (confidence: medium)' END AS doubt,
  CASE WHEN id = 'click' THEN 'look' ELSE 'fix ' || id END AS action FROM t), s AS (SELECT {', '.join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ('critical', 'high', 'medium', 'low', 'info'))}, count(*) FILTER (fixable) AS fixable, count(*) AS n, {_SCORE} AS score FROM r)"""
 _COUNTED = "critical || ' critical · ' || high || ' high · ' || medium || ' medium · ' || low || ' low · ' || info || ' info'"
+_TERMINAL = f"""WITH {_REP}, g AS (SELECT file, min(place) AS fp, count(*) AS c, {', '.join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ('critical', 'high', 'medium', 'low', 'info'))} FROM r GROUP BY file), shown AS (SELECT n <= BEYOND AS all_of_them FROM s)
+      SELECT CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS no, '┌─ check ' || repeat('─', 38) || '┐' AS line UNION ALL SELECT 0, 1, '│' || rpad('  Score: ' || score || '/100', 46, ' ') || '│' FROM s
+      UNION ALL SELECT 0, 2, '│' || rpad('  ' || critical || ' critical · ' || high || ' high · ' || medium || ' medium · ' || low || ' low', 46, ' ') || '│' FROM s UNION ALL SELECT 0, 3, '└' || repeat('─', 46) || '┘'
+      UNION ALL SELECT 1, 0, file || ' — ' || c || CASE WHEN c = 1 THEN ' finding' ELSE ' findings' END || ' · ' || array_to_string(list_filter([{', '.join(f"CASE WHEN {x} > 0 THEN {x} || ' {x}' END" for x in ('critical', 'high', 'medium', 'low', 'info'))}], lambda x: x IS NOT NULL), ' · ') FROM g, shown WHERE all_of_them
+      UNION ALL SELECT 1, place * 2, '  ' || lpad(CAST(line AS VARCHAR), 8, ' ') || ' ' || CASE severity WHEN 'critical' THEN '✖' WHEN 'high' THEN '▲' WHEN 'medium' THEN '●' WHEN 'low' THEN '○' ELSE '·' END || ' ' || rpad(severity, 8, ' ') || ' ' || message || doubt || '  ' || id FROM r, shown WHERE all_of_them
+      UNION ALL SELECT 1, place * 2 + 1, '  ' || repeat(' ', 8) || ' → ' || action FROM r, shown WHERE all_of_them
+      UNION ALL SELECT 2, place, '  ' || place || '. ' || id || ' ' || file || ':' || line || ' — ' || message FROM r WHERE place <= 3
+      UNION ALL SELECT 3, 0, n || ' findings: ' || {_COUNTED} || ' (' || fixable || ' fixable)' FROM s"""
 _HASH = "substr(sha256(array_to_string(w[i:i+4], ' ')), 1, 16)"
 _LE = "array_to_string(list_transform(range(15, 0, -2), lambda p: substr(x, p, 2)), '')"
 _G = "CASE o_orderkey % 4 WHEN 1 THEN 'f' ELSE 'g' END || o_orderkey"
@@ -310,14 +323,8 @@ ORACLE_SQL = {
       UNION ALL SELECT 0, 1, 'SUMMARY: ' || n || ' findings · ' || {_COUNTED} || ' · ' || fixable || ' fixable · score ' || score || '/100' FROM s UNION ALL SELECT 0, 2, 'FINDINGS:'
       UNION ALL SELECT 1, place, severity || ' ' || id || ' ' || file || ':' || line || ' — ' || message || doubt || CASE WHEN fixable THEN ' [fixable]' ELSE '' END || ' ' || fingerprint FROM r
       UNION ALL SELECT 2, 0, 'NEXT ACTIONS:' UNION ALL SELECT 3, no, '- ' || action FROM o WHERE no <= 10 UNION ALL SELECT 4, 0, '… (' || (count(*) - 10) || ' more)' FROM o HAVING count(*) > 10""",
-    "terminal_report": f"""WITH {_REP}, g AS (SELECT file, min(place) AS fp, count(*) AS c, {', '.join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ('critical', 'high', 'medium', 'low', 'info'))} FROM r GROUP BY file), shown AS (SELECT n <= 25 AS all_of_them FROM s)
-      SELECT CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS no, '┌─ check ' || repeat('─', 38) || '┐' AS line UNION ALL SELECT 0, 1, '│' || rpad('  Score: ' || score || '/100', 46, ' ') || '│' FROM s
-      UNION ALL SELECT 0, 2, '│' || rpad('  ' || critical || ' critical · ' || high || ' high · ' || medium || ' medium · ' || low || ' low', 46, ' ') || '│' FROM s UNION ALL SELECT 0, 3, '└' || repeat('─', 46) || '┘'
-      UNION ALL SELECT 1, 0, file || ' — ' || c || CASE WHEN c = 1 THEN ' finding' ELSE ' findings' END || ' · ' || array_to_string(list_filter([{', '.join(f"CASE WHEN {x} > 0 THEN {x} || ' {x}' END" for x in ('critical', 'high', 'medium', 'low', 'info'))}], lambda x: x IS NOT NULL), ' · ') FROM g, shown WHERE all_of_them
-      UNION ALL SELECT 1, place * 2, '  ' || lpad(CAST(line AS VARCHAR), 8, ' ') || ' ' || CASE severity WHEN 'critical' THEN '✖' WHEN 'high' THEN '▲' WHEN 'medium' THEN '●' WHEN 'low' THEN '○' ELSE '·' END || ' ' || rpad(severity, 8, ' ') || ' ' || message || doubt || '  ' || id FROM r, shown WHERE all_of_them
-      UNION ALL SELECT 1, place * 2 + 1, '  ' || repeat(' ', 8) || ' → ' || action FROM r, shown WHERE all_of_them
-      UNION ALL SELECT 2, place, '  ' || place || '. ' || id || ' ' || file || ':' || line || ' — ' || message FROM r WHERE place <= 3
-      UNION ALL SELECT 3, 0, n || ' findings: ' || {_COUNTED} || ' (' || fixable || ' fixable)' FROM s""",
+    "terminal_report": _TERMINAL.replace("BEYOND", "25"),
+    "whole_report": _TERMINAL.replace("BEYOND", "n"),
     "suppressed_tokens": f"WITH {_F}, {_TOKENS} SELECT id, file, line, CASE WHEN id = 'view' THEN 'rule' WHEN starts_with(file, '1') THEN 'path' WHEN line % 4 = 0 THEN 'token' END AS reason FROM t",
     "plan_without_suppressed": f"WITH {_F} SELECT id, file, line FROM f WHERE line % 4 <> 0",
     "since_snapshot": f"""WITH {_F}, e AS (SELECT *, 2 AS m FROM f WHERE line % 2 = 0 UNION ALL SELECT *, 3 FROM f WHERE line % 3 = 0),

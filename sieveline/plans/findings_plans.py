@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators import baseline, identity, report
+from sieveline.operators import baseline, identity, places, report
 from sieveline.schema import severity_rank
 
 SEVERITY_OF = {"error": "critical", "purchase": "high", "signup": "medium", "click": "low"}
@@ -73,6 +73,12 @@ def findings_total_order_topk(spark, sf_dir):
     return report.top(findings(spark, sf_dir), 50).select("place", "severity", "file", "line", "id", "message")
 
 
+def findings_places(spark, sf_dir):
+    """Every finding with its place in the total order, and in that of its rule."""
+    whole = places.numbered(findings(spark, sf_dir), report.order_key())
+    return places.numbered(whole, [F.asc("place")], "rule_place", ["id"], first=0).select("line", "place", "id", "rule_place")
+
+
 def top3_per_file(spark, sf_dir):
     return report.top_by_file(findings(spark, sf_dir), 3).select("file", "place", "severity", "line", "id")
 
@@ -139,7 +145,7 @@ def recall_by_label(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        severity_summary, severity_summary_by_file, at_or_above, ship_score_by_file, gate_eval, per_file_tally, severity_floor, findings_total_order_topk, top3_per_file,
+        severity_summary, severity_summary_by_file, at_or_above, ship_score_by_file, gate_eval, per_file_tally, severity_floor, findings_total_order_topk, findings_places, top3_per_file,
         file_group_order, next_actions_top10, agent_lines, fingerprint_occurrence, baseline_kept, baseline_suppressed, baseline_stale, cross_command_dedupe, suppress_reason, rule_fp_rate, recall_by_label,
     )
 }
@@ -152,6 +158,7 @@ ORACLE_SQL = {
     "per_file_tally": f"WITH {_F} SELECT file, {_COUNTS} FROM f GROUP BY file",
     "severity_floor": f"WITH {_F} SELECT id, severity, file, line FROM f WHERE {_RANK} >= 3",
     "findings_total_order_topk": f"WITH {_F} SELECT CAST(row_number() OVER (ORDER BY {_ORDER}) AS INTEGER) AS place, severity, file, line, id, message FROM f QUALIFY place <= 50",
+    "findings_places": f"WITH {_F}, p AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place FROM f) SELECT line, place, id, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS rule_place FROM p",
     "top3_per_file": f"WITH {_F} SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY {_ORDER}) AS INTEGER) AS place, severity, line, id FROM f QUALIFY place <= 3",
     "file_group_order": f"WITH {_F}, r AS (SELECT *, {_RANK} AS rank, row_number() OVER (PARTITION BY file ORDER BY {_ORDER}) AS p, count(*) OVER (PARTITION BY file) AS n FROM f) SELECT file, rank AS worst_rank, line AS first_line, id AS first_id, n FROM r WHERE p = 1",
     "next_actions_top10": f"WITH {_F}, r AS (SELECT id || ' in ' || file AS action, row_number() OVER (ORDER BY {_ORDER}) AS p FROM f), a AS (SELECT action, min(p) AS p FROM r GROUP BY action) SELECT CAST(row_number() OVER (ORDER BY p) AS INTEGER) AS place, action, greatest(count(*) OVER () - 10, 0) AS more FROM a QUALIFY place <= 10",
