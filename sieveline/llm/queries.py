@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import url_rules
+from sieveline.llm import sharding, url_rules
 from sieveline.llm.common import documents
 
 
@@ -91,5 +91,10 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op9_license_scan, op10_edit_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL}
+def op13_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard with one more."""
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op9_license_scan, op10_edit_fingerprints, op13_jump_sharding)}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL, "op13_jump_sharding": sharding.SQL}
