@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import filter_audit, sharding, url_rules
+from sieveline.llm import filter_audit, sharding, spelling, url_rules
 from sieveline.llm.common import documents
 
 
@@ -91,6 +91,11 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots."""
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove by source, under each order of them."""
     return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -101,5 +106,5 @@ def op13_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op9_license_scan, op10_edit_fingerprints, op12_filter_audit, op13_jump_sharding)}
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL, "op12_filter_audit": filter_audit.SQL, "op13_jump_sharding": sharding.SQL}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_hilbert_packing, op4_toxicity, op5_quality_rules, op6_minhash_near_dup, op7_language_id, op8_url_filter, op9_license_scan, op10_edit_fingerprints, op11_spelling_variants, op12_filter_audit, op13_jump_sharding)}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_rules.SQL, "op11_spelling_variants": spelling.SQL, "op12_filter_audit": filter_audit.SQL, "op13_jump_sharding": sharding.SQL}
