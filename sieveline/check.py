@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveline import datasets
 from sieveline.config import Config
 from sieveline.functions import text as fn
-from sieveline.operators import baseline, code, detect, identity, report, rules
+from sieveline.operators import baseline, code, detect, extraction, identity, report, rules
 from sieveline.sources import files as sources
 
 
@@ -34,8 +34,21 @@ class Context:
             df.unpersist()
 
 
-def scan(spark: SparkSession, root: str, pack: tuple[rules.Rule, ...] | None = None, **tables: DataFrame) -> Context:
-    """One walk and one parse of a tree. tables: cache, metadata, popular, local, tiers, surface, tracked, changed_ranges, added."""
+def extract_rows(spark: SparkSession, files: DataFrame, syntax: list[tuple[str, list[str], list[str], str]], folder: str | None = None) -> DataFrame:
+    """All rows of files; with a folder, contents that it knows for these rules are not parsed again. Rules look at paths, so what fits is part of the key."""
+    if folder is None:
+        return code.extract(files, syntax)
+    globs = sorted({g for _, _, patterns, _ in syntax for g in patterns})
+    fits = F.concat(F.lit(""), *(F.col("path").rlike(g).cast("string") for g in globs))
+    cache = extraction.ExtractionCache(spark, folder, extraction.version_of(code.SCHEMA, syntax))
+    return cache.extract(files, extraction.digest_of(F.col("lang"), F.col("text"), fits), lambda fresh: code.extract(fresh, syntax)).rows
+
+
+def scan(spark: SparkSession, root: str, pack: tuple[rules.Rule, ...] | None = None, extracted: str | None = None, **tables: DataFrame) -> Context:
+    """One walk and one parse of a tree. tables: cache, metadata, popular, local, tiers, surface, tracked, changed_ranges, added.
+
+    extracted: a folder that keeps extracted rows by content, so that later scans parse only what changed.
+    """
     found = sources.scan(spark, root)
     pack = rules.shipped() if pack is None else pack
     globs = [fn.glob_regex(m.file_glob) for r in pack for m in r.matchers if m.file_glob]
@@ -45,7 +58,7 @@ def scan(spark: SparkSession, root: str, pack: tuple[rules.Rule, ...] | None = N
     paths = found["files"].select("path").unionByName(found["other"].select("path"))
     known = detect.frameworks(declared, paths).head()  # one row of flags
     active = [n for n in rules.FRAMEWORKS if known[n]]
-    rows = code.extract(found["files"], rules.syntax_rules(pack, active)).persist()
+    rows = extract_rows(spark, found["files"], rules.syntax_rules(pack, active), extracted).persist()
     keys = sources.keys_of(texts.where(F.col("path").isin(*detect.ENV_EXAMPLES)))
     return Context(found["files"], texts, found["skipped"], rows, declared, active, pack, keys, tables)
 

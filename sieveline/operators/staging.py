@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast.
@@ -29,3 +32,20 @@ def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, if it has fewer; large tables have more and stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system its scheme names."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; without that setting one of this machine, in local mode alone."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="sieveline-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import snapshots
+from sieveline.operators import extraction, snapshots
+from sieveline.operators.staging import shared_folder
+from sieveline.operators.store import SnapshotStore
 
 
 def _tree(spark, sf_dir, left_out: int, changed: int):
@@ -55,12 +57,66 @@ def cache_ttl_lookup(spark, sf_dir):
     return snapshots.lookup(names, newest, 10_000, 4000).select("name", "existence")
 
 
-QUERIES = {f.__name__: f for f in (snapshot_diff, snapshot_list_prev_diff, retention_prune, next_snapshot_id, cache_newest_wins, cache_upsert, cache_ttl_lookup)}
+def _folders(spark, sf_dir, left_out: int, changed: int):
+    """Orders as files below folders of customers; some customers' orders change or go."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where((key % 10 != left_out) | (customer % 9 > 0))
+    path = F.concat_ws("/", (customer % 13).cast("string"), customer.cast("string"), key.cast("string"))
+    return orders.select(path.alias("path"), F.md5(F.concat_ws("|", "o_orderstatus", F.when((key % 7 == 0) & (customer % 11 == 0), changed).otherwise(0).cast("string"))).alias("hash"))
+
+
+def _stored(spark, sf_dir) -> SnapshotStore:
+    store = SnapshotStore(spark, shared_folder(spark, "store"))
+    for ts, tree in enumerate((_folders(spark, sf_dir, 0, 0), _folders(spark, sf_dir, 1, 1), _folders(spark, sf_dir, 1, 1))):
+        store.save(tree, ts=ts)
+    return store
+
+
+def store_diff(spark, sf_dir):
+    """Two stored snapshots compared from their tops down."""
+    return _stored(spark, sf_dir).diff(1, 2)
+
+
+def store_list(spark, sf_dir):
+    """Stored snapshots with their changes; the third tree is the second one again."""
+    return _stored(spark, sf_dir).listed().select("id", "ts", "n_files", "added", "deleted", "modified")
+
+
+def store_tree(spark, sf_dir):
+    return _stored(spark, sf_dir).tree(2)
+
+
+def incremental_lines(spark, sf_dir):
+    """License and token lines of documents, after a run over an earlier version of them, of which one in a hundred was otherwise; fresh: worked on now."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    before = docs.withColumn("text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit(" before"))).otherwise(F.col("text")))
+    lines = lambda files: files.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(F.col("value").rlike('License|token = "[0-9a-f]{40}"'))
+    cache = extraction.ExtractionCache(spark, shared_folder(spark, "extracted"), extraction.version_of("lines", 1))
+    key = extraction.digest_of(F.col("lang"), F.col("text"))
+    cache.extract(before, key, lines, "doc_id")
+    now = cache.extract(docs, key, lines, "doc_id")
+    fresh = docs.select("doc_id", key.alias("key")).join(now.fresh.withColumn("fresh", F.lit(True)), "key", "left").select("doc_id", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    return now.rows.join(fresh, "doc_id").select("doc_id", "line", "value", "fresh")
+
+
+QUERIES = {f.__name__: f for f in (store_diff, store_list, store_tree, incremental_lines, snapshot_diff, snapshot_list_prev_diff, retention_prune, next_snapshot_id, cache_newest_wins, cache_upsert, cache_ttl_lookup)}
 _C = "c AS (SELECT event_type AS ecosystem, CAST(user_id AS VARCHAR) AS name, CAST(event_id % 2 AS INTEGER) AS exists_flag, event_id AS fetched_at FROM events)"
 _NEW = "SELECT ecosystem, name, fetched_at, exists_flag FROM {0} QUALIFY row_number() OVER (PARTITION BY ecosystem, name ORDER BY fetched_at DESC, exists_flag DESC) = 1"
 _SIDE = "SELECT CAST(o_orderkey AS VARCHAR) AS path, md5(o_orderstatus || '|' || CASE WHEN o_orderkey % 7 = 0 THEN {1} ELSE 0 END) AS hash FROM orders WHERE o_orderkey % 10 <> {0}"
 _STATUS = "CASE WHEN a.hash IS NULL THEN 'A' WHEN b.hash IS NULL THEN 'D' WHEN a.hash <> b.hash THEN 'M' END"
+_PATH = "o_custkey % 13 || '/' || o_custkey || '/' || o_orderkey"
+_FILES = "SELECT " + _PATH + " AS path, md5(o_orderstatus || '|' || CASE WHEN o_orderkey % 7 = 0 AND o_custkey % 11 = 0 THEN {1} ELSE 0 END) AS hash FROM orders WHERE o_orderkey % 10 <> {0} OR o_custkey % 9 > 0"
+_STORED = f"SELECT coalesce(a.path, b.path) AS path, {_STATUS} AS status FROM ({_FILES.format(0, 0)}) a FULL OUTER JOIN ({_FILES.format(1, 1)}) b ON a.path = b.path WHERE status IS NOT NULL"
 ORACLE_SQL = {
+    "store_diff": _STORED,
+    "store_list": f"""WITH d AS ({_STORED}), n AS (SELECT (SELECT count(*) FROM ({_FILES.format(0, 0)})) AS a, (SELECT count(*) FROM ({_FILES.format(1, 1)})) AS b)
+      SELECT CAST(1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS ts, a AS n_files, a AS added, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS modified FROM n
+      UNION ALL SELECT 2, 1, b, (SELECT count(*) FROM d WHERE status = 'A'), (SELECT count(*) FROM d WHERE status = 'D'), (SELECT count(*) FROM d WHERE status = 'M') FROM n""",
+    "store_tree": _FILES.format(1, 1),
+    "incremental_lines": """WITH b AS (SELECT lang, CASE WHEN doc_id % 100 = 0 THEN text || ' before' ELSE text END AS text FROM documents),
+      f AS (SELECT doc_id, text, NOT EXISTS (SELECT 1 FROM b WHERE b.lang = d.lang AND b.text = d.text) AS fresh FROM documents d),
+      l AS (SELECT doc_id, fresh, string_split(text, chr(10)) AS v FROM f), u AS (SELECT doc_id, fresh, v, unnest(range(1, len(v) + 1)) AS i FROM l)
+      SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, v[i] AS value, fresh FROM u WHERE regexp_matches(v[i], 'License|token = "[0-9a-f]{40}"')""",
     "snapshot_diff": f"SELECT coalesce(a.path, b.path) AS path, {_STATUS} AS status FROM ({_SIDE.format(0, 0)}) a FULL OUTER JOIN ({_SIDE.format(1, 1)}) b ON a.path = b.path WHERE status IS NOT NULL",
     "snapshot_list_prev_diff": f"""WITH d AS (SELECT CAST(day(ts) AS INTEGER) AS id, CAST(user_id AS VARCHAR) AS path, max(event_type) AS hash FROM events GROUP BY ALL),
       i AS (SELECT id, lag(id) OVER (ORDER BY id) AS previous FROM (SELECT DISTINCT id FROM d)),
