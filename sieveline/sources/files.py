@@ -33,52 +33,64 @@ def _opened(root: str):
     return fs.FileSystem.from_uri(root.rstrip("/") if "://" in root else os.path.abspath(root))
 
 
-def _below(system, folder: str, base: str) -> Iterator[tuple[str, int]]:
-    """(path from the base, bytes) of the files below a folder; hidden and excluded folders and virtual environments are not entered."""
+def _wanted(name: str) -> bool:
+    """Whether a file of this name takes part: hidden ones do not, but for ignore and environment files."""
+    return not name.startswith(".") or name in IGNORE_FILES or bool(re.search(ENV_NAME.replace("\\z", "\\Z"), name))
+
+
+def walk_some(system, folders: list[str], base: str, most: int) -> tuple[list[tuple[str, int]], list[str]]:
+    """((path from the base, bytes) of files below folders, folders that are left) once `most` entries have been seen, or all are.
+
+    Hidden and excluded folders and virtual environments are not entered. One folder at least is listed, however many entries it has.
+    """
     from pyarrow import fs
 
-    todo = [folder]
-    while todo:
+    todo, files, seen = list(reversed(folders)), [], 0
+    while todo and seen < most:
         infos = system.get_file_info(fs.FileSelector(todo.pop()))
+        seen += len(infos)
         if any(i.base_name == MARKER for i in infos):
             continue
         for info in infos:
-            name = info.base_name
             if info.type == fs.FileType.Directory:
-                if name not in EXCLUDED and not name.startswith("."):
+                if info.base_name not in EXCLUDED and not info.base_name.startswith("."):
                     todo.append(info.path)
-            elif info.type == fs.FileType.File and (not name.startswith(".") or name in IGNORE_FILES or re.search(ENV_NAME.replace("\\z", "\\Z"), name)):
-                yield info.path[len(base) :].lstrip("/"), info.size
+            elif info.type == fs.FileType.File and _wanted(info.base_name):
+                files.append((info.path[len(base) :].lstrip("/"), info.size))
+    return files, todo
+
 
+#: Entries that the driver lists by itself, and those that a task lists before it hands its other folders on.
+DRIVER_ENTRIES, TASK_ENTRIES = 2_000, 20_000
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+
+def listing(spark: SparkSession, root: str, driver_entries: int = DRIVER_ENTRIES, task_entries: int = TASK_ENTRIES) -> DataFrame:
     """(path, n_bytes) of all files of a tree, without their contents: hidden ones, excluded folders, virtual environments and ignored paths left out.
 
-    The driver lists the top folder; each folder in it is walked by an executor.
+    A small tree is listed by the driver. Of a larger one the folders that are left are a frontier, dealt to all tasks in rounds: a task lists
+    folders until it has seen its share of entries, and what it has not entered is dealt out again, so one deep folder is shared like many.
     """
-    from pyarrow import fs
-
     system, base = _opened(root)
-    infos = system.get_file_info(fs.FileSelector(base))
-    if any(i.base_name == MARKER for i in infos):
-        infos = []
-    tops = [i.path for i in infos if i.type == fs.FileType.Directory and i.base_name not in EXCLUDED and not i.base_name.startswith(".")]
-    top_files = [(i.base_name, i.size) for i in infos if i.type == fs.FileType.File and (not i.base_name.startswith(".") or i.base_name in IGNORE_FILES or re.search(ENV_NAME.replace("\\z", "\\Z"), i.base_name))]
+    first, left = walk_some(system, [base], base, driver_entries)
+    seen = spark.createDataFrame(first, "path string, n_bytes long")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = _opened(root)
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                held = []
-                for found in _below(own, folder, start):
-                    held.append(found)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.int64())], names=["path", "n_bytes"])
-                        held = []
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.int64())], names=["path", "n_bytes"])
-
-    below = spark.createDataFrame([(t,) for t in tops], "folder string").repartition(max(1, len(tops))).mapInArrow(walk, "path string, n_bytes long")
-    seen = below.unionByName(spark.createDataFrame(top_files, "path string, n_bytes long"))
+        folders = [f for batch in batches for f in batch.column(0).to_pylist()]
+        if folders:
+            files, todo = walk_some(own, folders, start, task_entries)
+            for lo in range(0, len(files), 10_000):
+                part = files[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in part]), pa.array([f[1] for f in part], pa.int64()), pa.array([False] * len(part))], names=["path", "n_bytes", "is_folder"])
+            if todo:
+                yield pa.RecordBatch.from_arrays([pa.array(todo), pa.nulls(len(todo), pa.int64()), pa.array([True] * len(todo))], names=["path", "n_bytes", "is_folder"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(f,) for f in left], "folder string")
+    while not frontier.isEmpty():
+        step = staged(frontier.repartition(tasks).mapInArrow(walk, "path string, n_bytes long, is_folder boolean"))
+        seen = seen.unionByName(step.where("not is_folder").drop("is_folder"))
+        frontier = step.where("is_folder").select(F.col("path").alias("folder"))
     rules = ignore_rules(spark, root, seen.where(F.col("path").rlike(_named(IGNORE_FILES))))
     return without_ignored(seen, rules).where(~F.col("path").rlike(_named(IGNORE_FILES)))
 
