@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -485,37 +486,55 @@ def test_verification_bounds():
     assert least == sorted(least) and 0 < least[0] < 24 and least[-1] < 96
 
 
-def brute_groups(prints: dict) -> dict:
-    """Groups of fingerprints that share a band and are alike."""
-    places = np.random.default_rng(3).permutation(edit_prints.SLOTS)[: edit_prints.BANDS * edit_prints.WIDTH].reshape(edit_prints.BANDS, edit_prints.WIDTH)
+def brute_groups(prints):
+    """The smallest id of each document's group, by likeness alone."""
     parent = {i: i for i in prints}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-    for a, b in itertools.combinations(sorted(prints), 2):
-        same = prints[a] == prints[b]
-        if same[places].all(1).any() and edit_prints.likeness(prints[a][None], prints[b][None])[0] >= edit_prints.LIKE:
-            x, y = sorted((find(a), find(b)))
+    ids = sorted(prints)
+    own = np.stack([prints[i] for i in ids])
+    for k, a in enumerate(ids[:-1]):
+        for m in np.flatnonzero(edit_prints.likeness(own[k][None], own[k + 1 :]) >= edit_prints.LIKE):
+            x, y = sorted((find(a), find(ids[k + 1 + m])))
             parent[y] = x
-    return {i: find(i) for i in prints}
+    return {i: find(i) for i in ids}
+
+
+def together(groups):
+    by = collections.defaultdict(list)
+    for i, g in groups.items():
+        by[g].append(i)
+    return {p for members in by.values() for p in itertools.combinations(sorted(members), 2)}
 
 
-def test_near_groups_equal_brute_force(spark):
+def check_near_groups(docs):
+    """Groups join only what likeness joins, and at least 0.9 of it."""
+    got = edit_prints.fingerprint_documents(docs).collect()
+    prints = {r.doc_id: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for r in got if r.doc_id is not None}
+    found, want = together({r.doc_id: r.near_id for r in got if r.doc_id is not None}), together(brute_groups(prints))
+    assert found <= want and len(found) >= 0.9 * len(want) > 0, (len(found), len(want))
+    return got
+
+
+def test_near_groups_against_brute_force(spark):
     rng, rows = random.Random(21), edge_rows()[:-1]
     for g in range(25):
         text = prose(500 + g, 150)
         rows += [(100 + 10 * g + k, edited(text, rng.choice((0, 1, 4, 15, 40, 120)), rng), None, None, None) for k in range(10)]
     docs = spark.createDataFrame(rows + [(None, "x", None, None, None)], SCHEMA)
-    got = edit_prints.fingerprint_documents(docs.repartition(3)).collect()
-    prints = {r.doc_id: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for r in got if r.doc_id is not None}
-    want = brute_groups(prints)
-    assert {r.doc_id: r.near_id for r in got if r.doc_id is not None} == want and any(i != w for i, w in want.items())
+    got = check_near_groups(docs.repartition(3))
     assert [r.near_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_near_groups_of_the_tables(spark):
+    check_near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
 def test_near_groups_recall_by_edit_distance(spark):
     """Pairs of long texts a few edits apart are found; texts that have nothing to do with each other are not."""
     rng, rows = random.Random(22), []
