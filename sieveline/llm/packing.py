@@ -2,7 +2,7 @@
 
 A document is a vector of hashed byte trigrams; a random projection maps it to DIMS dimensions, and its place on the
 Hilbert curve through them is its sort key, so that documents of like content become neighbours. Key
-ranges of even document counts (equal keys are spread by a hash of the id) are dealt to partitions, and each partition
+ranges of even bytes (equal keys are spread by a hash of the id) are dealt to partitions, and each partition
 fills its sequences in curve order, cutting a document where a sequence is full. What a partition has left at its end,
 less than one sequence, is cut into sequences whose lengths are powers of two, which need no padding.
 
@@ -28,6 +28,8 @@ DIMS, BITS, BUCKETS = 4, 8, 256
 CAPACITY = 1024
 END = 0
 CHUNK = 2_000_000
+#: Fine ranges for each partition when its range is cut, and bytes that a document counts besides its text.
+FINE, PER_DOCUMENT = 16, 32
 PROJECTION = np.random.default_rng(1024).normal(0, 1, (BUCKETS, DIMS))
 #: Fixed value: how byte-level BPE of this kind splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -180,6 +182,34 @@ class Packer:
             self._close()
 
 
+def even_cuts(sized: DataFrame, n: int) -> np.ndarray:
+    """The upper bounds, but for the last, of n ranges of keys that are about even in the sum of sizes; sized: (k, size).
+
+    FINE ranges of even row counts for each of them are weighed first, and whole ones are put together.
+    """
+    if n < 2:
+        return np.zeros(0, np.int64)
+    fine = sized.select(F.percentile_approx("k", [i / (FINE * n) for i in range(1, FINE * n)], 8 * FINE * n)).head()[0]
+    fine = np.unique(np.array(fine or [], np.int64))
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = np.searchsorted(fine, batch.column("k").to_numpy(), "left")
+            sums = np.bincount(where, batch.column("size").to_numpy(), len(fine) + 1)
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used].astype(np.int64))], names=["bin", "size"])
+
+    sizes = np.zeros(len(fine) + 1)
+    for r in sized.mapInArrow(bins, "bin int, size long").groupBy("bin").agg(F.sum("size").alias("size")).collect():  # a row for each fine range
+        sizes[r["bin"]] = r["size"]
+    total = np.cumsum(sizes)
+    goals = total[-1] * np.arange(1, n) / n
+    at = np.searchsorted(total, goals, "left")
+    before = np.concatenate([[0.0], total])[at]
+    at = at - (goals - before < total[at] - goals)  # the nearer end of the fine range that holds the goal
+    return np.unique(fine[np.clip(at, 0, len(fine) - 1)]) if len(fine) else fine
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, group: str | None = None) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids][, group]) of every piece of every document.
 
@@ -195,19 +225,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         for batch in batches:
             for lo, hi, data, at in text_chunks(batch.column(1), CHUNK):
                 found = project(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[:, d]) for d in range(DIMS))], names=["h", *z])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *(pa.array(found[:, d]) for d in range(DIMS))], names=["h", "size", *z])
 
-    drawn = staged(rows.select("h", text).mapInArrow(points, "h long, " + ", ".join(f"{c} double" for c in z)), "points")
+    sized = rows.select("h", text, (F.coalesce(F.octet_length(text), F.lit(0)) + PER_DOCUMENT).cast("long").alias("size"))
+    drawn = staged(sized.mapInArrow(points, "h long, size long, " + ", ".join(f"{c} double" for c in z)), "points")
     stats = drawn.select(*(F.avg(c) for c in z), *(F.stddev_pop(c) for c in z)).head()
     middle, spread = (np.array([v or 0.0 for v in part]) for part in (stats[:DIMS], stats[DIMS:]))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.stack([batch.column(c).to_numpy() for c in z], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(found, middle, spread, batch.column("h").to_numpy()))], names=["k"])
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(found, middle, spread, batch.column("h").to_numpy())), batch.column("size")], names=["k", "size"])
 
-    cuts = drawn.mapInArrow(keys, "k long").select(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts = even_cuts(drawn.mapInArrow(keys, "k long, size long"), n)
 
     own_names = ["own group"] * len(own)
 

@@ -186,6 +186,19 @@ def test_difference_cover():
     assert suffix_dedup.AHEAD.max() <= 8  # one word reaches the next sample position
 
 
+def test_ranges_are_even_in_bytes(spark):
+    rng = np.random.default_rng(4)
+    k = rng.integers(0, 1 << 40, 20_000)
+    size = np.where(k < 1 << 37, 4000, 40) + rng.integers(0, 400, len(k))
+    df = spark.createDataFrame(list(zip(k.tolist(), size.tolist())), "k long, size long").repartition(5)
+    for n in (2, 51):
+        cuts = packing.even_cuts(df, n)
+        sums = np.bincount(np.searchsorted(cuts, k, "left"), size, n)
+        assert len(cuts) == n - 1 and sums.max() < 1.25 * np.median(sums)
+    assert len(packing.even_cuts(df, 1)) == 0 and len(packing.even_cuts(df.limit(0), 4)) == 0
+    assert len(packing.even_cuts(df.where(f"k = {k[0]}"), 4)) <= 1
+
+
 def test_packing_is_whole(edge):
     from tokenizers import Tokenizer
 
