@@ -17,7 +17,7 @@ the strings' hashes, so that no shard gets all of them. Ranges to
 remove come back to the blocks, which are bucketed so that their text is never shuffled.
 
 Defined results: null and empty texts have no bytes and lose none; whole texts are judged; equal keys are one document;
-keys are long or int; null keys come after all others and lose nothing to each other; an empty table gives an empty table; other columns pass through.
+keys are long or int, but not both the least and the greatest long in one table; null keys come after all others and lose nothing to each other; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -45,6 +45,11 @@ BLOCK = 1_000_000
 BUCKET = 2_000_000
 #: An anchor with more than MANY bytes of different slices in more than HOT blocks is dealt out by its strings.
 MANY, HOT = 1000, 256
+#: So is one in more than WIDE blocks, however little each has of it.
+WIDE = 1 << 14
+#: Bytes of texts for each shard, at the most; the memory of a task follows it and not the number of partitions.
+SHARD = 16_000_000
+#: What stands for a null key among keys; a table that has it as a key is worked on with its keys less one.
 LAST = (1 << 63) - 1
 
 
@@ -285,8 +290,8 @@ def _ranges(flags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[first], at[last] + WIDTH
 
 
-def stored_blocks(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, int]:
-    """The documents as blocks, in a table bucketed by `part`: (part, block, keys, ends, data, rest)."""
+def stored_blocks(docs: DataFrame, key: str, text: str, size: int, less: int = 0) -> tuple[DataFrame, int]:
+    """The documents as blocks, in a table bucketed by `part`: (part, block, keys, ends, data, rest, size); keys are lowered by `less`."""
     spark = docs.sparkSession
     n = width(spark)
     names = [c for c in docs.columns if c not in (key, text)]
@@ -311,7 +316,7 @@ def stored_blocks(docs: DataFrame, key: str, text: str, size: int) -> tuple[Data
                     writer.write_table(rest)
             used += len(data)
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([(task << 24) + made]), pa.array([keys.tobytes()]), pa.array([np.cumsum(sizes).tobytes()]), pa.array([data], pa.binary()), pa.array([sink.getvalue().to_pybytes() if names else b""])], names=["part", "block", "keys", "ends", "data", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([(task << 24) + made]), pa.array([keys.tobytes()]), pa.array([np.cumsum(sizes).tobytes()]), pa.array([data], pa.binary()), pa.array([sink.getvalue().to_pybytes() if names else b""]), pa.array([len(data)])], names=["part", "block", "keys", "ends", "data", "rest", "size"])
 
         for batch in batches:
             keys = batch.column("own key").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -325,8 +330,8 @@ def stored_blocks(docs: DataFrame, key: str, text: str, size: int) -> tuple[Data
         if held:
             yield full()
 
-    rows = docs.select(F.col(key).cast("long").alias("own key"), F.col(text).alias("own text"), F.isnull(text).alias("c0"), *(F.col(c).alias(f"c{i + 1}") for i, c in enumerate(names)))
-    blocks = rows.mapInArrow(gather, "part long, block long, keys binary, ends binary, data binary, rest binary")
+    rows = docs.select((F.col(key).cast("long") - less).alias("own key"), F.col(text).alias("own text"), F.isnull(text).alias("c0"), *(F.col(c).alias(f"c{i + 1}") for i, c in enumerate(names)))
+    blocks = rows.mapInArrow(gather, "part long, block long, keys binary, ends binary, data binary, rest binary, size long")
     table = f"sieveline_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{table}"
     note_table(table, path)
@@ -345,6 +350,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _shift(docs: DataFrame, key: str) -> int:
+    """1 if some key is the one that stands for null, else 0."""
+    if docs.schema[key].dataType.simpleString() != "bigint":
+        return 0
+    low, high = docs.agg(F.min(key), F.max(key)).head()
+    if high != LAST:
+        return 0
+    if low == -LAST - 1:
+        raise ValueError(f"{key}: the least and the greatest long cannot both be keys")
+    return 1
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", result: str = "bytes", block: int = BLOCK) -> DataFrame:
     """Every document with what is left of it: its columns with `kept` in place of the text, and the counts.
 
@@ -355,10 +372,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
     if kind is None:
         raise ValueError(f"{key}: keys must be long or int")
     spark = docs.sparkSession
-    blocks, n = stored_blocks(docs, key, text, block)
-    shards = 4 * n  # smaller than partitions, as a shard is held in memory at once
+    less = _shift(docs, key)
+    blocks, n = stored_blocks(docs, key, text, block, less)
+    stored = blocks.agg(F.sum("size")).head()[0] or 0
+    shards = max(4 * n, -(-stored // SHARD))  # smaller than partitions, as a shard is held in memory at once
     edges = (np.arange(1, shards, dtype=np.float64) / shards * 2.0**48).astype(np.uint64)
-    many_bytes, hot_blocks = MANY, HOT
+    many_bytes, hot_blocks, wide_blocks = MANY, HOT, WIDE
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -398,9 +417,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
             hit[:-1] |= same
             flags, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             flags[by] = hit
-            if many.any():
+            if len(h):
                 run = np.cumsum(np.append(True, ~same)) - 1
-                hot[by] = (np.bincount(run, weights=many[by]) > hot_blocks)[run]
+                hot[by] = ((np.bincount(run, weights=many[by]) > hot_blocks) | (np.bincount(run) > wide_blocks))[run]
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([group.column("part").combine_chunks(), group.column("block").combine_chunks(), group.column("shard").combine_chunks(), *(pa.array([np.packbits(x[e - c : e]).tobytes() for e, c in zip(ends, sizes)]) for x in (flags, hot)), pa.array(sizes)], names=["part", "block", "shard", "bits", "hot", "n"])
 
@@ -512,7 +531,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
             begins[inner] = covered[inner]
             total, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (covered, begins))
             rest_of = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(at, at[1:])]
-            made = {key: pa.array(keys, kind, mask=keys == LAST), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64())}
+            made = {key: pa.array(np.where(keys == LAST, keys, keys + less), kind, mask=keys == LAST), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64())}
             if result == "digest":
                 made[last.name] = pa.array([hashlib.sha256(x).hexdigest() for x in rest_of])
             elif result == "text":

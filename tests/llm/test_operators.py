@@ -180,6 +180,28 @@ def test_anchors_of_many_strings_are_dealt_out(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
 
 
+def test_the_greatest_key_is_no_null(spark):
+    passage, top = prose(3, 12), (1 << 63) - 1
+    rows = [(top, passage), (top - 1, prose(1, 3) + passage), (-5, prose(2, 3)), (None, passage), (None, prose(4, 9))]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = {i: len(t.encode()) for i, t in rows[:3]}
+    n = len(passage)
+    assert got == {(top, n): n, (top - 1, size[top - 1]): 0, (-5, size[-5]): 0, (None, n): n, (None, len(rows[4][1])): 0}
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(top, "a"), (-top - 1, "b")], "doc_id long, text string"))
+
+
+def test_shards_follow_stored_bytes_and_wide_anchors_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = [prose(s, 9) for s in range(3)]
+    rows = [(i, prose(i, rng.randint(0, 4)) + rng.choice(shared), "en", "s", 1) for i in range(40)]
+    want = brute_repeats(rows)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 100)
+    monkeypatch.setattr(suffix_dedup, "WIDE", 2)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), block=500).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
 def test_difference_cover():
     cover = suffix_dedup.COVER.tolist()
     assert {(a - b) % suffix_dedup.V for a in cover for b in cover} == set(range(suffix_dedup.V))
