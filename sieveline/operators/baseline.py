@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import valid_token
+from sieveline.operators.blooms import anti_join, semi_join
 
 
 def kept(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    return findings.join(baseline.select("fingerprint"), "fingerprint", "left_anti")
+    return anti_join(findings, baseline, ["fingerprint"])
 
 
 def suppressed(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    return findings.join(baseline.select("fingerprint"), "fingerprint", "left_semi")
+    return semi_join(findings, baseline, ["fingerprint"])
 
 
 def stale(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Baseline tokens that no finding has any more."""
-    return baseline.select("fingerprint").distinct().join(findings.select("fingerprint"), "fingerprint", "left_anti")
+    return anti_join(baseline.select("fingerprint").distinct(), findings, ["fingerprint"])
 
 
 def without_twins(findings: DataFrame, other: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.blooms import left_join
+
 
 def tree_diff(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     """(keys, path, status) of paths added, deleted or modified between two trees of (keys, path, hash)."""
@@ -59,7 +61,7 @@ def lookup(names: DataFrame, cache: DataFrame, now: int, ttl: int) -> DataFrame:
     """names with what the cache knows: exists, missing, or inconclusive if it has no row or an old one."""
     live = F.when(F.lit(now) - F.col("fetched_at") <= ttl, F.col("exists_flag"))
     verdict = F.when(live == 1, "exists").when(live == 0, "missing").otherwise("inconclusive")
-    return names.join(cache, ["ecosystem", "name"], "left").withColumn("existence", verdict)
+    return left_join(names, cache, ["ecosystem", "name"]).withColumn("existence", verdict)
 
 
 def snapshot_if_changed(trees: DataFrame, fresh: DataFrame) -> DataFrame:
