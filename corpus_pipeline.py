@@ -21,6 +21,7 @@ from sieveline.llm.packing import pack_documents
 from sieveline.llm.quality import judge_quality
 from sieveline.llm.queries import tokenizer
 from sieveline.llm.suffix_dedup import remove_repeats
+from sieveline.operators.blooms import anti_join, semi_join
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -55,10 +56,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without words are in no group; rows without a doc_id have no place in a group and stay.
     """
     plain, back = _named(docs)
-    first = near_duplicates(plain.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").hint("merge")
-    rows = plain.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    gone = near_duplicates(plain.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id")
+    left = anti_join(plain, gone, ["doc_id"])  # the texts of most rows that stay are not shuffled
+    again = staged(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rows = semi_join(left, again, ["doc_id"])
     one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in plain.columns)), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return one.unionByName(plain.where("doc_id is null")).select(*back)
+    return anti_join(left, again, ["doc_id"]).select(*plain.columns).unionByName(one).select(*back)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
