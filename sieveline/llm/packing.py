@@ -237,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             found = np.stack([batch.column(c).to_numpy() for c in z], 1)
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(found, middle, spread, batch.column("h").to_numpy())), batch.column("size")], names=["k", "size"])
 
-    cuts = even_cuts(drawn.mapInArrow(keys, "k long, size long"), n)
+    cuts = even_cuts(staged(drawn.mapInArrow(keys, "k long, size long"), "keys"), n)  # staged, as a task with two Python steps holds two workers
 
     own_names = ["own group"] * len(own)
 
