@@ -14,6 +14,7 @@ from sieveline.functions import text as fn
 from sieveline.functions.paths import resolve_dotted, resolve_relative
 from sieveline.operators import packages, references, similarity, snapshots
 from sieveline.operators.code import LEAST_TOKENS
+from sieveline.operators.substrings import contained
 from sieveline.schema import as_findings
 
 #: Paths of tests.
@@ -195,12 +196,10 @@ def duplicate_helpers(functions: DataFrame, ranges: DataFrame, least: float = si
 def named_in_strings(names: DataFrame, literals: DataFrame) -> DataFrame:
     """names (name) that stand within a string literal (value), as part of a word or as one.
 
-    A name can only lie within a run of word characters; names and runs meet by the name's first three characters.
+    A name can only lie within a run of word characters; names meet runs by their rarest gram.
     """
     runs = literals.select(F.explode(F.regexp_extract_all("value", F.lit(r"[\w$]+"), 0)).alias("run")).distinct()
-    grams = runs.select("run", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(1))), lambda i: F.substring("run", i, n)))))).alias("gram"))
-    keyed = names.select("name", F.substring("name", 1, 3).alias("gram")).distinct()
-    return keyed.join(grams, "gram").where(F.contains("run", F.col("name"))).select("name").distinct()
+    return contained(names, runs, text="run")
 
 
 def dead_code(rows: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def model_findings(spark, sf_dir):
 def dead_code_findings(spark, sf_dir):
     """Words of the benchmark as identifiers: each is declared once and used as often as it stands there; turns of conversations are string literals."""
     words = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    texts = _t(spark, sf_dir, "conversations").where("turn = 0").select("text")
+    texts = _t(spark, sf_dir, "conversations").select("text")
     none, one = F.lit(None).cast("string"), F.lit(1)
     shape = lambda df, kind, name, value: df.select(F.lit("src/a.js").alias("path"), F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), F.lit("function_declaration").alias("detail"), one.alias("line"), one.alias("col"), one.alias("end_line"))
     rows = shape(words, "declaration", F.col("name"), none).unionByName(shape(words, "ident", F.col("name"), F.col("n").cast("string"))).unionByName(shape(texts, "string", none, F.lower("text")))
@@ -114,6 +114,13 @@ def dead_code_findings(spark, sf_dir):
     return detect.dead_code(rows, ranges).select("id", "file", F.regexp_extract("message", "'(.*)'", 1).alias("name"))
 
 
+def names_in_strings(spark, sf_dir):
+    """Words of conversations, and what is left of them without their first letter, that stand within words of documents."""
+    words = _t(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    names = words.select(F.explode(F.array("word", F.substring("word", 2, 40))).alias("name"))
+    return detect.named_in_strings(names, _t(spark, sf_dir, "documents").select(F.lower("text").alias("value")))
+
+
 def duplicate_helper_findings(spark, sf_dir):
     """Documents as functions whose tokens are their words; every other source is a test, and half of the documents are added."""
     tokens = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " ")
@@ -259,7 +266,7 @@ def diff_added_ranges(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_answers, registry_metadata, diff_files, diff_added_ranges, secret_shapes, package_findings, typosquat_findings, phantom_import_findings, builtin_modules, api_findings, model_findings, dead_code_findings, duplicate_helper_findings, orphan_file_findings, env_findings, blocking_findings,
+        registry_answers, registry_metadata, diff_files, diff_added_ranges, secret_shapes, package_findings, typosquat_findings, phantom_import_findings, builtin_modules, api_findings, model_findings, dead_code_findings, names_in_strings, duplicate_helper_findings, orphan_file_findings, env_findings, blocking_findings,
         report_gate, agent_report, terminal_report, whole_report, suppressed_tokens, plan_without_suppressed, since_snapshot, name_status_records, restore_actions, unchanged_trees, corpus_metrics, free_env_key_plan,
     )
 }
@@ -306,7 +313,9 @@ ORACLE_SQL = {
       SELECT 'f' || o AS file, n AS line, CASE WHEN s % 4 = 0 THEN 'high' ELSE 'info' END AS severity, CASE WHEN s % 4 = 0 THEN 'high' ELSE 'medium' END AS confidence, 's' || s || '.m' || p AS seed_text FROM m WHERE s % 4 < 2
       UNION ALL SELECT 'f' || o, n, 'info', 'low', 's' || s FROM m WHERE s % 4 >= 2 QUALIFY row_number() OVER (PARTITION BY s ORDER BY o, n) = 1""",
     "model_findings": "SELECT CAST(o_orderkey AS VARCHAR) AS file, CAST(o_custkey AS INTEGER) AS line, 'real/unknown-model-string' AS id, 'gtp-5' AS seed_text FROM orders WHERE o_orderkey % 6 = 1 AND o_orderstatus = 'F'",
-    "dead_code_findings": "WITH w AS (SELECT name FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark) GROUP BY name HAVING count(*) = 1) SELECT 'review/dead-code-introduced' AS id, 'src/a.js' AS file, name FROM w WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE turn = 0 AND contains(lower(text), name))",
+    "dead_code_findings": "WITH w AS (SELECT name FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark) GROUP BY name HAVING count(*) = 1) SELECT 'review/dead-code-introduced' AS id, 'src/a.js' AS file, name FROM w WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE contains(lower(text), name))",
+    "names_in_strings": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), n AS (SELECT word AS name FROM w UNION SELECT substr(word, 2, 40) FROM w WHERE length(word) > 1),
+      r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_$]+')) AS run FROM documents) SELECT name FROM n WHERE EXISTS (SELECT 1 FROM r WHERE contains(run, name))""",
     "duplicate_helper_findings": f"""WITH f AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'a/tests/' ELSE 'src/' END || doc_id || '.py' AS path, doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE length(text) < 3000),
       h AS (SELECT path, doc_id, list_distinct(list_transform(list_transform(range(1, len(w) - 3), lambda i: {_HASH}), lambda x: {_LE})) AS h FROM f WHERE len(w) >= 25 AND NOT contains(path, '/tests/')),
       k AS (SELECT *, list_slice(list_sort(h), 1, 4) AS k FROM h), m AS (SELECT path, unnest(k) AS x FROM k), b AS (SELECT x FROM m GROUP BY x HAVING count(*) BETWEEN 2 AND 64),
