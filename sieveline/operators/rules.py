@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import glob_regex
+from sieveline.operators import literals
 from sieveline.schema import CONFIDENCES, SEVERITIES, as_findings
 from sieveline.syntax.query import Query, QueryError
 
@@ -166,9 +167,23 @@ def gate(files: DataFrame, pack: DataFrame, frameworks: list[str]) -> DataFrame:
     return files.join(F.broadcast(pack), _fits(frameworks), "inner")
 
 
+#: Patterns from which on a pass for their required strings comes first.
+MANY_PATTERNS = 8
+
+
+def _may_match(files: DataFrame, pack: DataFrame, fits) -> DataFrame:
+    """files with the text rules that apply and may match. Of many patterns, one pass over a text says which; of few, all may."""
+    own = pack.collect()  # a pack is written by people
+    if len(own) < MANY_PATTERNS:
+        return files.join(F.broadcast(pack), fits, "inner")
+    indexed = files.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(own)], "candidate int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pack.schema.fields))
+    may = literals.candidates(files, [r["text_pattern"] for r in own]).select("*", F.explode("candidates").alias("candidate")).drop("candidates")
+    return may.join(F.broadcast(indexed), "candidate").where(fits).drop("candidate")
+
+
 def text_hits(files: DataFrame, pack: DataFrame, frameworks: list[str]) -> DataFrame:
     """Files with the text rules that match them, one row for each."""
-    return gate(files, pack.where("text_pattern <> ''"), frameworks).where(F.regexp_like("text", F.col("text_pattern")))
+    return _may_match(files, pack.where("text_pattern <> ''"), _fits(frameworks)).where(F.regexp_like("text", F.col("text_pattern")))
 
 
 def whole_file_hits(files: DataFrame, pack: DataFrame, frameworks: list[str]) -> DataFrame:
@@ -179,7 +194,7 @@ def whole_file_hits(files: DataFrame, pack: DataFrame, frameworks: list[str]) ->
         & ((F.size("frameworks") == 0) | F.arrays_overlap("frameworks", detected))
         & ((F.size("globs") == 0) | F.exists("globs", lambda g: F.regexp_like(F.col("path"), g)))
     )
-    hits = files.join(F.broadcast(pack.where("text_pattern <> '' and file_glob <> ''")), fits, "inner")  # a pack is written by people
+    hits = _may_match(files, pack.where("text_pattern <> '' and file_glob <> ''"), fits)
     return hits.where(F.regexp_like("text", F.col("text_pattern"))).dropDuplicates(["path", "rule_id"])
 
 

@@ -151,11 +151,21 @@ def declared_stack(spark, sf_dir):
     return rewrites.stack_of(declared)
 
 
+def many_pattern_hits(spark, sf_dir):
+    """Neighbouring words of the benchmark as text rules, hundreds of them, over documents: how many each one matches, and the first."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0).alias("w"))
+    pairs = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], '[ ]', w[i]))")).alias("p")).distinct()
+    pack = tuple(rules.Rule(f"pair/{r.p.replace('[ ]', '-')}", "low", text_pattern=r.p) for r in pairs.orderBy("p").collect())  # a pack is held by the driver
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.lit("a").alias("path"), "text")
+    hits = rules.text_hits(files, rules.pack_frame(spark, pack), [])
+    return hits.groupBy(F.col("rule_id").alias("rule")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pep503_names, typosquat_near_names, typosquat_reasons, resolution_cascade, phantom_refs, undeclared_refs, candidate_names, first_import_site, orphan_keys, dead_names,
-        usage_surface_miss, miss_rollup, introduced_lines, rule_gating_matrix, text_rule_hits, glob_filter,
+        usage_surface_miss, miss_rollup, introduced_lines, rule_gating_matrix, text_rule_hits, many_pattern_hits, glob_filter,
         relative_imports, free_env_keys, span_rewrites, resolve_snapshot_ids, declared_stack,
     )
 }
@@ -185,6 +195,8 @@ ORACLE_SQL = {
     "miss_rollup": f"WITH {_U}, r AS (SELECT *, count(*) OVER (PARTITION BY package, tier) AS n, row_number() OVER (PARTITION BY package, tier ORDER BY l_orderkey, l_linenumber) AS p FROM u) SELECT package, tier, n, l_orderkey AS first_l_orderkey, l_linenumber AS first_l_linenumber FROM r WHERE p = 1",
     "introduced_lines": "WITH h AS (SELECT l_suppkey % 20 AS path, CAST(trunc(l_extendedprice / 100) AS INTEGER) AS line, l_orderkey, l_linenumber FROM lineitem) SELECT path, line, l_orderkey, l_linenumber FROM h WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 20 = path AND line BETWEEN p_partkey AND p_partkey + 30)",
     "rule_gating_matrix": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM d WHERE {g}" for r, _, g, _ in _GATES),
+    "many_pattern_hits": """WITH w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM w)
+      SELECT 'pair/' || replace(p, ' ', '-') AS rule, count(*) AS n, min(doc_id) AS first FROM p JOIN documents ON contains(text, p) GROUP BY p""",
     "text_rule_hits": f"WITH d AS (SELECT doc_id, lang, {_PATH} AS path, text FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity FROM d WHERE {g} AND regexp_matches(text, '{t}')" for r, s, g, t in _GATES),
     "relative_imports": "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'a/b' || l_suppkey || '/x/p' || l_partkey WHEN 1 THEN 'a/x/p' || l_partkey WHEN 2 THEN 'x/p' || l_partkey END AS path FROM lineitem",
     "span_rewrites": "WITH s AS (SELECT item_id, text, length(regexp_extract(text, '^([A-Za-z]{0,4})', 1)) AS n FROM benchmark) SELECT item_id AS path, 'WORD' || substr(text, n + 1, 5 - n) || '<>' || substr(text, 11) AS text, false AS stale FROM s",
