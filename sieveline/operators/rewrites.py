@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import dotenv_quote, env_key
+from sieveline.operators.free_names import numbers
 
 
 def apply_spans(texts: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:
@@ -39,8 +39,8 @@ def accessor(lang: Column, key: Column) -> Column:
 def free_keys(rows: DataFrame, base: str, order: list[str], taken: list[str] = ()) -> DataFrame:
     """rows with `key`: each base name in order, or the first of _2, _3, .. that is free of earlier keys and of those taken.
 
-    A base of which no suffixed form is another base or taken only needs its rows numbered. The others are dealt in order
-    within families (names that agree but for number suffixes), which are the only ones that can collide.
+    A base of which no suffixed form is another base or taken only needs its rows numbered. The others, of families (names that agree but for
+    number suffixes) with several bases, are numbered as free_names says.
     """
     named = rows.withColumn("family", F.regexp_replace(base, r"(_\d+)+\z", ""))
     used = list(taken)
@@ -50,24 +50,8 @@ def free_keys(rows: DataFrame, base: str, order: list[str], taken: list[str] = (
     w = Window.partitionBy(base).orderBy(*order)
     free = named.join(tight, "family", "left_anti").withColumn("own number", F.row_number().over(w))
     plain = free.withColumn("key", F.when(F.col("own number") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), F.col("own number").cast("string")))).select(*rows.columns, "key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", key string"
-    names = [f.name for f in rows.schema.fields]
-
-    def deal(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        seen, last, keys = set(used), {}, []
-        for name in group[base]:
-            n = last.get(name, 0) + 1  # earlier numbers of this name are used up
-            key = name if n == 1 else f"{name}_{n}"
-            while key in seen:
-                n += 1
-                key = f"{name}_{n}"
-            last[name] = n
-            seen.add(key)
-            keys.append(key)
-        return group[names].assign(key=keys)
-
-    return plain.unionByName(named.join(tight, "family", "left_semi").groupBy("family").applyInPandas(deal, schema))
+    dealt = numbers(named.join(tight, "family", "left_semi").select(*rows.columns), base, order, used)
+    return plain.unionByName(dealt.withColumn("key", F.when(F.col("number") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), F.col("number").cast("string")))).drop("number"))
 
 
 def env_plan(secrets: DataFrame, present: list[str] = ()) -> DataFrame:
