@@ -12,6 +12,7 @@ from sieveline.config import Config
 from sieveline.functions import text as fn
 from sieveline.operators import baseline, code, detect, extraction, identity, report, rules
 from sieveline.sources import files as sources
+from sieveline.sources import installed, readers, surfaces
 
 
 @dataclass
@@ -27,6 +28,8 @@ class Context:
     pack: tuple[rules.Rule, ...]
     keys: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    root: str = ""
+    aliases: tuple[str, ...] = ()
 
     def release(self) -> None:
         """Gives the extracted rows back; a result that was not written yet is then computed anew."""
@@ -53,14 +56,15 @@ def scan(spark: SparkSession, root: str, pack: tuple[rules.Rule, ...] | None = N
     pack = rules.shipped() if pack is None else pack
     globs = [fn.glob_regex(m.file_glob) for r in pack for m in r.matchers if m.file_glob]
     names = [rf"\A{n.replace('.', chr(92) + '.')}\z" for n in detect.ENV_EXAMPLES]
-    texts = sources.read_texts(spark, root, "|".join([sources.manifest_pattern(), *names, *globs])).persist()  # what nothing asks for stays unread
+    texts = sources.read_texts(spark, root, "|".join([sources.manifest_pattern(), sources.SETTINGS, *names, *globs])).persist()  # what nothing asks for stays unread
+    texts = sources.followed(spark, root, texts)
     declared = sources.declared(texts).persist()
     paths = found["files"].select("path").unionByName(found["other"].select("path"))
     known = detect.frameworks(declared, paths).head()  # one row of flags
     active = [n for n in rules.FRAMEWORKS if known[n]]
     rows = extract_rows(spark, found["files"], rules.syntax_rules(pack, active), extracted).persist()
     keys = sources.keys_of(texts.where(F.col("path").isin(*detect.ENV_EXAMPLES)))
-    return Context(found["files"], texts, found["skipped"], rows, declared, active, pack, keys, tables)
+    return Context(found["files"], texts, found["skipped"], rows, declared, active, pack, keys, tables | {"paths": paths}, root, sources.alias_prefixes(texts, found["files"]))
 
 
 def imports_of(rows: DataFrame) -> DataFrame:
@@ -78,8 +82,8 @@ def local_modules(files: DataFrame) -> DataFrame:
 def real(spark: SparkSession, context: Context, now: int = 0, settings: Config | None = None, scope: tuple[str, ...] = ("deps", "apis", "models")) -> DataFrame:
     """Findings about packages, APIs and models."""
     settings = settings or Config()
-    imports = detect.resolve_imports(imports_of(context.rows), context.declared, local_modules(context.files), datasets.builtins(spark), datasets.import_aliases(spark))
-    legs = []
+    imports = detect.resolve_imports(imports_of(context.rows), context.declared, local_modules(context.files), datasets.builtins(spark), datasets.import_aliases(spark), context.aliases)
+    legs = [detect.unsupported_stacks(detect.foreign_stack(context.tables["paths"], context.declared))] if "paths" in context.tables else []
     if "deps" in scope:
         legs.append(detect.phantom_imports(imports.where("name <> ''")))
         t = context.tables
@@ -88,9 +92,13 @@ def real(spark: SparkSession, context: Context, now: int = 0, settings: Config |
             popular = t.get("popular", spark.createDataFrame([], "ecosystem string, name string, pos long"))
             verdicts = detect.package_verdicts(context.declared, imports, t["cache"], t.get("metadata", empty), popular, now, settings.real.typosquat_sensitivity)
             legs += [detect.nonexistent_packages(verdicts), detect.typosquats(verdicts)]
-    if "apis" in scope and settings.real.check_apis and "tiers" in context.tables:
+    if "apis" in scope and settings.real.check_apis:
         usages = context.rows.where("kind = 'usage'").select(F.when(F.col("lang") == "python", "pypi").otherwise("npm").alias("ecosystem"), F.col("name").alias("package"), F.col("detail").alias("subpath"), F.col("value").alias("member"), "path", "line", F.struct("path", "line", "col").alias("seq"))
-        legs.append(detect.nonexistent_apis(usages, context.declared, context.tables["tiers"], context.tables["surface"]))
+        if "tiers" in context.tables:
+            legs.append(detect.nonexistent_apis(usages, context.declared, context.tables["tiers"], context.tables["surface"]))
+        elif context.root and any(installed.folders(context.root)):
+            tiers, members = surfaces.surfaces(installed.installed_files(spark, context.root, usages).persist())
+            legs.append(detect.nonexistent_apis(usages, context.declared, tiers, members))
     if "models" in scope:
         legs.append(detect.unknown_models(context.rows.where("kind = 'assignment'")))
     return _union(legs)
@@ -140,13 +148,16 @@ def ship(spark: SparkSession, context: Context) -> DataFrame:
     return _union([code.rule_findings(context.rows, rules.pack_frame(spark, shown)), detect.undeclared_env(context.rows, context.keys), detect.blocking(audit(spark, context))])
 
 
-def check(spark: SparkSession, root: str, settings: Config | None = None, now: int = 0, known: DataFrame | None = None, mode: str = "none", **tables: DataFrame) -> dict[str, DataFrame]:
+def check(spark: SparkSession, root: str, settings: Config | None = None, now: int = 0, known: DataFrame | None = None, mode: str = "none", scope: str | None = None, **tables: DataFrame) -> dict[str, DataFrame]:
     """Findings of a tree: `kept`, `suppressed` and `stale` with tokens, and `context`.
 
-    The legs real, audit, env and review in this order; an audit's secret goes where env has it at the same place; then tokens, settings'
+    scope: for a tree under version control, what its changes are measured from, as for the data source `source_changes`; only these count as changed.
+    Surfaces of packages are those of the installed ones, if tables has none. The legs real, audit, env and review in this order; an audit's secret goes where env has it at the same place; then tokens, settings'
     suppressions, and the baseline.
     """
     settings = settings or Config()
+    if scope is not None and "changed_ranges" not in tables:
+        tables |= changed_tables(spark, root, scope)
     context = scan(spark, root, **tables)
     secrets = env(spark, context, settings)
     seen = _union([real(spark, context, now, settings), baseline.without_twins(audit(spark, context, settings), secrets), secrets, review(spark, context)])
@@ -156,6 +167,13 @@ def check(spark: SparkSession, root: str, settings: Config | None = None, now: i
     return split | {"ignored": reasons.where("reason is not null"), "context": context}
 
 
+def changed_tables(spark: SparkSession, root: str, scope: str = "worktree") -> dict[str, DataFrame]:
+    """The tables changed_ranges (path, start, end) and added (path) of a tree under version control."""
+    readers.register(spark)
+    found = spark.read.format("source_changes").option("path", root).option("scope", scope).load().persist()
+    return {"changed_ranges": found.where("start is not null").select("path", "start", "end"), "added": found.where("status = 'A'").select("path").distinct()}
+
+
 def check_since(spark: SparkSession, root: str, earlier: str, settings: Config | None = None, **tables: DataFrame) -> dict[str, DataFrame]:
     """check() without what an earlier snapshot of the tree already had."""
     before = check(spark, earlier, settings, **tables)

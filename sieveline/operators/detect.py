@@ -157,6 +157,23 @@ def nonexistent_apis(usages: DataFrame, declared: DataFrame, tiers: DataFrame, s
     )
 
 
+#: Files that tell a project of a language that is not analysed, the first that is there counts.
+FOREIGN = (
+    (r"(\A|/)Cargo\.toml\z", "rust"), (r"(\A|/)go\.mod\z", "go"), (r"(\A|/)(pom\.xml|build\.gradle(\.kts)?)\z", "java"), (r"(\A|/)Gemfile\z", "ruby"), (r"(\A|/)composer\.json\z", "php"), (r"\.(csproj|sln)\z", "csharp"),
+    (r"(\A|/)Package\.swift\z", "swift"), (r"(\A|/)mix\.exs\z", "elixir"),
+)
+
+
+def foreign_stack(paths: DataFrame, declared: DataFrame) -> DataFrame:
+    """(stack) of a project (path) without sources or manifests that are analysed, if some file tells another stack; else no row."""
+    kind = F.lit(None).cast("int")
+    for i, (pattern, _) in reversed(list(enumerate(FOREIGN))):
+        kind = F.when(F.col("path").rlike(pattern), i).otherwise(kind)
+    seen = paths.agg(F.min(kind).alias("k"), F.count_if(fn.language_of(F.col("path")).isNotNull()).alias("sources"))
+    alone = seen.crossJoin(declared.agg(F.count("*").alias("packages"))).where("k is not null and sources = 0 and packages = 0")  # one row each
+    return alone.select(F.element_at(F.array(*(F.lit(s) for _, s in FOREIGN)), F.col("k") + 1).alias("stack"))
+
+
 def unsupported_stacks(projects: DataFrame) -> DataFrame:
     """A note for projects (stack) that are of no language that is analysed."""
     message = F.concat(F.lit("'"), "stack", F.lit("' is not analysed"))

@@ -208,24 +208,48 @@ def package_json(texts: DataFrame) -> DataFrame:
     return parsed.where("j is not null").select(F.col("path").alias("manifest"), F.explode(F.array_distinct(names)).alias("name"), F.lit(True).alias("is_direct"))
 
 
-def requirements(texts: DataFrame, levels: int = 8) -> DataFrame:
-    """(manifest, name, is_direct) of requirements texts: options, urls and comments skipped, `-r` files followed for some levels.
-
-    Names of a followed file belong to the manifest that names it.
-    """
+def _requirement_lines(texts: DataFrame) -> DataFrame:
     line = F.trim(F.regexp_replace(F.col("line"), r"(\A|\s)#.*\z", ""))
-    rows = texts.select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).select("path", line.alias("line"))
-    goes = rows.select("path", F.regexp_extract("line", r"\A(?:-r|--requirement)[\s=]+(\S+)", 1).alias("goal")).where("goal <> ''")
+    return texts.select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).select("path", line.alias("line"))
+
+
+def includes(texts: DataFrame) -> DataFrame:
+    """(path, goal) of the `-r` lines of requirements texts."""
+    goes = _requirement_lines(texts).select("path", F.regexp_extract("line", r"\A(?:-r|--requirement)[\s=]+(\S+)", 1).alias("goal")).where("goal <> ''")
     folder = parent(F.col("path"))
-    edges = goes.select("path", F.when(folder == "", F.col("goal")).otherwise(F.concat(folder, F.lit("/"), "goal")).alias("goal")).select("path", F.regexp_replace("goal", r"(\A|/)(\./)+", "$1").alias("goal")).distinct()
-    reach = texts.select(F.col("path").alias("manifest"), "path").distinct()
+    return goes.select("path", F.when(folder == "", F.col("goal")).otherwise(F.concat(folder, F.lit("/"), "goal")).alias("goal")).select("path", F.regexp_replace("goal", r"(\A|/)(\./)+", "$1").alias("goal")).distinct()
+
+
+#: Fixed value: names of requirements files.
+REQUIREMENTS = r"(\A|/)requirements[^/]*\.txt\z"
+
+
+def followed(spark: SparkSession, root: str, texts: DataFrame) -> DataFrame:
+    """texts with the files of other names that requirements files follow, directly or not; people name these, so the driver asks for them."""
+    known: set[str] = set()
+    fresh = texts.where(F.col("path").rlike(REQUIREMENTS))
+    while True:
+        goals = {r.goal for r in includes(fresh).select("goal").distinct().collect() if not re.search(REQUIREMENTS.replace("\\z", "\\Z"), r.goal)} - known
+        if not goals:
+            return texts
+        known |= goals
+        fresh = read_texts(spark, root, "|".join(rf"\A{re.escape(g)}\z" for g in sorted(goals))).persist()
+        texts = texts.unionByName(fresh)
+
+
+def requirements(texts: DataFrame, manifests: str | None = None) -> DataFrame:
+    """(manifest, name, is_direct) of requirements texts: options, urls and comments skipped, `-r` files followed to the end, in circles once.
+
+    Names of a followed file belong to the manifest that names it. manifests: a pattern of the paths that are manifests by themselves.
+    """
+    rows, edges = _requirement_lines(texts), includes(texts)
+    own = texts.where(F.col("path").rlike(manifests)) if manifests else texts
+    reach = own.select(F.col("path").alias("manifest"), "path").distinct()
     if not edges.isEmpty():
         edges, fresh = staged(edges), reach
-        for _ in range(levels):
+        while not fresh.isEmpty():
             fresh = staged(fresh.join(edges, "path").select("manifest", F.col("goal").alias("path")).distinct().join(reach, ["manifest", "path"], "left_anti"))
-            if fresh.isEmpty():
-                break
-            reach = reach.unionByName(fresh)
+            reach = staged(reach.unionByName(fresh))
     name = F.regexp_extract("line", r"\A([A-Za-z0-9][A-Za-z0-9._\-]*)\s*(\[|[<>=!~;@]|\z)", 1)
     named = rows.where(~F.col("line").rlike(r"\A(-|[A-Za-z+]+://)")).select("path", normalize_name(name).alias("name")).where("name <> ''")
     return reach.join(named, "path").select("manifest", "name", F.lit(True).alias("is_direct")).distinct()
@@ -293,24 +317,44 @@ def script_locks(texts: DataFrame) -> DataFrame:
 
 #: Manifests and locks by their file names, with the ecosystem.
 MANIFESTS = (
-    (r"(\A|/)package\.json\z", "npm", package_json), (r"(\A|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml)\z", "npm", script_locks), (r"(\A|/)requirements[^/]*\.txt\z", "pypi", requirements),
+    (r"(\A|/)package\.json\z", "npm", package_json), (r"(\A|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml)\z", "npm", script_locks), (REQUIREMENTS, "pypi", requirements),
     (r"(\A|/)(pyproject\.toml|poetry\.lock|uv\.lock)\z", "pypi", toml_manifests),
 )
 
 
+#: Settings of compilers that name path aliases.
+SETTINGS = r"(\A|/)(tsconfig|jsconfig)[^/]*\.json\z"
+
+
 def manifest_pattern() -> str:
     return "|".join(pattern for pattern, _, _ in MANIFESTS)
 
 
 def declared(texts: DataFrame) -> DataFrame:
     """(ecosystem, name, manifest, is_direct) of all manifests and locks among texts (path, text), nested ones too."""
-    found = None
+    found = None  # files of other names are what requirements files follow
     for pattern, ecosystem, read in MANIFESTS:
-        own = read(texts.where(F.col("path").rlike(pattern))).select(F.lit(ecosystem).alias("ecosystem"), "name", "manifest", "is_direct")
+        named = F.col("path").rlike(pattern)
+        found_ = read(texts.where(named | ~F.col("path").rlike(manifest_pattern() + "|" + SETTINGS)), pattern) if read is requirements else read(texts.where(named))
+        own = found_.select(F.lit(ecosystem).alias("ecosystem"), "name", "manifest", "is_direct")
         found = own if found is None else found.unionByName(own)
     return found
 
 
+#: Settings of bundlers, which are scripts, name path aliases too.
+_BUNDLER = r"(\A|/)vite\.config\.[mc]?[jt]s\z"
+
+
+def alias_prefixes(texts: DataFrame, files: DataFrame) -> tuple[str, ...]:
+    """The alias prefixes of a tree's compiler settings, among texts (path, text), and bundler settings, among its sources; people write these, so the driver reads them."""
+    out: set[str] = set()
+    for r in texts.where(F.col("path").rlike(SETTINGS)).select("text").collect():
+        out |= set(path_aliases(r.text or ""))
+    for r in files.where(F.col("path").rlike(_BUNDLER)).select("text").collect():
+        out |= set(bundler_aliases(r.text or ""))
+    return tuple(sorted(out))
+
+
 def path_aliases(text: str) -> dict[str, str]:
     """Alias prefixes of a tsconfig text (comments and trailing commas allowed): what stands before `*`, with the folder that it means."""
     bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
