@@ -42,8 +42,8 @@ def _packages(spark, sf_dir) -> dict[str, DataFrame]:
     part, key = _t(spark, sf_dir, "part"), F.col("p_partkey")
     declared = part.where("p_size % 4 > 0").select(eco(key).alias("ecosystem"), name(key).alias("name"), F.concat("p_brand", F.lit("/manifest")).alias("manifest"), (F.col("p_size") < 25).alias("is_direct"))
     used = F.col("l_partkey")
-    imports = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
-        F.concat(F.lit("src/f"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_orderkey").cast("int").alias("line"), eco(used).alias("ecosystem"), name(used).alias("name"), name(used).alias("spec"), F.struct("l_orderkey").alias("seq"),
+    imports = _t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("src/f"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_orderkey").cast("int").alias("line"), eco(used).alias("ecosystem"), name(used).alias("name"), name(used).alias("spec"), F.struct("l_orderkey", "l_linenumber").alias("seq"),
     )
     none = spark.createDataFrame([], "ecosystem string, name string")
     resolved = detect.resolve_imports(imports, declared, none, datasets.builtins(spark), datasets.import_aliases(spark))
@@ -125,7 +125,7 @@ def duplicate_helper_findings(spark, sf_dir):
     """Documents as functions whose tokens are their words; every other source is a test, and half of the documents are added."""
     tokens = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " ")
     path = F.concat(F.when(F.col("doc_id") % 10 == 3, "a/tests/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    functions = _t(spark, sf_dir, "documents").where(F.length("text") < 3000).select(path.alias("path"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(2).alias("end_line"), tokens.alias("value"), "doc_id")
+    functions = _t(spark, sf_dir, "documents").select(path.alias("path"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(2).alias("end_line"), tokens.alias("value"), "doc_id")
     ranges = functions.where("doc_id % 2 = 0").select("path", F.lit(1).alias("start"), F.lit(5).alias("end"))
     return detect.duplicate_helpers(functions.drop("doc_id"), ranges).select("file", "id", F.regexp_extract("detail", r"(\S+):\d+\z", 1).alias("partner"), "seed_text")
 
@@ -271,10 +271,10 @@ QUERIES = {
     )
 }
 _P = f"""d AS (SELECT p_partkey AS k, p_brand || '/manifest' AS manifest FROM part WHERE p_size % 4 > 0),
- i AS (SELECT l_partkey AS k, 'src/f' || l_suppkey AS path, CAST(l_orderkey AS INTEGER) AS line, l_orderkey FROM lineitem WHERE l_linenumber = 1),
+ i AS (SELECT l_partkey AS k, 'src/f' || l_suppkey AS path, CAST(l_orderkey AS INTEGER) AS line, l_orderkey * 100 + l_linenumber AS seq FROM lineitem),
  ph AS (SELECT * FROM i WHERE k NOT IN (SELECT k FROM d)),
  names AS (SELECT k FROM d UNION SELECT k FROM ph),
- site AS (SELECT k, min_by(path, l_orderkey) AS path, min_by(line, l_orderkey) AS line FROM i GROUP BY k),
+ site AS (SELECT k, min_by(path, seq) AS path, min_by(line, seq) AS line FROM i GROUP BY k),
  popular AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, 'pkg-' || p_partkey * 11 || 'x' AS name, p_partkey AS pos FROM part WHERE p_partkey <= 9),
  v AS (SELECT n.k, 'pkg-' || n.k AS name, CASE WHEN n.k % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, p_size,
    CASE WHEN p_size > 5 AND p_size * 20000 <= 7 * 86400 THEN CASE WHEN p_size % 5 = 0 THEN 'missing' ELSE 'exists' END ELSE 'inconclusive' END AS existence FROM names n JOIN part ON p_partkey = n.k),
@@ -316,7 +316,7 @@ ORACLE_SQL = {
     "dead_code_findings": "WITH w AS (SELECT name FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark) GROUP BY name HAVING count(*) = 1) SELECT 'review/dead-code-introduced' AS id, 'src/a.js' AS file, name FROM w WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE contains(lower(text), name))",
     "names_in_strings": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), n AS (SELECT word AS name FROM w UNION SELECT substr(word, 2, 40) FROM w WHERE length(word) > 1),
       r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_$]+')) AS run FROM documents) SELECT name FROM n WHERE EXISTS (SELECT 1 FROM r WHERE contains(run, name))""",
-    "duplicate_helper_findings": f"""WITH f AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'a/tests/' ELSE 'src/' END || doc_id || '.py' AS path, doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE length(text) < 3000),
+    "duplicate_helper_findings": f"""WITH f AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'a/tests/' ELSE 'src/' END || doc_id || '.py' AS path, doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
       h AS (SELECT path, doc_id, list_distinct(list_transform(list_transform(range(1, len(w) - 3), lambda i: {_HASH}), lambda x: {_LE})) AS h FROM f WHERE len(w) >= 25 AND NOT contains(path, '/tests/')),
       k AS (SELECT *, list_slice(list_sort(h), 1, 4) AS k FROM h), m AS (SELECT path, unnest(k) AS x FROM k), b AS (SELECT x FROM m GROUP BY x HAVING count(*) BETWEEN 2 AND 64),
       p AS (SELECT DISTINCT y.path AS a, z.path AS b FROM m y JOIN b USING (x) JOIN m z USING (x) WHERE y.path <> z.path),
