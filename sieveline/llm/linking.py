@@ -92,12 +92,15 @@ def least_pairs(members: DataFrame) -> DataFrame:
     return members.groupBy("id").agg(F.min("head").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
 
 
-def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Callable, heads_done: bool = True) -> DataFrame:
+def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Callable, heads_done: bool = True, sift: Callable | None = None, light: DataFrame | None = None) -> DataFrame:
     """Links (a, b, ..) between members of a bucket that the links `first` (a, b) leave in different components.
 
     payload: (id, ..), a row for each member. compare(table, i, j, component, put) gets the rows of two blocks, indices of
     their pairs of different components, and the components; put(i, j, ..) takes a link that is right, after which the pair's
     components count as one in this task: `component.same(i, j)`. It yields (a, b, *schema of compare.extra).
+
+    sift(table, i, j) gives those of the pairs that are worth comparing, from the columns of `light` (id, ..) alone, a smaller payload. Only the
+    members of such pairs are then dealt with their payload; rows go on, not pairs.
     """
     spark, kind = members.sparkSession, members.schema["id"].dataType
     parts = connected_components(first.select("a", "b")).withColumnRenamed("node", "id")
@@ -112,26 +115,30 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
         .withColumn("place", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
         .drop("bucket", "n", "blocks")
     )
+    if sift is not None:
+        plain = dealt.schema
+        by_light = dealt.join(light, "id").repartition(width(spark), "place").sortWithinPartitions("place")
+
+        def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in by_group(batches, "place"):
+                i, j = _open_pairs(group)[:2]
+                if len(i):
+                    i, j = sift(group, i, j)
+                if len(i):
+                    yield from group.select(plain.names).take(pa.array(np.union1d(i, j))).to_batches()
+
+        dealt = staged(by_light.mapInArrow(sifted, plain), "sifted")
     joined = dealt.join(payload, "id").repartition(width(spark), "place").sortWithinPartitions("place")
     extra = getattr(compare, "extra", [])
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, "place"):
-            own, other = group.column("own").to_numpy(), group.column("other").to_numpy()
-            sides = np.unique(own)
-            if len(sides) == 1 and (other != own).any():
-                continue  # the other block of this pair is empty
-            left_, right_ = np.flatnonzero(own == sides[0]), np.flatnonzero(own == sides[-1])
-            parts_ = np.unique(group.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            wanted = parts_[left_][:, None] != parts_[right_][None, :]
-            if len(sides) == 1:
-                wanted &= np.arange(len(left_))[:, None] < np.arange(len(right_))[None, :]
-            i, j = np.nonzero(wanted)
+            i, j, parts_ = _open_pairs(group)
             if not len(i):
                 continue
             found = _Found(group.column("id").to_pylist(), parts_)
-            compare(group, left_[i], right_[j], found)
+            compare(group, i, j, found)
             if found.out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found.out), types)], names=schema.names)
 
@@ -139,6 +146,22 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
     return joined.mapInArrow(lambda batches: spanning(run(batches)), schema)
 
 
+def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, component of each row) of a pair of blocks: the pairs of rows of different components, none if one block is empty."""
+    none = np.zeros(0, np.int64)
+    own, other = group.column("own").to_numpy(), group.column("other").to_numpy()
+    sides = np.unique(own)
+    if len(sides) == 1 and (other != own).any():
+        return none, none, none  # the other block of this pair is empty
+    left, right = np.flatnonzero(own == sides[0]), np.flatnonzero(own == sides[-1])
+    parts = np.unique(group.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    wanted = parts[left][:, None] != parts[right][None, :]
+    if len(sides) == 1:
+        wanted &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+    i, j = np.nonzero(wanted)
+    return left[i], right[j], parts
+
+
 class _Found:
     """Links found in a task, and the components that they join."""
 

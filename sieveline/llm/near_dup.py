@@ -31,6 +31,7 @@ from sieveline.llm.common import heavy_join, staged, text_chunks
 from sieveline.llm.graph import connected_components
 from sieveline.llm.linking import across, binary_rows, head_pairs, headed, spanning
 from sieveline.llm.shingles import shingle_sets
+from sieveline.operators.blooms import semi_join
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -132,8 +133,9 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     members = staged(headed(reps.select(F.posexplode(bands).alias("band", "bucket"), "id")), "members")
     candidates = staged(members.select("id").distinct(), "candidates")
-    sets = staged(full_sets(docs.select(key, text).join(candidates.withColumnRenamed("id", key).hint("merge"), key, "left_semi"), key, text), "sets")
-    sigs = staged(reps.join(candidates.hint("merge"), "id", "left_semi"), "sigs")
+    # texts of documents that share no bucket are not shuffled
+    sets = staged(full_sets(semi_join(docs.select(key, text), candidates.withColumnRenamed("id", key), [key]), key, text), "sets")
+    sigs = staged(semi_join(reps, candidates, ["id"]), "sigs")
 
     def side(df: DataFrame, end: str, own: str) -> DataFrame:
         return df.select(F.col("id").alias(end), F.col(own).alias(f"{own}_{end}"))
@@ -155,13 +157,18 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
         both = pairs.join(side(table, "a", own), "a").join(side(table, "b", own), "b")
         pairs = staged(both.select("a", "b", f"{own}_a", f"{own}_b").mapInArrow(check, f"a {kind}, b {kind}"), "pairs")
 
-    def compare(rows: pa.Table, i: np.ndarray, j: np.ndarray, found) -> None:
+    def sift(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that signatures leave, each in the first band that it shares."""
         sig = np.stack(binary_rows(rows.column("sig"), np.uint32))
         i, j = survivors(sig, sig, i, j, least)
         own = first_shared(sig[i], sig[j]) == rows.column("band").to_numpy()[i]
+        return i[own], j[own]
+
+    def compare(rows: pa.Table, i: np.ndarray, j: np.ndarray, found) -> None:
         whole: dict[int, np.ndarray] = {}
         words = rows.column("shingles")
-        for x, y in zip(i[own].tolist(), j[own].tolist()):
+        i, j = sift(rows, i, j)
+        for x, y in zip(i.tolist(), j.tolist()):
             if not found.same(x, y):
                 for k in (x, y):
                     if k not in whole:
@@ -169,7 +176,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
                 if linked(whole[x], whole[y], hundredths):
                     found.put(x, y)
 
-    more = across(members, pairs, sigs.join(sets, "id"), compare)
+    more = across(members, pairs, sigs.join(sets, "id"), compare, sift=sift, light=sigs)
     return staged(pairs.unionByName(more).distinct(), "links")
 
 

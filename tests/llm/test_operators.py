@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from sieveline.llm import edit_prints, graph, language, licenses, near_dup, packing, piece_codec, quality, suffix_dedup, toxicity, url_rules
+from sieveline.llm import edit_prints, graph, language, licenses, linking, near_dup, packing, piece_codec, quality, suffix_dedup, toxicity, url_rules
 
 PIECES, BYTES = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -648,6 +648,33 @@ def test_large_bucket_is_split(spark):
     assert {r.component_id for r in got if r.doc_id < 2000} == {0} and all(r.component_id == r.doc_id and r.kept for r in got if r.doc_id >= 2000)
 
 
+def test_sets_travel_for_likely_pairs_alone(spark, monkeypatch):
+    """Members of one bucket that are unlike by their signatures are sifted out before sets are dealt; like ones are linked as before."""
+    rng = np.random.default_rng(12)
+    base = [rng.integers(1, 1 << 60, 60, dtype=np.uint64) for _ in range(500)]
+    rows = [(i, np.sort(s)) for i, s in enumerate(base)] + [(1000 + i, np.sort(np.append(base[i][:56], rng.integers(1, 1 << 60, 4, dtype=np.uint64)))) for i in range(0, 500, 50)]
+    sigs = spark.createDataFrame([(i, bytearray(near_dup.signature(s).tobytes())) for i, s in rows], "id long, sig binary")
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in rows], "id long, shingles binary")
+    members = spark.createDataFrame([(7, i, -1, len(rows)) for i, _ in rows], "bucket long, id long, head long, n long")
+    least, seen, real = near_dup.least_matches(0.75), {}, linking.staged
+    monkeypatch.setattr(linking, "staged", lambda df, name: seen.setdefault(name, real(df, name)))
+
+    def sift(group, i, j):
+        sig = np.stack(linking.binary_rows(group.column("sig"), np.uint32))
+        return near_dup.survivors(sig, sig, i, j, least)
+
+    def compare(group, i, j, found):
+        own = linking.binary_rows(group.column("shingles"), np.uint64)
+        for x, y in zip(*(k.tolist() for k in sift(group, i, j))):
+            if near_dup.linked(own[x], own[y], 75):
+                found.put(x, y)
+
+    none = spark.createDataFrame([], "a long, b long")
+    links = linking.across(members, none, sigs.join(sets, "id"), compare, heads_done=False, sift=sift, light=sigs).collect()
+    assert {(r.a, r.b) for r in links} == {(i, 1000 + i) for i in range(0, 500, 50)}
+    assert seen["sifted"].count() < 60 < len(rows) * 3
+
+
 def test_language(spark):
     en, de = "the cat and the dog with that", "der hund und die katze mit dem"
     rows = [(i, " ".join(random.Random(i).choices((en if i % 2 else de).split(), k=20)), "en" if i % 2 else "de", None, None) for i in range(300)]
