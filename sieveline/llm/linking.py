@@ -92,7 +92,7 @@ def least_pairs(members: DataFrame) -> DataFrame:
     return members.groupBy("id").agg(F.min("head").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
 
 
-def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Callable, heads_done: bool = True, sift: Callable | None = None, light: DataFrame | None = None) -> DataFrame:
+def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Callable, heads_done: bool = True, sift: Callable | None = None, light: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b, ..) between members of a bucket that the links `first` (a, b) leave in different components.
 
     payload: (id, ..), a row for each member. compare(table, i, j, component, put) gets the rows of two blocks, indices of
@@ -100,7 +100,7 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
     components count as one in this task: `component.same(i, j)`. It yields (a, b, *schema of compare.extra).
 
     sift(table, i, j) gives those of the pairs that are worth comparing, from the columns of `light` (id, ..) alone, a smaller payload. Only the
-    members of such pairs are then dealt with their payload; rows go on, not pairs.
+    members of such pairs are then dealt with their payload, besides the columns of light; rows go on, not pairs. block: members of a block.
     """
     spark, kind = members.sparkSession, members.schema["id"].dataType
     parts = connected_components(first.select("a", "b")).withColumnRenamed("node", "id")
@@ -109,14 +109,13 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
     spans = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     left = heavy_join(known, staged(spans.select("bucket", "n"), "spans"), "bucket")
     dealt = (
-        left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        left.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("place", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
         .drop("bucket", "n", "blocks")
     )
     if sift is not None:
-        plain = dealt.schema
         by_light = dealt.join(light, "id").repartition(width(spark), "place").sortWithinPartitions("place")
 
         def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +124,9 @@ def across(members: DataFrame, first: DataFrame, payload: DataFrame, compare: Ca
                 if len(i):
                     i, j = sift(group, i, j)
                 if len(i):
-                    yield from group.select(plain.names).take(pa.array(np.union1d(i, j))).to_batches()
+                    yield from group.take(pa.array(np.union1d(i, j))).to_batches()
 
-        dealt = staged(by_light.mapInArrow(sifted, plain), "sifted")
+        dealt = staged(by_light.mapInArrow(sifted, by_light.schema), "sifted")
     joined = dealt.join(payload, "id").repartition(width(spark), "place").sortWithinPartitions("place")
     extra = getattr(compare, "extra", [])
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *extra])

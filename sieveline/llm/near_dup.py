@@ -39,6 +39,8 @@ BATCH = 32
 #: Probability at which a batch may lose a pair that reaches the threshold.
 MISS = 1e-6
 CHUNK = 1_500_000
+#: Members of a block that are compared with those of another, and pairs whose signatures are compared at once.
+MEMBERS, PAIRS = 512, 100_000
 _rng = np.random.default_rng(20240229)
 FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -160,7 +162,8 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
     def sift(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that signatures leave, each in the first band that it shares."""
         sig = np.stack(binary_rows(rows.column("sig"), np.uint32))
-        i, j = survivors(sig, sig, i, j, least)
+        parts = [survivors(sig, sig, i[lo : lo + PAIRS], j[lo : lo + PAIRS], least) for lo in range(0, len(i), PAIRS)]
+        i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1)) if parts else (i, j)
         own = first_shared(sig[i], sig[j]) == rows.column("band").to_numpy()[i]
         return i[own], j[own]
 
@@ -176,7 +179,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, key: str, text: str,
                 if linked(whole[x], whole[y], hundredths):
                     found.put(x, y)
 
-    more = across(members, pairs, sigs.join(sets, "id"), compare, sift=sift, light=sigs)
+    more = across(members, pairs, sets, compare, sift=sift, light=sigs, block=MEMBERS)
     return staged(pairs.unionByName(more).distinct(), "links")
 
 

@@ -670,7 +670,7 @@ def test_sets_travel_for_likely_pairs_alone(spark, monkeypatch):
                 found.put(x, y)
 
     none = spark.createDataFrame([], "a long, b long")
-    links = linking.across(members, none, sigs.join(sets, "id"), compare, heads_done=False, sift=sift, light=sigs).collect()
+    links = linking.across(members, none, sets, compare, heads_done=False, sift=sift, light=sigs).collect()
     assert {(r.a, r.b) for r in links} == {(i, 1000 + i) for i in range(0, 500, 50)}
     assert seen["sifted"].count() < 60 < len(rows) * 3
 
