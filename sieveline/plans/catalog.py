@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
 from sieveline.operators import identity, report
-from sieveline.plans import code_plans, detect_plans, findings_plans, package_plans, text_plans, version_plans
+from sieveline.plans import code_plans, detect_plans, findings_plans, package_plans, scalar_plans, text_plans, version_plans
 from sieveline.schema import SEVERITIES, as_findings
 
-_PARTS = (findings_plans, version_plans, text_plans, package_plans, code_plans, detect_plans)
+_PARTS = (findings_plans, version_plans, text_plans, package_plans, code_plans, detect_plans, scalar_plans)
 
 
 def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
