@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", res
             hit[:-1] |= same
             flags, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             flags[by] = hit
-            if many.any() or len(sizes) > wide_blocks:
+            if len(h) and (many.any() or len(sizes) > wide_blocks):
                 run = np.cumsum(np.append(True, ~same)) - 1
                 hot[by] = ((np.bincount(run, weights=many[by]) > hot_blocks) | (np.bincount(run) > wide_blocks))[run]
             ends = np.cumsum(sizes)
