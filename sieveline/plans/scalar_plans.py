@@ -44,7 +44,8 @@ def name_functions(spark, sf_dir):
 def time_functions(spark, sf_dir):
     """Orders as sizes, ages, times and versions."""
     k, date = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    size = (k * k * 2 + 1) * F.when(k % 3 == 0, 1).when(k % 3 == 1, 333).otherwise(77_777)
+    wide = k.cast("decimal(38,0)")  # keys of some million make sizes beyond a long
+    size = (wide * wide * 2 + 1) * F.when(k % 3 == 0, 1).when(k % 3 == 1, 333).otherwise(77_777)
     version = lambda a, b, c, pre: F.concat(a.cast("string"), F.lit("."), b.cast("string"), F.lit("."), c.cast("string"), pre)
     one = version(k % 2, k % 3, k % 4, F.when(k % 5 == 0, F.concat(F.lit("-rc."), (k % 7).cast("string"))).otherwise(F.lit("")))
     two = version(F.col("o_custkey") % 2, F.col("o_custkey") % 3, F.lit(1), F.when(F.col("o_custkey") % 3 == 0, F.lit("-rc.3")).otherwise(F.lit("")))
