@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.distance import damerau
+from sieveline.operators.staging import small_or_shuffled
 
 #: Longest name that is compared, downloads and days below which a package looks suspicious.
 LONGEST, FEW_DOWNLOADS, NEW_DAYS = 128, 1000, 90
@@ -60,11 +61,14 @@ def near_names_by(names: DataFrame, popular: DataFrame, distance: int = 2) -> Da
     known = segment(popular.select("ecosystem", F.col("name").alias("other"), "pos").withColumn("l", F.length("other")))
     theirs = known.select("ecosystem", "other", "pos", "l", "i", F.substring("other", F.col("start") + 1, F.col("size")).alias("piece"))
     n = F.length("name")
-    mine = segment(asked.withColumn("l", F.explode(F.sequence(F.greatest(n - distance, F.lit(1)), n + distance))))
+    # no more lengths than LONGEST + distance: names of no popular name's length band go before they are cut
+    lengths = popular.select("ecosystem", F.length("name").alias("l")).where(F.col("l").between(1, LONGEST + distance)).distinct()
+    mine = asked.withColumn("l", F.explode(F.sequence(F.greatest(n - distance, F.lit(1)), n + distance))).join(F.broadcast(lengths), ["ecosystem", "l"])
+    mine = segment(mine)
     mine = mine.withColumn("at", F.explode(F.sequence(F.greatest(F.col("start") - most, F.lit(0)), F.greatest(F.col("start") - most, F.lit(0)) + 2 * most)))
     mine = mine.where((F.col("at") <= F.col("start") + most) & (F.col("at") + F.col("size") <= n))
-    pieces = mine.select("ecosystem", "name", "l", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    pairs = pieces.join(theirs, ["ecosystem", "l", "i", "piece"]).select("ecosystem", "name", "other", "pos").distinct()
+    pieces = mine.select("ecosystem", "name", "l", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece"))
+    pairs = pieces.join(small_or_shuffled(theirs), ["ecosystem", "l", "i", "piece"]).select("ecosystem", "name", "other", "pos").distinct()
     close = pairs.where(F.levenshtein("name", "other", most) >= 0).withColumn("distance", damerau("name", "other"))
     return close.groupBy("ecosystem", "name").agg(F.min(F.struct("distance", "pos", "other")).alias("m")).select("ecosystem", "name", F.col("m.other").alias("nearest"), F.col("m.distance").alias("distance"))
 

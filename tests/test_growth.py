@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from sieveline.operators import detect, similarity
 from sieveline.plans import scalar_plans
 
 
@@ -17,3 +20,24 @@ def _size(n: int) -> str:
         if n >= unit:
             return f"{n / unit:.1f} {name}"
     return f"{n} B"
+
+
+def test_sites_of_names_are_those_of_resolved_imports(spark):
+    rows = [("p1", 3, "npm", "a", "a", 2), ("p0", 9, "npm", "a", "./a", 1), ("p2", 1, "npm", "fs", "fs", 5), ("p3", 1, "npm", "b", "node:b", 4), ("p4", 1, "npm", "c", "./c", 7), ("p5", 2, "pypi", "X_y", "X_y", 3), ("p6", 2, "npm", "", "./z", 6), ("p7", 2, "npm", "l", "l", 8)]
+    imports = spark.createDataFrame(rows, "path string, line int, ecosystem string, name string, spec string, seq int")
+    known = [spark.createDataFrame(r, "ecosystem string, name string") for r in ([("pypi", "x-Y")], [("npm", "l")], [("npm", "fs")])]
+    known.append(spark.createDataFrame([], "ecosystem string, name string, package string"))
+    got = {tuple(r) for r in detect.import_sites(imports, *known).collect()}
+    assert got == {tuple(r) for r in detect.sites_of(detect.resolve_imports(imports, *known)).collect()}
+    assert got == {("npm", "a", "p0", 9, True), ("npm", "fs", "p2", 1, False), ("npm", "b", "p3", 1, False), ("npm", "c", "p4", 1, False), ("pypi", "X_y", "p5", 2, False), ("npm", "l", "p7", 2, False)}
+
+
+def test_sketches_are_those_of_shingles(spark):
+    texts = [(1, "a b c d e f a b c d e"), (2, "a b c d"), (3, "é ü c d e f"), (4, ""), (5, None), (6, "x  y z w v")]
+    rows = spark.createDataFrame(texts, "id int, value string")
+    for little in (False, True):
+        hashes = similarity.shingles(F.split("value", " "), little_endian=little)
+        want = {r.id: (sorted(r.hashes or []), r.sketch or []) for r in rows.select("id", hashes.alias("hashes"), similarity.sketch(hashes).alias("sketch")).collect()}
+        got = similarity.sketched(rows, "value", little_endian=little).collect()
+        assert {r.id: (sorted(f"{h & (1 << 64) - 1:016x}" for h in r.hashes), r.sketch) for r in got} == want
+    assert {r.id for r in similarity.sketched(rows, "value", least=5).collect()} == {1, 3, 6}
