@@ -23,33 +23,42 @@ _SNAPSHOTS = "id long, namespace string, ts long, message string, root string, n
 EMPTY = "0" * 64
 
 
-def _folder_digests(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(by, digest) of folders: entries (by, name, is_folder, digest) are digested by bucket, in the order of their names, and then the buckets."""
+def _parts(entries: DataFrame) -> DataFrame:
+    """(folder, bucket, own, digest): entries (folder, name, is_folder, digest) by bucket, in the order of their names."""
     one = F.struct("name", "is_folder", "digest")
     line = lambda e: digest_of(e["name"], e["is_folder"], e["digest"])
     bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    parts = entries.groupBy(*by, bucket).agg(F.array_sort(F.collect_list(one)).alias("own")).select(*by, "bucket", F.sha2(F.array_join(F.transform("own", line), ","), 256).alias("digest"))
-    return parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("own")).select(*by, F.sha2(F.to_json("own"), 256).alias("digest"))
+    parts = entries.groupBy("folder", bucket).agg(F.array_sort(F.collect_list(one)).alias("own"))
+    return parts.select("folder", "bucket", "own", F.sha2(F.array_join(F.transform("own", line), ","), 256).alias("digest"))
 
 
-def merkle(tree: DataFrame) -> tuple[str, DataFrame]:
+def merkle(tree: DataFrame, known: DataFrame | None = None) -> tuple[str, DataFrame]:
     """(digest of the top, nodes) of a tree (path, hash): nodes (parent, name, is_folder, digest, depth), the top's entries at depth 0.
 
     A path stands once; one that is a file and a folder at once has an entry of each kind. Null paths are left out; null hashes are the empty text.
+    Entries of known folders (parent, depth) are left out of the nodes; folders are compared, so entries of those that are there do not travel.
     """
-    own = staged(tree.where(F.col("path").isNotNull()).select(F.split("path", "/").alias("parts"), F.coalesce("hash", F.lit("")).alias("digest")))
-    deepest = own.agg(F.max(F.size("parts"))).head()[0]
+    n = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    own = staged(tree.where(F.col("path").isNotNull()).select("path", n.alias("depth"), F.coalesce("hash", F.lit("")).alias("digest")))
+    deepest = own.agg(F.max("depth")).head()[0]
     if deepest is None:
         return EMPTY, tree.sparkSession.createDataFrame([], _NODES)
+    above, last = (lambda c, depth: F.substring_index(c, "/", depth) if depth else F.lit("")), (lambda c: F.substring_index(c, "/", -1))
     folders, nodes = None, []
-    for depth in range(deepest - 1, -1, -1):
-        here = own.where(F.size("parts") == depth + 1).select(F.slice("parts", 1, depth).alias("folder"), F.element_at("parts", depth + 1).alias("name"), F.lit(False).alias("is_folder"), "digest")
+    for depth in range(deepest, -1, -1):
+        # a folder of `depth` names is told by its path; the empty path is the top at depth 0 alone
+        here = own.where(F.col("depth") == depth).select(above("path", depth).alias("folder"), last("path").alias("name"), F.lit(False).alias("is_folder"), "digest")
         if folders is not None:
-            here = here.unionByName(folders.select(F.slice("folder", 1, depth).alias("folder"), F.element_at("folder", depth + 1).alias("name"), F.lit(True).alias("is_folder"), "digest"))
-        here = staged(here)
-        folders = staged(_folder_digests(here, ["folder"]))
-        named = here.join(folders.withColumnRenamed("digest", "parent"), "folder")
-        nodes.append(named.select("parent", "name", "is_folder", "digest", F.lit(depth).alias("depth")).distinct())
+            here = here.unionByName(folders.select(above("folder", depth).alias("folder"), last("folder").alias("name"), F.lit(True).alias("is_folder"), "digest"))
+        parts = staged(_parts(here))
+        folders = parts.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("own"))
+        folders = staged(folders.select("folder", F.sha2(F.to_json("own"), 256).alias("digest")))
+        # of equal folders one gives the nodes
+        wanted = folders.groupBy(F.col("digest").alias("parent")).agg(F.min("folder").alias("folder"))
+        if known is not None:
+            wanted = wanted.join(known.where(F.col("depth") == depth).select("parent").distinct(), "parent", "left_anti")
+        named = parts.select("folder", "own").join(wanted, "folder").select("parent", F.inline(F.array_distinct("own")))
+        nodes.append(named.select("parent", "name", "is_folder", "digest", F.lit(depth).alias("depth")))
     out = nodes[0]
     for n in nodes[1:]:
         out = out.unionByName(n)
@@ -82,7 +91,7 @@ class SnapshotStore:
 
         Blobs and nodes come first and the snapshot's row last, so what breaks off on the way is only unused.
         """
-        root, nodes = merkle(tree)
+        root, nodes = merkle(tree, self.nodes().select("parent", "depth"))
         rows = self.snapshots()
         newest = rows.where(F.col("namespace") == namespace).agg(F.max_by("root", "id"), F.max("id")).head()
         if newest[0] == root:
@@ -90,9 +99,7 @@ class SnapshotStore:
         if contents is not None:
             fresh = contents.dropDuplicates(["hash"]).join(self.blobs().select("hash"), "hash", "left_anti")
             fresh.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/blobs")
-        known = self.nodes().select("parent", "depth").distinct()
-        new = nodes.join(known, ["parent", "depth"], "left_anti")
-        new.sortWithinPartitions("parent").write.mode("append").partitionBy("depth").parquet(f"{self.folder}/nodes")
+        nodes.sortWithinPartitions("parent").write.mode("append").partitionBy("depth").parquet(f"{self.folder}/nodes")
         own = (rows.agg(F.max("id")).head()[0] or 0) + 1
         n_files = tree.where(F.col("path").isNotNull()).count()
         self.spark.createDataFrame([(own, namespace, ts, message, root, n_files)], _SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/snapshots")
@@ -121,6 +128,9 @@ class SnapshotStore:
 
     def diff(self, before: int | None, after: int | None) -> DataFrame:
         """(path, status) between two snapshots, None for the empty tree: A, D or M; only folders that differ are read."""
+        one, other = self._root(before), self._root(after)
+        if EMPTY in (one, other) and one != other:  # every file of one side
+            return self._files(other if one == EMPTY else one).select("path", F.lit("A" if one == EMPTY else "D").alias("status"))
         return self.diff_and_seen(before, after)[0]
 
     def diff_and_seen(self, before: int | None, after: int | None) -> tuple[DataFrame, int]:
@@ -132,12 +142,21 @@ class SnapshotStore:
             seen += both.count()
         return found, seen
 
+    def _files(self, root: str) -> DataFrame:
+        """(path, hash) of the files below a root: folders are walked level by level, and files joined to theirs once."""
+        found, depth = self.spark.createDataFrame([], "path string, hash string"), 0
+        frontier = self.spark.createDataFrame([("", root)], "path string, parent string").where(F.lit(root != EMPTY))
+        path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("/"), "name")).alias("path")
+        while not frontier.isEmpty():
+            below = self.nodes(depth).drop("depth").join(small_or_shuffled(frontier), "parent")
+            found = found.unionByName(below.where(~F.col("is_folder")).select(path, F.col("digest").alias("hash")))
+            frontier = staged(below.where("is_folder").select(path, F.col("digest").alias("parent")))
+            depth += 1
+        return found
+
     def tree(self, id: int) -> DataFrame:
         """(path, hash) of a snapshot."""
-        found = self.spark.createDataFrame([], "path string, hash string")
-        for both in self._levels(EMPTY, self._root(id)):
-            found = found.unionByName(both.where(~F.col("is_folder")).select("path", F.col("b").alias("hash")))
-        return found
+        return self._files(self._root(id))
 
     def restore(self, id: int) -> DataFrame:
         """(path, content) of a snapshot; a null content where the blob was not stored."""
