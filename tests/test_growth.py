@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import detect, similarity
+from sieveline.operators import code, detect, references, similarity
 from sieveline.plans import scalar_plans
 
 
@@ -41,3 +41,38 @@ def test_sketches_are_those_of_shingles(spark):
         got = similarity.sketched(rows, "value", little_endian=little).collect()
         assert {r.id: (sorted(f"{h & (1 << 64) - 1:016x}" for h in r.hashes), r.sketch) for r in got} == want
     assert {r.id for r in similarity.sketched(rows, "value", least=5).collect()} == {1, 3, 6}
+
+
+def test_files_ask_for_their_bases(spark):
+    paths = ["a/p.ts", "a/q/index.ts", "b", "a/r.jsx", "a/s.py", "index.js", "a/index.tsx", "a/t.ts", "c/t.ts"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    imports = spark.createDataFrame([(b,) for b in ("a/p", "a/q", "b", "a/r.jsx", "a/r.jsx", "a/none", "a")], "base string")
+    want = {r.path for r in files.join(references.reached(imports), "path", "left_anti").collect()}
+    assert {r.path for r in references.orphan_files(files, imports).collect()} == want
+    used = [("x/f.ts", "", "./p"), ("x/g.ts", "", "./p"), ("m.ts", "", "./n"), ("x/k.py", "", ".s"), ("k.py", "", ".u"), (None, "", "./o")]
+    added = spark.createDataFrame([(p,) for p in ("x/p.ts", "p.ts", "n.js", "x/s.py", "s.py", "u.py", "o.ts")], "path string")
+    assert {r.file for r in detect.orphan_files(added, spark.createDataFrame(used, "path string, name string, value string")).collect()} == {"p.ts", "s.py", "o.ts"}
+
+
+def test_reexports_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(references, "REEXPORTS", 2)
+    surface = spark.createDataFrame([("t", f"m{i % 7}") for i in range(20)] + [("u", "m1"), ("u", "z"), ("p3", "m1"), ("p3", "w")], "package string, member string")
+    reexports = [(f"p{i}", "t") for i in range(40)] + [("p3", "u"), ("p3", "u"), ("u", "t"), ("p9", "none")]
+    got = [tuple(r) for r in references.expand_reexports(surface, spark.createDataFrame(reexports, "package string, target string")).collect()]
+    own = {tuple(r) for r in surface.collect()}
+    assert len(got) == len(set(got)) and set(got) == own | {(p, m) for p, t in reexports for s, m in own if s == t}
+
+
+def test_files_of_the_same_text_are_parsed_once(spark, monkeypatch):
+    texts = ["eval(x)\n", "# a = f(1)\n# if a:\n#     g(a)\nx = 1\n"]
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.py", "python", texts[i % 2]) for i in range(40)], "path string, lang string, text string").coalesce(1)
+    rows = [("r", ["python"], [r"\Ad1/"], "(call function: (identifier) @f)")]
+    every = sorted(map(tuple, code.extract(files, rows).collect()))
+    some = sorted(map(tuple, code.extract(files, rows, ("rule", "comment")).collect()))
+    assert some == [r for r in every if r[2] in ("rule", "comment")] and {r[0][:2] for r in every if r[2] == "rule"} == {"d1"}
+    assert sum(r[2] == "rule" for r in every) == sum(i % 3 == 1 and i % 2 == 0 for i in range(40))
+    kept, made = code._Kept(), []
+    for key in [1, 2, 1, 1, 2]:
+        kept.of((key,), 10, lambda: made.append(key))
+    kept.of((3,), code.KEPT, lambda: made.append(3))
+    assert made == [1, 2, 3] and kept.size == 20
