@@ -42,12 +42,12 @@ def files(spark, sf_dir) -> DataFrame:
     return spread(own.withColumn("lang", fn.language_of(F.col("path"))))
 
 
-def _rows(spark, sf_dir):
-    return code.extract(files(spark, sf_dir), rules.syntax_rules(rules.shipped(), FRAMEWORKS))
+def _rows(spark, sf_dir, *kinds):
+    return code.extract(files(spark, sf_dir), rules.syntax_rules(rules.shipped(), FRAMEWORKS), kinds)
 
 
 def code_rule_findings(spark, sf_dir):
-    found = code.rule_findings(_rows(spark, sf_dir), rules.pack_frame(spark, rules.shipped()))
+    found = code.rule_findings(_rows(spark, sf_dir, "rule"), rules.pack_frame(spark, rules.shipped()))
     return found.select("file", "id", "severity", "line", "column")
 
 
@@ -60,7 +60,7 @@ def function_counts(spark, sf_dir):
 
 
 def commented_block_findings(spark, sf_dir):
-    blocks = code.commented_code(_rows(spark, sf_dir))
+    blocks = code.commented_code(_rows(spark, sf_dir, "comment"))
     every = files(spark, sf_dir).select("path", F.lit(1).alias("start"), F.lit(9).alias("end"))
     return detect.commented_blocks(blocks, every).select("file", "id", "line", "seed_text")
 
