@@ -91,9 +91,10 @@ def candidates(files: DataFrame, patterns: list[str], text: str = "text", name:
             automaton.add_word(s, (s, rules))
         if by_string:
             automaton.make_automaton()
-        for batch in batches:
+        # a few texts at a time, so that a batch of long ones is not held again as strings
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             lists = []
-            for value in batch.column(text).to_pylist():
+            for value in (x.as_py() for x in batch.column(text)):
                 if value is None:
                     lists.append(None)
                     continue
