@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import line_count
@@ -33,36 +33,28 @@ def tracked(root: str) -> list[str]:
     return [p for p in found.decode("utf-8", "replace").split("\0") if p]
 
 
-def diff_lines(texts: DataFrame, by: str) -> DataFrame:
-    """(by, no, value) of diffs (by, text)."""
-    return texts.select(by, F.posexplode(F.split("text", r"\r?\n")).alias("no", "value"))
+def _head(part: Column, mark: str, side: str) -> Column:
+    """The path after a mark in the header of a file's part: the lines before its first hunk."""
+    header = F.split(part, r"\r?\n@@ ", 2)[0]
+    return F.array_max(F.regexp_extract_all(header, F.lit(rf'(?md)^{mark} (?:"?{side}/)?(.*?)"?\t?(?=\r?\n|\z)'), F.lit(1)))
 
 
-def _filled(value: Column, w) -> Column:
-    return F.last(value, ignorenulls=True).over(w)
-
-
-def changes(lines: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """(changed (by, path, status), ranges (by, path, start, end)) of unified diffs as lines (by, no, value).
+def changes(diffs: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(changed (by, path, status), ranges (by, path, start, end)) of unified diffs (by, text).
 
     Status A, M or D; a renamed file counts under its new name, as M if lines changed, else not at all; binary files have no ranges. A
-    hunk that adds no line gives no range. Removed lines that look like headers stand inside hunks and are passed over.
+    hunk that adds no line gives no range. Removed lines that look like headers stand inside hunks and are passed over. A text is cut
+    into its files and each is read where it lies, so no line is shuffled or sorted, and rows that share a key stay apart.
     """
-    w = Window.partitionBy(by).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.col("value")
-    file_no = _filled(F.when(value.startswith("diff --git "), F.col("no")), w)
-    hunk_no = _filled(F.when(value.rlike(r"\A(diff --git |@@ )"), F.when(value.startswith("@@ "), F.col("no")).otherwise(-1)), w)
-    marked = lines.withColumns({"file_no": file_no, "inside": (hunk_no >= 0) & (F.col("no") > hunk_no)}).where("file_no is not null and not inside")
-    goal = F.max(F.when(value.startswith("+++ "), F.regexp_replace(F.substring("value", F.lit(5), F.length("value")), r"\A\"?b/|\"?\t?\z", "")))
-    source = F.max(F.when(value.startswith("--- "), F.regexp_replace(F.substring("value", F.lit(5), F.length("value")), r"\A\"?a/|\"?\t?\z", "")))
-    heads = marked.groupBy(by, "file_no").agg(goal.alias("goal"), source.alias("source"))
-    known = heads.where("goal is not null").select(
-        by, "file_no", F.when(F.col("goal") == "/dev/null", F.col("source")).otherwise(F.col("goal")).alias("path"), F.when(F.col("goal") == "/dev/null", "D").when(F.col("source") == "/dev/null", "A").otherwise("M").alias("status")
-    )
-    shape = r"\A@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    hunks = marked.where(value.rlike(shape)).select(by, "file_no", F.regexp_extract("value", shape, 1).cast("int").alias("start"), F.when(F.regexp_extract("value", shape, 2) == "", "1").otherwise(F.regexp_extract("value", shape, 2)).cast("int").alias("n"))
-    ranges = hunks.where("n > 0").join(known, [by, "file_no"]).select(by, "path", "start", (F.col("start") + F.col("n") - 1).alias("end"))
-    return known.select(by, "path", "status"), ranges
+    part, goal, source = F.col("part"), F.col("goal"), F.col("source")
+    parts = diffs.select(by, F.explode(F.split("text", r"\r?\n(?=diff --git )")).alias("part")).where(part.startswith("diff --git "))
+    known = parts.select(by, "part", _head(part, r"\+\+\+", "b").alias("goal"), _head(part, "---", "a").alias("source")).where("goal is not null").select(
+        by, "part", F.when(goal == "/dev/null", source).otherwise(goal).alias("path"), F.when(goal == "/dev/null", "D").when(source == "/dev/null", "A").otherwise("M").alias("status")
+    )
+    hunk = F.lit(r"(?md)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
+    found = F.arrays_zip(F.regexp_extract_all("part", hunk, F.lit(1)).alias("start"), F.regexp_extract_all("part", hunk, F.lit(2)).alias("n"))
+    hunks = known.select(by, "path", F.explode(found).alias("h")).select(by, "path", F.col("h.start").cast("int").alias("start"), F.when(F.col("h.n") == "", "1").otherwise(F.col("h.n")).cast("int").alias("n"))
+    return known.select(by, "path", "status"), hunks.where("n > 0").select(by, "path", "start", (F.col("start") + F.col("n") - 1).alias("end"))
 
 
 def whole_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +65,8 @@ def whole_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def change_of(spark: SparkSession, root: str, scope: str = "worktree") -> tuple[DataFrame, DataFrame]:
     """(changed (path, status), ranges (path, start, end)) of a folder under version control, with its untracked files in the working tree's scope."""
-    lines = diff_lines(spark.createDataFrame([(0, diff_text(root, scope))], "id int, text string"), "id")
-    changed, ranges = (df.drop("id") for df in changes(lines, "id"))
+    diffs = spark.createDataFrame([(0, diff_text(root, scope))], "id int, text string")
+    changed, ranges = (df.drop("id") for df in changes(diffs, "id"))
     if scope == "worktree":
         from sieveline.sources.files import _contents
 
