@@ -3,7 +3,8 @@
 import random
 import re
 
-from sieveline.plans import detect_plans
+from sieveline.operators import staging
+from sieveline.plans import detect_plans, text_plans
 from sieveline.sources import diff
 
 
@@ -41,3 +42,25 @@ def test_diffs_of_the_same_key_stay_apart(spark, tmp_path):
     spark.createDataFrame([(8,), (8,), (9,), (9,), (9,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(map(tuple, detect_plans.diff_files(spark, str(tmp_path)).collect())) == [(8, "g8", "A")] * 2 + [(9, "f9", "D")] * 3
     assert sorted(map(tuple, detect_plans.diff_added_ranges(spark, str(tmp_path)).collect())) == sorted([(8, "g8", 200, 202)] * 2 + [(8, "g8", 9, 9)] * 2 + [(9, "f9", 10, 10), (9, "f9", 200, 202)] * 3)
+
+
+def test_items_are_dealt_out_by_order_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "PART_ROWS", 100)
+    some = random.Random(5)
+    rows = [(some.randint(1, 300), some.randint(1, 6), some.choice([None, 1, 22]), some.choice([None, 3, 44, 55]), some.choice([None, 1.5, 3.0, 5.9, 7.0])) for _ in range(2000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    items, want = {}, []
+    for o, n, *values in rows:
+        items.setdefault(o, {}).setdefault(n, []).append(values)
+    for o, lines in items.items():
+        path = None
+        for n in sorted(lines):
+            part, start, q = (min((v for v in found if v is not None), default=None) for found in zip(*lines[n]))
+            path = f"p{part}.py" if n % 2 and part is not None else path
+            added = None if q is None else 1 if int(q) % 3 == 0 else int(q) % 5
+            if path and start is not None and added:
+                want.append((o, path, start, start + added - 1))
+    got = text_plans.diff_hunk_ranges(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(l_orderkey" in plan and got.rdd.getNumPartitions() == 20
