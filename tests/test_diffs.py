@@ -64,3 +64,5 @@ def test_items_are_dealt_out_by_order_once(spark, tmp_path, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(l_orderkey" in plan and got.rdd.getNumPartitions() == 20
+    monkeypatch.setattr(staging, "PART_ROWS", 5)
+    assert staging.dealt(spark.range(2000), "id").rdd.getNumPartitions() == 200 and staging.dealt(spark.range(3), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
